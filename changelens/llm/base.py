@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,8 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        gc.collect()  # shuffle files of a finished step go once nothing refers to it
+        self.spark._jvm.System.gc()
         return out
 
     def drop(self, *frames: DataFrame) -> None:

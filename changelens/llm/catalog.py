@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import knn, media, mixing, packing, quality, simhash, toxicity
+from changelens.llm import knn, media, mixing, packing, quality, simhash, suffixes, toxicity
 from changelens.llm.base import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_media, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_media, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
