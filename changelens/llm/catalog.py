@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import knn, media, mixing, packing, quality, simhash, suffixes, toxicity
+from changelens.llm import knn, lines, media, mixing, packing, quality, simhash, suffixes, surrogates, toxicity
 from changelens.llm.base import table
 
+#: The key of the registered query; a caller of the operator brings their own.
+SECRET = "changelens-demo-key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,6 +28,16 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_cut", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_pii(docs, SECRET)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -48,8 +61,8 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_media, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_media, op4_lines, op5_pii, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": mixing.ORACLE, "op10_knn": knn.ORACLE}
+    return {"op4_lines": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op10_knn": knn.ORACLE}
