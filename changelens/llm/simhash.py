@@ -14,6 +14,7 @@ then verified.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -178,3 +179,131 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
     final = scratch.write(named.join(ids, "root").select("fp", "component_id"), "classes")
     out = fps.join(final, "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Min-hash bands of the similarity join: with 21 bands of 6 a pair of similarity 0.8 is missed once in 600.
+BANDS, ROWS = 21, 6
+#: Bits in which fingerprints of similar texts may differ (about ten at 0.8, with a deviation of three).
+FAR = 26
+
+
+def min_hashes(hashes: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS minima of one hash dealt to as many bins; an empty bin takes the next full one's, marked by the distance."""
+    n = BANDS * ROWS
+    spread = hashes * np.uint64(0x9E3779B97F4A7C15)
+    spread ^= spread >> np.uint64(32)
+    bins = ((spread >> np.uint64(40)) * np.uint64(n) >> np.uint64(24)).astype(np.int64)
+    order = np.lexsort((spread, bins))
+    first = order[np.concatenate([[True], bins[order][1:] != bins[order][:-1]])]
+    full = bins[first]
+    at = np.searchsorted(full, np.arange(n)) % len(full)
+    away = (full[at] - np.arange(n)) % n
+    return spread[first][at] + away.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    rows = min_hashes(hashes).reshape(BANDS, ROWS)
+    key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    for k in range(ROWS):
+        key = (key ^ rows[:, k]) * np.uint64(0x94D049BB133111EB)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def _text_key(text):
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
+    """(a, b) of text keys whose word shingles have that Jaccard similarity.
+
+    `texts`: th, text, one row for each different text.  Golay keys of the
+    fingerprints bring together what differs in two bits at most; similar texts
+    often differ in ten, so min-hash bands bring together the rest.  Every link
+    is verified on the whole shingle sets.  Crowded buckets are compared with
+    hubs only, the member nearest to the bucket's majority fingerprint and the
+    first, so that a group of copies gives as many rows as it has members.
+    """
+
+    def keys(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                some = batch.slice(a, 128)
+                ths = some.column(0).to_numpy(zero_copy_only=False)
+                sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in some.column(1)]
+                fps = fingerprints(sets)
+                golay, at = keys_of(fps)
+                full = np.array([k for k, s in enumerate(sets) if len(s)], np.int64)
+                golay, at = golay[np.isin(at, full)], at[np.isin(at, full)]
+                key = np.concatenate([golay, *[band_keys(sets[k]) for k in full]])
+                at = np.concatenate([at, np.repeat(full, BANDS)]).astype(np.int64)
+                counts = np.array([len(s) for s in sets], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), ths[at], fps.view(np.int64)[at], counts[at])], ["key", "th", "fp", "n"])
+
+    keyed = scratch.write(texts.select("th", "text").mapInArrow(keys, "key long, th long, fp long, n long"), "keyed")
+    sizes = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
+    shared = scratch.write(keyed.join(sizes, "key"), "shared")
+    scratch.drop(keyed)
+    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    side = lambda df, s: df.select("key", *[F.col(c).alias(c[0] + s if c != "th" else s) for c in ("th", "fp", "n")])
+    small = shared.where(F.col("members") <= PAIR_LIMIT)
+    pairs = side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
+    crowded = shared.where(F.col("members") > PAIR_LIMIT)
+    bits = [F.sum(F.shiftright("fp", k).bitwiseAND(1)).alias(f"b{k}") for k in range(64)]
+    majority = crowded.groupBy("key").agg(F.count("*").alias("m"), *bits)
+    centre = reduce(lambda x, y: x.bitwiseOR(y), [F.when(F.col(f"b{k}") * 2 > F.col("m"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for k in range(64)])
+    majority = scratch.write(majority.select("key", centre.alias("centre")), "centres")
+    away = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    member = F.struct("th", "fp", "n")
+    hubs = crowded.join(majority, "key").groupBy("key").agg(F.min(F.struct(away.alias("d"), member.alias("x"))).alias("c"), F.min(member).alias("x"))
+    hubs = hubs.select("key", F.explode(F.array_distinct(F.array("c.x", "x"))).alias("x")).select("key", "x.*")
+    hubs = scratch.write(hubs, "hubs")
+    stars = side(crowded, "a").join(side(hubs, "b"), "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.write(pairs.unionByName(stars).distinct(), "pairs")
+    scratch.drop(shared)
+
+    def sets(batches):
+        for batch in batches:
+            raw = [np.unique(shingle_hashes(t.as_py(), size)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["th", "hashes"])
+
+    used = scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("th")).distinct(), "used")
+    held = scratch.write(texts.join(used, "th").select("th", "text").mapInArrow(sets, "th long, hashes binary"), "sets")
+
+    def verify(batches):
+        for batch in batches:
+            a, b = batch.column(0), batch.column(1)
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep, pa.bool_())), b.filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+
+    left = held.select(F.col("th").alias("a"), F.col("hashes").alias("ha"))
+    right = held.select(F.col("th").alias("b"), F.col("hashes").alias("hb"))
+    return scratch.write(pairs.join(left, "a").join(right, "b").select("a", "b", "ha", "hb").mapInArrow(verify, "a long, b long"), "verified")
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of equal or similar texts: that of the smallest doc_id.
+
+    Defined cases: null and empty texts are one group; texts without words are
+    similar only to equal ones; a text of fewer words than a shingle is one
+    shingle; of equal rows one stays; null ids come last; other columns are
+    kept as they are; an empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    keyed = docs.withColumn("_th", _text_key(F.col("text")))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_th").alias("th"))
+    firsts = scratch.write(keyed.groupBy("_th").agg(F.min(order).alias("first")).select(F.col("_th").alias("th"), "first"), "firsts")
+    one = firsts.select(F.col("th").alias("_th"), F.col("first.doc_id").alias("doc_id"))
+    k, o = keyed.alias("k"), one.alias("o")
+    same = F.col("k.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("k._th") == F.col("o._th"))
+    texts = scratch.write(k.join(o, same).select(F.col("k._th").alias("th"), F.col("k.text").cast("string").alias("text")).dropDuplicates(["th"]), "texts")
+    roots = components(scratch, similar_links(texts, scratch, size, similarity))
+    named = firsts.join(roots, firsts["th"] == roots["node"], "left").select(F.coalesce("root", "th").alias("root"), "first")
+    kept = scratch.write(named.groupBy("root").agg(F.min("first").alias("x")).select(F.col("x.doc_id").alias("doc_id"), F.col("x.th").alias("_th")), "kept")
+    d, e = keyed.alias("d"), kept.alias("e")
+    out = d.join(e, F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d._th") == F.col("e._th"))).select("d.*")
+    return out.dropDuplicates(["doc_id", "_th"]).drop("_th")
