@@ -110,19 +110,24 @@ class Matcher:
 
     def __init__(self, terms: dict[str, float], harmless: frozenset[str] = frozenset()):
         self.trie, self.harmless = Trie(terms), harmless
-        self.cache: dict[str, tuple[str, float] | None] = {}
-        # one edit, or a swap, leaves the first two or the last two of five and more letters as they are
-        self.begins = {(t[:2], len(t) + d) for t in terms if len(t) >= FUZZY_LETTERS for d in (-1, 0, 1)}
-        self.ends = {(t[-2:], len(t) + d) for t in terms if len(t) >= FUZZY_LETTERS for d in (-1, 0, 1)}
+        self.known: set[str] = set()  # raw words looked at, and those of them that match
+        self.found: dict[str, tuple[str, float]] = {}
+        # one edit, or a swap, touches only one side of a term's middle letter: the other side is as it was
+        long = [t for t in terms if len(t) >= FUZZY_LETTERS]
+        self.begins = {(t[: (len(t) - 1) // 2], len(t) + d) for t in long for d in (-1, 0, 1)}
+        self.ends = {(t[1 + (len(t) - 1) // 2 :], len(t) + d) for t in long for d in (-1, 0, 1)}
+        self.sides = sorted({len(x) for x, _ in self.begins | self.ends})
 
     def match(self, word: str) -> tuple[str, float] | None:
         """The term of a raw word and its trust."""
-        if word in self.cache:
-            return self.cache[word]
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.cache[word] = out = self._match(bare(word))
-        return out
+        if word not in self.known:
+            if len(self.known) > CACHE:
+                self.known.clear()
+            self.known.add(word)
+            got = self._match(bare(word))
+            if got:
+                self.found[word] = got
+        return self.found.get(word)
 
     def _match(self, word: str):
         if not word or not self.trie.terms:
@@ -132,20 +137,22 @@ class Matcher:
         if THRICE.search(word) and (thinned := THRICE.sub(r"\1", word)) in self.trie.terms:
             return thinned, 1.0
         n = len(word)
-        if n > 40 or ((word[:2], n) not in self.begins and (word[-2:], n) not in self.ends) or word in self.harmless:
+        if not any((word[:k], n) in self.begins or (word[-k:], n) in self.ends for k in self.sides) or word in self.harmless:
             return None
         got = self.trie.search(word, 1)
         return (got[0], FUZZY_TRUST) if got and len(got[0]) >= FUZZY_LETTERS else None
 
-    def strength(self, text: str | None, quoted: float) -> float:
-        """Sum of the matches' weights, each by its window; quotation counts `quoted`."""
-        if not text:
-            return 0.0
-        hits = {w for w in set(text.split()) if self.match(w)}
+    def strength(self, text: str | None) -> tuple[float, float]:
+        """Sums of the weights of a text's matches: those said in earnest, and those quoted or reported."""
+        words = (text or "").split()
+        own = set(words)
+        for w in own.difference(self.known):
+            self.match(w)
+        hits = own.intersection(self.found)
         if not hits:
-            return 0.0
-        words, total, inside = text.split(), 0.0, False
-        spans = []
+            return 0.0, 0.0
+        earnest = quoted = 0.0
+        inside, spans = False, []
         for w in words:  # is a word inside quotation marks
             opens = w[0] in OPEN or w[0] == '"'
             spans.append(inside or opens)
@@ -154,15 +161,14 @@ class Matcher:
         for k, w in enumerate(words):
             if w not in hits:
                 continue
-            term, trust = self.match(w)
+            term, trust = self.found[w]
             around = {bare(x) for x in words[max(0, k - WINDOW) : k + WINDOW + 1]}
-            factor = 1.0
+            weight = self.trie.terms[term] * trust
             if spans[k] and (around & REPORTING or not around & ADDRESS):
-                factor = quoted
-            elif around & ADDRESS:
-                factor = 1.25
-            total += self.trie.terms[term] * trust * factor
-        return total
+                quoted += weight
+            else:
+                earnest += weight * (1.25 if around & ADDRESS else 1.0)
+        return earnest, quoted
 
 
 def _counts(batches):
@@ -215,12 +221,12 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int =
     def strengths(batches):
         for batch in batches:
             y, texts = (c.to_pylist() for c in batch.columns)
-            got = [[matcher.strength(t, q) for t in texts] for q in tried]
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), *[pa.array(g, pa.float64()) for g in got]], ["y", *[f"q{k}" for k in range(len(tried))]])
+            earnest, quoted = zip(*map(matcher.strength, texts), strict=True) if texts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(earnest, pa.float64()), pa.array(quoted, pa.float64())], ["y", "earnest", "quoted"])
 
-    got = rows.mapInArrow(strengths, "y int, " + ", ".join(f"q{k} double" for k in range(len(tried)))).toArrow()
-    y = np.array(got.column("y"), np.float64)
-    fits = [(*_logistic(np.array(got.column(f"q{k}"), np.float64), y), q) for k, q in enumerate(tried)]
+    got = rows.mapInArrow(strengths, "y int, earnest double, quoted double").toArrow()
+    y, earnest, quotes = (np.array(got.column(c), np.float64) for c in ("y", "earnest", "quoted"))
+    fits = [(*_logistic(earnest + q * quotes, y), q) for q in tried]
     loss, bias, slope, quoted = min(fits, key=lambda f: round(f[0], 3))  # ties: the first, 0.25
     return matcher, (bias, slope), quoted
 
@@ -257,7 +263,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
 
     def run(batches):
         for batch in batches:
-            s = np.array([matcher.strength(t.as_py(), quoted) for t in batch.column(1)], np.float64)
+            s = np.array([a + quoted * b for a, b in (matcher.strength(t.as_py()) for t in batch.column(1))], np.float64)
             score = 1 / (1 + np.exp(-(bias + slope * _squash(s))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(s)], ["doc_id", "score", "strength"])
 
