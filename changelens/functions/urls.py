@@ -74,7 +74,7 @@ def is_public(url: Column) -> Column:
 
 
 def registrable_domain(hostname: Column) -> Column:
-    labels = F.split(F.trim(F.lit("."), F.lower(hostname)), r"\.")
+    labels = F.split(F.trim(F.lower(hostname), F.lit(".")), r"\.")
     n = F.size(labels)
     wide = (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
     keep = F.when(n <= 2, n).when(wide, 3).otherwise(2)

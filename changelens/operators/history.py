@@ -83,3 +83,9 @@ def budget_ledger(df: DataFrame, keys: list[str], order: list[str], kinds: dict[
         out = out.withColumn(f"used_{name}", F.coalesce(F.count_if(uses).over(w), F.lit(0)).cast("long"))
         ok = ok & (~uses | (F.col(f"used_{name}") < limit))
     return out.withColumn("allowed", ok)
+
+
+def first_sights(df: DataFrame, keys: list[str], order: list[str], baseline: Column) -> DataFrame:
+    """Adds was_seen and is_new: a key is new at its first sight, unless that belongs to the baseline."""
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1
+    return df.withColumn("was_seen", ~first).withColumn("is_new", first & ~baseline)

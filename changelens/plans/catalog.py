@@ -16,9 +16,11 @@ from changelens.operators import history as H
 from changelens.operators import links as L
 from changelens.operators import memory as M
 from changelens.operators import metrics as X
+from changelens.operators import pages as P
 from changelens.operators import retrieval as R
 from changelens.operators import statements as ST
 from changelens.operators import states as S
+from changelens.streaming import state as STATE
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -393,6 +395,73 @@ def q_candidate_pool40(spark, sf):
     return L.pool(rows, ["host"], "priority", "arrival").select("host", "page_id", F.col("pos").cast("long").alias("pos"), F.col("place").cast("long").alias("place"))
 
 
+@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '\s+', ' ', 'g')) AS title, (length(html) - length(replace(html, '<h1>', ''))) // 4 AS n_headings, false AS has_signals FROM pages")
+def q_page_blocks(spark, sf):
+    p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
+    return p.select("page_id", "title", F.size(F.filter("blocks", lambda b: b["type"] == "heading")).cast("long").alias("n_headings"), (F.size("signals") > 0).alias("has_signals"))
+
+
+@query()
+def q_page_quality(spark, sf):
+    p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
+    q = quality_gate(F.col("content"), F.size(F.filter("blocks", lambda b: b["has_content"])))
+    return p.select("page_id", q["status"].alias("quality"), "block_hash").join(P.block_metrics(p, ["page_id"]).drop("headings"), "page_id")
+
+
+@query(f"WITH {_LINKS} SELECT page_id, CAST(pos AS BIGINT) AS pos, raw AS href, 'nav' AS page_region FROM l WHERE pos < 6 AND raw LIKE '/%'")
+def q_page_link_regions(spark, sf):
+    links = P.page_links(t(spark, sf, "pages"), ["page_id"])
+    return links.where("pos < 6 AND href LIKE '/%' AND page_region = 'nav'").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "page_region")
+
+
+@query()
+def q_statement_units(spark, sf):
+    p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
+    u = P.statement_units(p, ["page_id"])
+    return u.select("page_id", "unit_no", ST.statement_id(F.col("page_id").cast("string"), F.col("text"), F.col("context")).alias("statement_id"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(text, '[\\s]+', '', 'g')) AS visible_hash, 0 AS n_bad FROM documents WHERE trim(text) <> ''")
+def q_chunk_offsets(spark, sf):
+    """Chunks joined hold every visible character of their document, and none is over the bound."""
+    c = P.chunk(t(spark, sf, "documents"), ["doc_id"])
+    parts = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("p"), F.count_if((F.length("content") > 1200) | (F.col("end") - F.col("start") != F.length("content"))).cast("int").alias("n_bad"))
+    joined = F.array_join(F.transform("p", lambda x: x["content"]), "")
+    return parts.select("doc_id", F.sha2(F.regexp_replace(joined, r"\s+", "").cast("binary"), 256).alias("visible_hash"), "n_bad")
+
+
+@query("SELECT NULL::VARCHAR AS chunk_id, NULL::BIGINT AS n WHERE false")
+def q_chunk_ids_unique(spark, sf):
+    c = P.chunk(t(spark, sf, "documents"), ["doc_id"])
+    cid = T.chunk_id(F.lit("own_product"), F.col("doc_id").cast("string"), F.sha2(F.col("doc_id").cast("string"), 256), 1200, F.col("chunk_index"))
+    return c.select(cid.alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query()
+def q_doc_diff_near_copy(spark, sf):
+    """Line differences of documents that share their first line, each with the one before it."""
+    d = t(spark, sf, "documents").select("doc_id", "text", F.xxhash64(F.substring_index("text", "\n", 1)).alias("head"))
+    w = W.partitionBy("head").orderBy("doc_id")
+    pairs = d.withColumn("previous", F.lag("text").over(w)).where("previous IS NOT NULL AND previous <> text")
+    return P.content_diff(pairs, ["doc_id"], "previous", "text").select("doc_id", F.sha2("diff", 256).alias("diff_hash"), F.length("diff").cast("long").alias("n_chars"))
+
+
+@query("""SELECT event_id, NOT (row_number() OVER w = 1) AS was_seen, row_number() OVER w = 1 AND ts >= TIMESTAMP '2024-01-10' AS is_new FROM events WINDOW w AS (PARTITION BY user_id, props ORDER BY ts, event_id)""")
+def q_stream_seen_set(spark, sf):
+    baseline = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
+    return H.first_sights(t(spark, sf, "events"), ["user_id", "props"], ["ts", "event_id"], baseline).select("event_id", "was_seen", "is_new")
+
+
+@query("""WITH s AS (SELECT *, event_type <> 'error' AS ok FROM events)
+SELECT event_id, max(CASE WHEN ok THEN struct_pack(ts := ts, id := event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).id AS previous,
+max(CASE WHEN ok THEN struct_pack(ts := ts, id := event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id).id AS processed, ok AS advanced FROM s""")
+def q_stream_watermark(spark, sf):
+    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("scan_id"), F.col("event_id").alias("snapshot_id"), F.when(F.col("event_type") != "error", "done").alias("outcome"), F.lit(None).cast("long").alias("base"))
+    schema = "user_id long, scan_id long, previous long, observed long, processed long, advanced boolean"
+    out = STATE.in_batch(e, ["user_id"], ["ts", "scan_id"], STATE.comparison_watermark, schema)
+    return out.select(F.col("scan_id").alias("event_id"), "previous", "processed", "advanced")
+
+
 # --- vectors ---
 
 _EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
