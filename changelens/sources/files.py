@@ -192,7 +192,10 @@ def parse_file(path: str, data: bytes | None, max_bytes: int = MAX_BYTES, max_ch
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path and the parsed form of each file under `path`; files over the bound are named without being loaded."""
+    """path and the parsed form of each file under `path`; files over the bound are named without being loaded.
+
+    Spark's file readers pass over files of no bytes, so those give no row; a file of white space is `empty_file`.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     files = files.withColumn("content", F.when(F.col("length") <= max_bytes, F.col("content")))
     out = per_row(files.withColumn("name", F.col("path")), ["path", "length"], ["name", "content"], parse_file, OUT)
