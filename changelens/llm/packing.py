@@ -3,7 +3,7 @@
 Each partition packs its own documents and names its sequences by its number,
 so nothing is shuffled.  A document's full sequences stand alone; its tail goes
 to the fill level f that minimises the sum of squared counts of open sequences
-by level, which changes by N[f + tail] - N[f] alone (closing or opening a
+by level, which depends on N[f + tail] - N[f] alone (closing or opening a
 sequence counts as a level without a square).  What stays open at the end of
 a partition is cut again to full sequences and to powers of two, which need no
 padding.
@@ -70,12 +70,12 @@ class SumOfSquares:
     def place(self, piece: tuple, length: int) -> int | None:
         """Puts a piece into an open or a new sequence; the number of the sequence if that is full now."""
         last = self.capacity - length
-        # halved change of the sum: N[to] - N[from] + 1; a new sequence has no from, a full one no to
-        best, at = (int(self.levels[length]) if last else 0), 0
+        # change of the sum: 2 N[to] - 2 N[from] + 2; a new sequence has no from, a full one no to
+        best, at = (2 * int(self.levels[length]) + 1 if last else 0), 0
         if last:
             used = self.levels[1 : last + 1]
-            change = np.where(used > 0, self.levels[1 + length :] - used, 1 << 40)
-            change[:-1] += 1
+            change = np.where(used > 0, 2 * (self.levels[1 + length :] - used) + 2, 1 << 40)
+            change[-1] -= 1
             k = last - 1 - int(change[::-1].argmin())  # ties: the fullest
             if change[k] <= best:
                 at = k + 1
