@@ -37,6 +37,7 @@ TAILS = {"latin": "ner rin lan dov mer sen ton vik", "cyrillic": "нер рин
 _titles = "|".join(f"{MALE_TITLES} {FEMALE_TITLES} {NEUTRAL_TITLES}".split())
 _word = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
 PATTERNS = {
+    "secret": r"(?<![\p{L}\p{N}_])(?i:api[_ -]?key|secret|password|passwd|token)\s*[:=]\s*\"?[A-Za-z0-9_-]{8,}",
     "email": r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -131,6 +132,7 @@ def surrogate(kind: Column, norm: Column, gender: Column, secret: str, attempt:
         .when(kind == "card", _card(norm, digest))
         .when(kind == "name", _name(norm, gender, digest))
         .when(kind == "iban", _masked(norm, digest, F.lit(2)))
+        .when(kind == "secret", _masked(norm, digest, F.length(F.regexp_extract(norm, r'^[^:=]*[:=]\s*"?', 0))))
         .when(kind == "phone", _masked(norm, digest, F.when(F.length(norm) > 10, F.length(norm) - 10).otherwise(0)))
         .otherwise(_masked(norm, digest, F.lit(0)))
     )
@@ -152,7 +154,7 @@ def _spelled(value: Column, kind: Column, new: Column) -> Column:
     return (
         F.when(kind == "name", F.concat(title, new))
         .when(kind == "email", F.when(value == F.upper(value), F.upper(new)).otherwise(new))
-        .when(kind == "ipv4", new)
+        .when(kind.isin("ipv4", "secret"), new)
         .otherwise(counted)
     )
 

@@ -176,7 +176,7 @@ def test_lines_equal_brute_force(documents):
 def test_surrogates_keep_form_and_coreference(documents):
     rows = [
         (1, "mail Bob.Smith@corp.com, BOB.SMITH@CORP.COM or al@corp.com; call +1 (275) 555-5927, +1 275 555 5927"), (2, "card 4111 1111 1111 1111 and 4111111111111111, ip 10.1.2.3"),
-        (3, "Herr Karl Meier und Frau Anna Meier; госпожа Анна Петрова"), (4, "mail bob.smith@corp.com v1.2.3.4.5 in 2024"), *ODD,
+        (3, "Herr Karl Meier und Frau Anna Meier; госпожа Анна Петрова"), (4, "mail bob.smith@corp.com v1.2.3.4.5 in 2024"), (5, 'a token = "9c8b45435718dcc700c1" here'), *ODD,
     ]
     got = {r.doc_id: r for r in surrogates.replace_pii(documents(rows), "key").collect()}
     a, b = got[1].text, got[2].text
@@ -191,6 +191,7 @@ def test_surrogates_keep_form_and_coreference(documents):
     words = got[3].text.split()
     assert words[0] == "Herr" and words[1] in male and words[4] == "Frau" and words[5] in female and "Петрова" not in got[3].text
     assert any(g in got[3].text for g in surrogates.GIVEN["female_cyrillic"].split())
+    assert got[5].text.startswith('a token = "') and got[5].text.endswith('" here') and "9c8b" not in got[5].text and len(got[5].text) == len(rows[4][1])
     for d, t in ODD[:3]:
         assert got[d].text == t and got[d].n_entities == 0
 
