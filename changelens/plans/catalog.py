@@ -17,7 +17,9 @@ from changelens.operators import links as L
 from changelens.operators import memory as M
 from changelens.operators import metrics as X
 from changelens.operators import pages as P
+from changelens.operators import research as RS
 from changelens.operators import retrieval as R
+from changelens.operators import service as SV
 from changelens.operators import statements as ST
 from changelens.operators import states as S
 from changelens.streaming import state as STATE
@@ -629,6 +631,85 @@ def q_event_gate(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", decision.alias("decision"))
 
 
+# --- runs, scores, results and views over `orders`, `labels` and `events` ---
+
+_RUNS = """r AS (SELECT CASE WHEN doc_id % 10 = 0 THEN 'BLOCKED' WHEN doc_id % 10 = 1 THEN 'ERROR' ELSE 'SUCCESS' END AS s, quality = 1 - toxic AS ok FROM labels)"""
+
+
+@query(f"""WITH {_RUNS} SELECT count(*) AS n_cases, count(*) FILTER (s = 'SUCCESS') AS n_success, count(*) FILTER (s = 'BLOCKED') AS n_blocked, count(*) FILTER (s = 'ERROR') AS n_error,
+round(count(*) FILTER (ok AND s = 'SUCCESS') / count(*) FILTER (s = 'SUCCESS'), 6) AS valid_accuracy, round(count(*) FILTER (ok AND s = 'SUCCESS') / count(*), 6) AS end_to_end_accuracy, round(count(*) FILTER (s = 'SUCCESS') / count(*), 6) AS execution_rate FROM r""")
+def q_run_summary(spark, sf):
+    m = F.col("doc_id") % 10
+    runs = t(spark, sf, "labels").select(F.when(m == 0, "BLOCKED").when(m == 1, "ERROR").otherwise("SUCCESS").alias("execution_status"), (F.col("quality") == 1 - F.col("toxic")).alias("decision_correct"))
+    out = X.run_summary(runs)
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith(("accuracy", "rate")) else F.col(c) for c in out.columns])
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'event' WHEN 'O' THEN 'no_event' ELSE 'uncertain' END AS g, CASE WHEN o_totalprice > 150000 THEN 'event' ELSE 'no_event' END AS a, o_orderpriority LIKE '1%' AS type_ok FROM orders)
+SELECT CASE WHEN g <> a THEN g || '_as_' || a WHEN g = 'event' AND NOT type_ok THEN 'event_type_mismatch' END AS category, count(*) AS n FROM c GROUP BY 1""")
+def q_bad_cases(spark, sf):
+    o = t(spark, sf, "orders")
+    gold = F.when(F.col("o_orderstatus") == "F", "event").when(F.col("o_orderstatus") == "O", "no_event").otherwise("uncertain")
+    actual = F.when(F.col("o_totalprice") > 150000, "event").otherwise("no_event")
+    return o.select(X.bad_case(gold, actual, F.col("o_orderpriority").like("1%")).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'event' WHEN 'O' THEN 'no_event' ELSE 'uncertain' END AS g, CASE WHEN o_totalprice > 150000 THEN 'event' ELSE 'no_event' END AS a, substr(o_orderpriority, 1, 1)::INT AS p FROM orders)
+SELECT g = a AS decision_correct, CASE WHEN g = 'event' THEN p <= 2 END AS event_type_correct, CAST((a = 'event' AND p = 5)::INT + (p = 4)::INT + (a <> 'event' AND p = 3)::INT AS BIGINT) AS n_violations, CAST((g <> a)::INT + (g = 'event' AND p > 2)::INT AS BIGINT) AS n_reasons, count(*) AS n FROM c GROUP BY 1, 2, 3, 4""")
+def q_score_cases(spark, sf):
+    p = F.substring("o_orderpriority", 1, 1).cast("int")
+    cases = t(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") == "F", "event").when(F.col("o_orderstatus") == "O", "no_event").otherwise("uncertain").alias("gold_decision"), F.when(F.col("o_totalprice") > 150000, "event").otherwise("no_event").alias("decision"),
+        F.lit("pricing").alias("gold_type"), F.when(p <= 2, "pricing").alias("event_type"), F.when(p == 3, 1).otherwise(0).alias("n_events"), F.when(p == 5, 0).otherwise(1).alias("n_evidence"), F.lit(0).alias("n_unverified"), F.when(p == 4, 2).otherwise(1).alias("model_calls"),
+    )
+    scored = X.score_case(cases).select("decision_correct", "event_type_correct", F.size("violations").cast("long").alias("n_violations"), F.size("review_reasons").cast("long").alias("n_reasons"))
+    return scored.groupBy(*scored.columns).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority AS workspace_id, count(DISTINCT o_custkey) AS n_competitors, count(*) FILTER (o_orderstatus = 'P') AS n_pending, count(*) FILTER (o_orderstatus <> 'P') AS n_events FROM orders GROUP BY 1")
+def q_overview(spark, sf):
+    o = t(spark, sf, "orders").select(F.col("o_orderpriority").alias("workspace_id"), F.col("o_custkey").alias("competitor"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("confirmed").alias("status"))
+    return SV.overview(o)
+
+
+@query("""WITH c AS (SELECT user_id, count(*) FILTER (event_type = 'purchase') AS n, count(*) FILTER (event_type = 'error') AS h FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN n > 0 AND h > 0 THEN 'new_and_historical' WHEN n > 0 THEN 'new' WHEN h > 0 THEN 'historical' ELSE 'none' END AS message FROM c""")
+def q_scan_summary(spark, sf):
+    c = t(spark, sf, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("n"), F.count_if(F.col("event_type") == "error").alias("h"))
+    return c.select("user_id", SV.scan_summary(F.col("n"), F.col("h")).alias("message"))
+
+
+@query("""SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'failed' WHEN bool_or(event_type = 'signup') THEN 'pending' ELSE 'complete' END AS status, count(DISTINCT props) AS n_citations, count(DISTINCT CASE WHEN value > 50 THEN props END) AS n_uncertainties FROM events GROUP BY 1""")
+def q_result_assembly(spark, sf):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "pending").otherwise("complete")
+    rec = t(spark, sf, "events").select("user_id", status.alias("status"), F.col("props").alias("citation_id"), F.col("event_id").alias("citation"), F.when(F.col("value") > 50, F.col("props")).alias("uncertainty"), F.struct("ts", "event_id").alias("at"))
+    out = RS.assemble(rec, "user_id", "at")
+    return out.select("user_id", "status", F.size("citations").cast("long").alias("n_citations"), F.coalesce(F.size("uncertainties"), F.lit(0)).cast("long").alias("n_uncertainties"))
+
+
+@query("SELECT doc_id, sha256('[\"' || source || '\", \"' || lang || '\"]') AS identity, regexp_replace(source || ':' || lang || '?', '[<>:\"/|?*]', '_', 'g') AS file_name FROM documents")
+def q_identities(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", T.list_identity(F.col("source"), F.col("lang")).alias("identity"), T.safe_filename(F.concat("source", F.lit(":"), "lang", F.lit("?"))).alias("file_name"))
+
+
+@query(f"""WITH {_LINKS}, k AS (SELECT raw AS key, page_id * 100000 + pos AS seq, CASE WHEN pos < 6 THEN 'page_link' WHEN pos % 2 = 0 THEN 'web_search' ELSE 'user_input' END AS provenance, CASE WHEN pos % 3 = 0 THEN '' ELSE anchor_text END AS title, href FROM l)
+SELECT key, CASE max(CASE provenance WHEN 'user_input' THEN 3 WHEN 'web_search' THEN 2 ELSE 1 END) WHEN 3 THEN 'user_input' WHEN 2 THEN 'web_search' ELSE 'page_link' END AS provenance, arg_min(title, seq) FILTER (title <> '') AS title, arg_min(href, seq) AS url FROM k GROUP BY 1""")
+def q_candidate_merge(spark, sf):
+    pos = F.col("pos")
+    rows = _links(spark, sf).select(
+        F.col("href").alias("key"), (F.col("page_id") * 100000 + pos).alias("seq"), F.when(pos < 6, "page_link").when(pos % 2 == 0, "web_search").otherwise("user_input").alias("provenance"),
+        F.when(pos % 3 == 0, "").otherwise(F.col("anchor_text")).alias("title"), F.lit("").alias("snippet"), F.col("target").alias("url"),
+    )
+    return L.merge_candidates(rows, "key", "seq").select("key", "provenance", "title", "url")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, turn % 4 = 0 AS is_default, row_number() OVER (PARTITION BY conv_id, turn % 4 = 0 ORDER BY turn) AS place, 1 + turn % 3 AS depth FROM conversations)
+SELECT conv_id, turn, is_default OR (place <= 3 AND depth <= 2) AS kept FROM c""")
+def q_bounded_tabs(spark, sf):
+    tabs = t(spark, sf, "conversations").select("conv_id", "turn", (F.col("turn") % 4 == 0).alias("is_default"), (1 + F.col("turn") % 3).alias("depth"))
+    return S.bounded_tabs(tabs, ["conv_id"], "turn", "is_default", ["conv_id"], per_group=3).select("conv_id", "turn", "kept")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
