@@ -19,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.base import bounded_labels, label_fold
+from changelens.llm.base import Scratch, bounded_labels, label_fold
+from changelens.llm.simhash import shingle_hashes
 
 #: Labelled documents learned from, and lexicon terms kept, at most.
 TRAIN_LIMIT, TERM_LIMIT = 20_000, 500
@@ -186,6 +187,37 @@ def _counts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(c, pa.int64()), pa.array(t, pa.int64())], ["word", "docs", "toxic"])
 
 
+def _originals(rows: DataFrame) -> DataFrame:
+    """doc_id of the sampled documents that share none of a few shingle minima with an earlier one.
+
+    A toxic document copied a thousand times, with an edit here and there,
+    would else make a term of each of its words.  The sample is bounded, so
+    its minima are compared on the driver.
+    """
+    factors = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+
+    def run(batches):
+        for batch in batches:
+            minima = []
+            for text in batch.column(1).to_pylist():
+                h = shingle_hashes(text, 3)
+                h = h if len(h) else np.zeros(1, np.uint64)
+                mixed = (h ^ (h >> np.uint64(29)))[:, None] * factors
+                minima.append((mixed ^ (mixed >> np.uint64(32))).min(0))
+            cols = np.array(minima, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols.T]], ["doc_id", "m0", "m1", "m2", "m3"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, m0 long, m1 long, m2 long, m3 long").toArrow().sort_by("doc_id")
+    keep = np.ones(len(got), bool)
+    for k in range(4):
+        first = np.zeros(len(got), bool)
+        first[np.unique(got.column(f"m{k}").to_numpy(), return_index=True)[1]] = True
+        keep &= first
+    ids = got.column("doc_id").filter(pa.array(keep))
+    return rows.sparkSession.createDataFrame(pa.table({"doc_id": ids}))
+
+
 def _ratio(a, n1, b, n0):
     """Signed log-likelihood ratio columns: a of n1 toxic and b of n0 other documents."""
     p = (a + b) / (n1 + n0)
@@ -195,8 +227,11 @@ def _ratio(a, n1, b, n0):
 
 def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int = TRAIN_LIMIT):
     """(matcher, (bias, slope), quoted weight) from at most about `limit` labelled documents."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = bounded_labels(labels.select("doc_id", label), label, allowed, limit)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    rows = scratch.write(rows, "sample")
+    rows = rows.join(F.broadcast(_originals(rows)), "doc_id").select("label", "text")  # at most about `limit` rows
     n, n1 = rows.agg(F.count("*"), F.sum("label")).first()
     n1 = n1 or 0
     if not n1 or n1 == n:
