@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -27,12 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def _forget(spark: SparkSession, root: str) -> None:
+    """Deletes a folder when the driver ends; a session that has ended before leaves it."""
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Intermediate tables as Parquet in the shared folder: lineage ends there and a lost executor costs nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/changelens/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        atexit.register(_forget, spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
