@@ -60,7 +60,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
     cut = held.join(common, "line").groupBy("_key").agg(F.collect_set("line").alias("_cut"))  # at most the lines of one text
     cut = scratch.write(cut, "cut")
     lines = F.split(text, "\n")
-    joined = keyed.join(cut, "_key", "left").withColumn("_lines", lines)
+    # `cut` grows with the documents, so both sides are shuffled at any size
+    joined = keyed.join(cut.hint("merge"), "_key", "left").withColumn("_lines", lines)
     is_cut = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_cut"), _hash(x))
     gone = F.filter("_lines", is_cut)
     weight = F.aggregate(gone, F.lit(0), lambda n, x: n + F.length(x) + 1)
