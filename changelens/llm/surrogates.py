@@ -204,7 +204,8 @@ def replace_pii(docs: DataFrame, secret: str) -> DataFrame:
     maps = pairs.select("_key", "value", "new").distinct().groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("_map"))
     maps = scratch.write(maps, "maps")  # at most the entities of one text
     text = F.col("text").cast("string")
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(maps, "_key", "left")
+    # `maps` grows with the documents, so both sides are shuffled at any size
+    joined = docs.withColumn("_key", F.xxhash64(text)).join(maps.hint("merge"), "_key", "left")
     found_here = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     pieces = F.split(text, ANY, -1)
     woven = F.concat(F.transform(F.arrays_zip(pieces.alias("p"), found_here.alias("m")), lambda x: F.concat(F.coalesce(x["p"], F.lit("")), F.coalesce(F.element_at(F.col("_map"), x["m"]), x["m"], F.lit("")))))
