@@ -196,6 +196,15 @@ def test_surrogates_keep_form_and_coreference(documents):
         assert got[d].text == t and got[d].n_entities == 0
 
 
+def test_secrets_of_letters_alone(documents):
+    rows = [(1, "password: correcthorsebattery"), (2, "so api_key=AbCdEfGhIjKl ends"), (3, 'My Token = "qwertyuiop"'), (4, "Password: ____________ (fill in)"), (5, "a key: none")]
+    got = {r.doc_id: r for r in surrogates.replace_pii(documents(rows), "key").collect()}
+    for d, secret in ((1, "correcthorsebattery"), (2, "AbCdEfGhIjKl"), (3, "qwertyuiop")):
+        assert got[d].n_entities == 1 and secret not in got[d].text and len(got[d].text) == len(rows[d - 1][1])
+    assert got[1].text.startswith("password: ") and got[2].text.endswith(" ends") and got[3].text.startswith('My Token = "')
+    assert all(got[d].text == rows[d - 1][1] and got[d].n_entities == 0 for d in (4, 5))  # a blank to fill in is no secret
+
+
 def test_surrogates_never_clash(spark):
     found = spark.createDataFrame([("email", f"{a}{b}@x.com", "") for a in "abcdef" for b in "abcdef"] + [("ipv4", f"10.0.0.{k}", "") for k in range(200)], "kind string, norm string, gender string")
     got = surrogates.surrogate_table(found, "k", Scratch(spark, "t")).toPandas()
