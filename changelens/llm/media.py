@@ -92,7 +92,7 @@ def syncsafe(n: int) -> bytes:
 
 
 def encode(payload: bytes) -> bytes:
-    """`payload` as an MPEG audio file; the ID3v2 tag carries its length."""
+    """`payload` as an MPEG audio file; the ID3v2 tag carries its length, and an ID3v1 tag ends it, so that no payload can pass for one."""
     frames, at = [], 0
     while at < len(payload):
         rest = len(payload) - at
@@ -109,11 +109,11 @@ def encode(payload: bytes) -> bytes:
     table = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
     text = b"\x03payload_bytes\0" + str(len(payload)).encode()
     tag = b"TXXX" + syncsafe(len(text)) + b"\0\0" + text
-    return b"ID3\x04\0\0" + syncsafe(len(tag)) + tag + _frame(table.ljust(info, b"\0"), 9) + b"".join(frames)
+    return b"ID3\x04\0\0" + syncsafe(len(tag)) + tag + _frame(table.ljust(info, b"\0"), 9) + b"".join(frames) + b"TAG" + bytes(124) + b"\xff"
 
 
 def tags(data: bytes) -> tuple[int, dict[str, str]]:
-    """Where audio begins after any ID3v2 tag, and the tag's text fields (v2.3, v2.4) with those of an ID3v1 tag."""
+    """Where audio begins after any ID3v2 tag, and the tag's text fields (v2.3, v2.4)."""
     at, out = 0, {}
     while data[at : at + 3] == b"ID3" and len(data) >= at + 10:
         size = sum((b & 0x7F) << s for b, s in zip(data[at + 6 : at + 10], (21, 14, 7, 0), strict=True))
@@ -129,32 +129,39 @@ def tags(data: bytes) -> tuple[int, dict[str, str]]:
                 out[key] = text
             pos += 10 + n
         at += 10 + size
-    if data[-128:-125] == b"TAG":
-        fields = {"TIT2": data[-125:-95], "TPE1": data[-95:-65], "TALB": data[-65:-35]}
-        out = {k: v.decode("latin-1").rstrip("\0 ") for k, v in fields.items()} | out
     return at, out
 
 
+def old_tag(data: bytes) -> dict[str, str]:
+    """The text fields of the ID3v1 tag that ends `data`."""
+    fields = {"TIT2": data[-125:-95], "TPE1": data[-95:-65], "TALB": data[-65:-35]}
+    return {k: v.decode("latin-1").rstrip("\0 ") for k, v in fields.items()}
+
+
 def frames_of(data: bytes, at: int) -> Iterator[tuple[int, dict, bool]]:
     """(offset, header, resynchronised) of each whole frame from `at` on.
 
     Once in step, a frame follows where the last one ends.  Out of step, a
-    header counts only if a like header, or the end, follows its frame.
+    header counts only if a like header, or the end, follows its frame.  'TAG'
+    128 bytes before the end is an ID3v1 tag unless a frame of which the same
+    is true runs over it.
     """
-    end = len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    end = len(data)
+    tag = end - 128 if data[-128:-125] == b"TAG" else end
     step, lost = False, False
-    while at < end:
+    while at < tag:
         h = header(data, at)
-        ok = h is not None and at + h["length"] <= end
-        if ok and not step:
-            after = at + h["length"]
+        after = at + h["length"] if h else end + 1
+        ok = after <= end
+        if ok and (not step or after > tag):
             g = header(data, after)
-            ok = after == end or g is not None and (g["version"], g["layer"], g["rate"]) == (h["version"], h["layer"], h["rate"])
+            ok = after in (tag, end) or g is not None and (g["version"], g["layer"], g["rate"]) == (h["version"], h["layer"], h["rate"])
         if ok:
             yield at, h, lost
-            at, step, lost = at + h["length"], True, False
+            at, step, lost = after, True, False
+            tag = end if at > tag else tag
         else:
-            at, step, lost = data.find(b"\xff", at + 1, end), False, True
+            at, step, lost = data.find(b"\xff", at + 1, tag), False, True
             if at < 0:
                 return
 
@@ -179,9 +186,9 @@ def parse(data: bytes) -> dict:
     """Tags, table, frames, CRC results, duration and offsets of an MPEG audio file, and the frames' bodies joined."""
     start, fields = tags(data)
     found, bodies, good, bad, resyncs, table, first = [], [], 0, 0, 0, None, None
-    samples, rate = 0, 0
+    samples, rate, last = 0, 0, start
     for at, h, lost in frames_of(data, start):
-        resyncs += lost
+        resyncs, last = resyncs + lost, at + h["length"]
         if h["crc"] and h["layer"] == 3:
             covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]
             ok = frame_crc(covered) == int.from_bytes(data[at + 4 : at + 6], "big")
@@ -193,6 +200,8 @@ def parse(data: bytes) -> dict:
         samples, rate = samples + h["samples"], h["rate"]
         found.append(at)
         bodies.append(data[at + h["body"] : at + h["length"]])
+    if data[-128:-125] == b"TAG" and last <= len(data) - 128:
+        fields = old_tag(data) | fields
     return {"tags": fields, "table": table, "first": first, "offsets": found, "crc_good": good, "crc_bad": bad, "resyncs": resyncs, "samples": samples, "rate": rate or RATE, "body": b"".join(bodies)}
 
 

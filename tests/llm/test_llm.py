@@ -119,6 +119,19 @@ def test_media_round_trip(n):
     assert all(media.header(data, at) for at in got["offsets"])
 
 
+def test_media_payload_that_looks_like_a_tag():
+    for n, at in ((100, 29), (5000, None), (1416 + 90, None)):
+        text = "x" * at + "TAG" + "x" * (n - at - 3) if at else "TAG" * (n // 3)
+        for pad in range(3):
+            payload = media.padded("." * pad + text)
+            data = media.encode(payload)
+            bare = data[:-128]  # as a writer without ID3v1 leaves it
+            for d in (data, bare):
+                got = media.parse(d)
+                assert media.decode(d) == payload and got["table"]["frames"] == len(got["offsets"]) and got["resyncs"] == 0
+    assert media.encode(media.padded("x" * 29 + "TAG" + "x" * 68))[:-128][-128:-125] == b"TAG"
+
+
 def test_media_damage_is_seen():
     data = media.encode(random.Random(2).randbytes(20_000))
     offsets = media.parse(data)["offsets"]
