@@ -32,6 +32,14 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file and their ids; those that take white space or whole words only aren't known here."""
+    added = json.loads(Path(path).read_text()).get("added_tokens", ())
+    if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"added tokens of {path} match by rules that aren't implemented")
+    return {x["content"]: x["id"] for x in added}
+
+
 def token_bytes(path: str) -> dict[bytes, int]:
     """The vocabulary of a byte-level tokenizer file as bytes to ids, special tokens left out."""
     spec = json.loads(Path(path).read_text())
@@ -46,16 +54,20 @@ class Encoder:
 
     The merges of such a file are in the order of their ids, so its vocabulary
     alone gives a rank encoder with the same ids, which is about five times as
-    fast; tests hold it against the `tokenizers` library.
+    fast; tests hold it against the `tokenizers` library.  As with its switch of
+    the same name, the literal of an added token is spelled out like any text
+    with `encode_special_tokens`, and is the token's single id without.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
-        self.coder = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=token_bytes(path), special_tokens={})
+        added = {} if encode_special_tokens else added_tokens(path)
+        self.allowed = set(added)
+        self.coder = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=token_bytes(path), special_tokens=added)
 
     def encode(self, text: str) -> bytes:
-        return self.coder.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.coder.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 class SumOfSquares:
@@ -102,7 +114,7 @@ def _power_cuts(total: int, capacity: int) -> list[int]:
 
 
 def pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    encoder, bins, end = Encoder(path), SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
+    encoder, bins, end = Encoder(path, encode_special_tokens=False), SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
     rows: list[tuple] = []
 
     def encoded(batch):

@@ -336,6 +336,19 @@ def test_ids_equal_the_tokenizers_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_single_ids(documents):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "  <|endoftext|>  1", "<|endoftext", "don't <|ENDOFTEXT|>"]
+    got = {r.doc_id: r for r in packing.pack(documents(list(enumerate(texts)), parts=1)).where("start = 0").collect()}
+    own = packing.Encoder(packing.tokenizer_path(), encode_special_tokens=False)
+    for k, t in enumerate(texts):
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == ids and got[k].doc_tokens == len(ids) + 1
+    assert np.frombuffer(own.encode(texts[0]), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 def test_packing_covers_every_id_once(documents):
     r = random.Random(5)
     rows = [(k, "word " * r.choice([1, 5, 300, 900, 3000])) for k in range(150)] + ODD
