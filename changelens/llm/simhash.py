@@ -220,9 +220,10 @@ def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: flo
     `texts`: th, text, one row for each different text.  Golay keys of the
     fingerprints bring together what differs in two bits at most; similar texts
     often differ in ten, so min-hash bands bring together the rest.  Every link
-    is verified on the whole shingle sets.  Crowded buckets are compared with
-    hubs only, the member nearest to the bucket's majority fingerprint and the
-    first, so that a group of copies gives as many rows as it has members.
+    is verified on the whole shingle sets.  Crowded buckets are first compared
+    with hubs, the member nearest to the bucket's majority fingerprint and the
+    first, so that a group of copies gives as many rows as it has members; what
+    that leaves apart meets by an exact prefix filter.
     """
 
     def keys(batches):
@@ -260,7 +261,61 @@ def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: flo
     hubs = scratch.write(hubs, "hubs")
     stars = side(crowded, "a").join(side(hubs, "b"), "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.write(pairs.unionByName(stars).distinct(), "pairs")
+    first = _verified(texts, pairs, scratch, size, similarity)
+    rest = crowded.select("th").distinct()
+    if rest.limit(1).count():
+        rest = scratch.write(rest, "crowded")
+        more = _prefix_pairs(texts.join(rest, "th"), components(scratch, first), scratch, size, similarity)
+        first = scratch.write(first.unionByName(_verified(texts, more, scratch, size, similarity)), "all_links")
     scratch.drop(shared)
+    return first
+
+
+def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
+    """(a, b) of the texts that may be that similar and aren't in one component of `roots` (node, root) yet; loses none.
+
+    Shingles are ordered by the number of texts that hold them.  Similar texts
+    share one among the first n - o + 1 of each, with o the least overlap that
+    the similarity allows: 2 s / (1 + s) n for the smaller set, s n for the
+    larger.  What a template puts in all of its pages comes last in this order.
+    Of a shingle's texts those in its largest component meet the others only.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 128):
+                some = batch.slice(a, 128)
+                sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in some.column(1)]
+                counts = np.array([len(s) for s in sets], np.int64)
+                ths = some.column(0).to_numpy(zero_copy_only=False)
+                h = np.concatenate([np.zeros(0, np.uint64), *sets])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ths, counts), h.view(np.int64), np.repeat(counts, counts))], ["th", "h", "n"])
+
+    held = scratch.write(texts.select("th", "text").mapInArrow(run, "th long, h long, n long"), "shingles")
+    spread = scratch.write(held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "spread")
+    known = held.join(spread, "h")
+    # shingles of one text alone come first and meet nothing, so they only use up places
+    ordered = known.groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
+    places = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("hs"))
+    ordered = ordered.select("th", "n", "hs", places(2 * similarity / (1 + similarity)).alias("short"), places(similarity).alias("long"))
+    ordered = ordered.where("long > 0").join(roots, ordered["th"] == roots["node"], "left").withColumn("root", F.coalesce("root", "th"))
+    keys = ordered.select("th", "n", "root", "short", F.posexplode(F.slice("hs", F.lit(1), F.col("long").cast("int"))).alias("at", "x"))
+    keys = scratch.write(keys.select(F.col("x.h").alias("h"), "th", "n", "root", (F.col("at") < F.col("short")).alias("index")), "prefixes")
+    scratch.drop(held, spread)
+    groups = keys.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root"))["root"].alias("main"))
+    keys = scratch.write(keys.join(groups.where("roots > 1").select("h", "main"), "h").withColumn("other", F.col("root") != F.col("main")), "meeting")
+    side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("th", "n", "root")])
+    may = (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "th_a") < F.struct("n_b", "th_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
+    out = None
+    for short, long in ((keys.where("index and other"), keys), (keys.where("index and not other"), keys.where("other"))):
+        met = side(short, "a").join(side(long, "b"), "h").where(may)
+        met = met.select(F.least("th_a", "th_b").alias("a"), F.greatest("th_a", "th_b").alias("b"))
+        out = met if out is None else out.unionByName(met)
+    return scratch.write(out.distinct(), "prefix_pairs")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets have that similarity."""
 
     def sets(batches):
         for batch in batches:

@@ -319,6 +319,23 @@ def test_near_duplicates_keep_one(documents):
     assert got == sorted([0, *range(100, 130), 200, 900, 902, 903, None, 904], key=str)
 
 
+def test_similar_pages_of_one_template_are_found(spark):
+    r = random.Random(10)
+    word = lambda: f"w{r.randrange(10**9)}"
+    template = [word() for _ in range(314)]
+    pages = []
+    for _ in range(60):  # two pages of 0.81, any other two of 0.73
+        own, shared = [[word() for _ in range(36)] for _ in range(2)], [word() for _ in range(22)]
+        pages += [template + shared + x for x in own]
+    pages += [template + [word() for _ in range(58)] for _ in range(180)]
+    sets = [set(simhash.shingles(" ".join(p), 5)) for p in pages]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert want == {(k, k + 1) for k in range(0, 120, 2)}
+    texts = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(pages)], "th long, text string")
+    got = simhash.similar_links(texts, Scratch(spark, "t"), 5, 0.8)
+    assert {(x.a, x.b) for x in got.collect()} == want
+
+
 # --- packing ---
 
 
