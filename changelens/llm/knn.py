@@ -21,7 +21,7 @@ from changelens.llm.base import Scratch
 #: Vectors in a block, pivots and vectors sampled for them, at most.
 BLOCK, PIVOT_LIMIT, SAMPLE_LIMIT = 1024, 1024, 8192
 PIVOT_SEED = 5
-BLOCKS = "dim int, cell int, n int, ids binary, vecs binary, floors binary"
+BLOCKS = "dim int, cell int, n int, rows binary, ids binary, vecs binary, floors binary"
 
 
 @contextmanager
@@ -37,19 +37,20 @@ def arrow_rows(spark: SparkSession, n: int):
 
 
 def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
-    """vec_id, vec: floor(scale * x) of each component; vectors that are null or hold null or non-finite components left out."""
+    """vec_id, vec, row (an own key) of each different (vec_id, vec): floor(scale * x) of each component; vectors that are null or hold null or non-finite components left out."""
     real = F.transform("embedding", lambda x: x.cast("double"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     out = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)))
     out = out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(real, lambda x: F.floor(x * scale).cast("long")).alias("vec"))
-    return out.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return out.distinct().withColumn("row", F.monotonically_increasing_id())
 
 
 def choose_pivots(sample: list[list[int]], n: int) -> dict[int, np.ndarray]:
     """Pivots by dimension: a few rounds of k-means over a bounded sample, about one for each block of data."""
     out = {}
     for dim in sorted({len(v) for v in sample}):
-        x = np.array([v for v in sample if len(v) == dim], np.float64).reshape(-1, dim)
+        some = [v for v in sample if len(v) == dim]
+        x = np.array(some, np.float64).reshape(len(some), dim)
         k = max(1, min(PIVOT_LIMIT, len(x), -(-n // BLOCK)))
         centres = x[np.random.default_rng(PIVOT_SEED).permutation(len(x))[:k]].copy()
         for _ in range(4):
@@ -87,20 +88,20 @@ def _assign(pivots: dict[int, np.ndarray]):
                 cell[at] = _closest(x, centres)
                 dist[at] = np.sqrt(((x - centres[cell[at]]) ** 2).sum(1))
             raw = [np.array(v, "<i8").tobytes() for v in vecs]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(dims), pa.array(cell), pa.array(dist), pa.array(raw, pa.binary())], ["vec_id", "dim", "cell", "dist", "raw"])
+            yield pa.RecordBatch.from_arrays([batch.column(2), ids, pa.array(dims), pa.array(cell), pa.array(dist), pa.array(raw, pa.binary())], ["row", "vec_id", "dim", "cell", "dist", "raw"])
 
     return run
 
 
 def _blocks(rows: DataFrame, parts: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Blocks of about BLOCK vectors of a cell; large cells are dealt out by a hash of the id."""
-    dealt = rows.join(F.broadcast(parts), ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    """Blocks of about BLOCK vectors of a cell; large cells are dealt out by a hash of the row."""
+    dealt = rows.join(F.broadcast(parts), ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("row"), F.col("parts")))
 
     def run(group: pa.Table) -> pa.Table:
-        order = group.sort_by("vec_id")
+        order = group.sort_by([("vec_id", "ascending"), ("row", "ascending")])
         floors = order.column("floor").to_numpy(zero_copy_only=False) if "floor" in order.column_names else np.zeros(0)
-        one = [order.column("dim")[0].as_py(), order.column("cell")[0].as_py(), len(order), order.column("vec_id").to_numpy().astype("<i8").tobytes(), b"".join(order.column("raw").to_pylist()), floors.astype("<f8").tobytes()]
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        one = [order.column("dim")[0].as_py(), order.column("cell")[0].as_py(), len(order), order.column("row").to_numpy().astype("<i8").tobytes(), order.column("vec_id").to_numpy().astype("<i8").tobytes(), b"".join(order.column("raw").to_pylist()), floors.astype("<f8").tobytes()]
+        kinds = [pa.int32()] * 3 + [pa.binary()] * 4
         return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return scratch.write(dealt.groupBy("dim", "cell", "salt").applyInArrow(run, BLOCKS), name)
@@ -112,7 +113,7 @@ def _solve(k: int):
             for r in batch.to_pylist():
                 dim = r["dim"]
                 q, x = (np.frombuffer(r[c], "<i8").reshape(-1, dim) if dim else np.zeros((r[m], 0), np.int64) for c, m in (("q_vecs", "q_n"), ("vecs", "n")))
-                qid, xid = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                qrow, qid, xid = np.frombuffer(r["q_rows"], "<i8"), np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                 floors = np.frombuffer(r["q_floors"], "<f8") if r["q_floors"] else np.full(len(qid), -np.inf)
                 scores = _exact(q, x)
                 out = []
@@ -124,15 +125,15 @@ def _solve(k: int):
                         ok = ok[s[ok] >= least]
                         ok = ok[np.lexsort((xid[ok], -s[ok]))[:k]]
                     if len(ok):
-                        out.append((np.full(len(ok), qid[i]), xid[ok], s[ok]))
+                        out.append((np.full(len(ok), qrow[i]), np.full(len(ok), qid[i]), xid[ok], s[ok]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
-def _best(rows: DataFrame, k: int) -> DataFrame:
-    over = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _best(rows: DataFrame, k: int, query: str) -> DataFrame:
+    over = W.partitionBy(query).orderBy(F.desc("score"), "vec_id")
     return rows.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
@@ -140,8 +141,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     """query_id, rank, vec_id, score: the k best other vectors of each query (ids divisible by `every`).
 
     Defined cases: vectors that are null, or hold null or non-finite
-    components, and rows without an id take no part; of rows with the same id
-    the smallest vector stays; vectors score only against those of the same
+    components, and rows without an id take no part; of rows equal in id and
+    vector one stays; rows that share an id are candidates and queries each,
+    not of one another, and their candidates are ranked together; vectors score only against those of the same
     dimension; ties go to the smaller id; fewer than k others are all returned;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -152,25 +154,25 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     share = min(1.0, SAMPLE_LIMIT / max(1, n))
     sample = ints.where(F.pmod(F.xxhash64("vec_id", F.lit(PIVOT_SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("vec_id", F.lit(PIVOT_SEED))).limit(SAMPLE_LIMIT)
     pivots = choose_pivots([r[0] for r in sample.select("vec").collect()], n)
-    placed = scratch.write(ints.mapInArrow(_assign(pivots), "vec_id long, dim int, cell int, dist double, raw binary"), "placed")
+    placed = scratch.write(ints.select("vec_id", "vec", "row").mapInArrow(_assign(pivots), "row long, vec_id long, dim int, cell int, dist double, raw binary"), "placed")
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"))
     cells = scratch.write(cells.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long")), "cells")  # a row for each pivot
     summary: dict[int, list] = {}
     for r in cells.collect():
         summary.setdefault(r["dim"], []).append((r["cell"], r["radius"]))
-    data = _blocks(placed.select("vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "data")
+    data = _blocks(placed.select("row", "vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "data")
     queries = placed.where(F.col("vec_id") % every == 0)
-    asked = lambda b: b.select("dim", "cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "ids", "vecs", "floors")])
-    result = "query_id long, vec_id long, score long"
+    asked = lambda b: b.select("dim", "cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vecs", "floors")])
+    result = "query_row long, query_id long, vec_id long, score long"
 
     def solved(blocks: DataFrame, name: str) -> DataFrame:
         with arrow_rows(spark, 8):
             return scratch.write(data.join(asked(blocks), ["dim", "cell"]).mapInArrow(_solve(k), result), name)
 
-    own = _blocks(queries.select("vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "queries")
-    first = scratch.write(_best(solved(own, "own"), k), "first")
-    floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    floored = queries.join(floors, "vec_id", "left").select("vec_id", "dim", "cell", "raw", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    own = _blocks(queries.select("row", "vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "queries")
+    first = scratch.write(_best(solved(own, "own"), k, "query_row"), "first")
+    floors = first.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").cast("double").alias("floor"))
+    floored = queries.join(floors, "row", "left").select("row", "vec_id", "dim", "cell", "raw", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     again = _blocks(floored, cells.select("dim", "cell", "parts"), scratch, "floored")
 
     def visits(batches):
@@ -178,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
             for r in batch.to_pylist():
                 dim, own_cell = r["dim"], r["cell"]
                 q = np.frombuffer(r["vecs"], "<i8").reshape(r["n"], dim) if dim else np.zeros((r["n"], 0), np.int64)
-                ids, floor = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["floors"], "<f8")
+                rows, ids, floor = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["floors"], "<f8")
                 norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
                 centres = pivots.get(dim, np.zeros((1, dim)))
                 for cell, radius in summary[dim]:
@@ -187,14 +189,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
                     most = q @ centres[cell] + norm * radius
                     need = np.flatnonzero(most * (1 + 1e-9 * np.sign(most)) + 1e-6 >= floor)
                     if len(need):
-                        one = [dim, cell, len(need), ids[need].tobytes(), q[need].astype("<i8").tobytes(), floor[need].tobytes()]
-                        kinds = [pa.int32()] * 3 + [pa.binary()] * 3
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], ["dim", "cell", "n", "ids", "vecs", "floors"])
+                        one = [dim, cell, len(need), rows[need].tobytes(), ids[need].tobytes(), q[need].astype("<i8").tobytes(), floor[need].tobytes()]
+                        kinds = [pa.int32()] * 3 + [pa.binary()] * 4
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, kinds, strict=True)], ["dim", "cell", "n", "rows", "ids", "vecs", "floors"])
 
     with arrow_rows(spark, 8):
         abroad = scratch.write(again.mapInArrow(visits, BLOCKS), "visits")
     rest = solved(abroad, "abroad")
-    best = _best(first.select("query_id", "vec_id", "score").unionByName(rest), k)
+    best = _best(first.select("query_id", "vec_id", "score").unionByName(rest.drop("query_row")), k, "query_id")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -456,6 +456,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want) and knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_keeps_rows_that_share_an_id(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(k % 90, rng.normal(size=4).astype(np.float32).tolist()) for k in range(150)]
+    db = duckdb.connect()
+    db.execute("create table embeddings (vec_id bigint, embedding float[])")
+    db.executemany("insert into embeddings values (?, ?)", rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    assert sorted(map(tuple, knn.top_k(df).collect())) == sorted(db.sql(knn.ORACLE).fetchall())
+
+
 # --- the whole ---
 
 
