@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='changelens-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -90,15 +92,16 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     while True:
         # large star: each node links its larger neighbours to its smallest neighbour (or itself)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # minima are written first: a join of two scans can be split at a hub, one that shares a stage with its aggregate can't
+        least = scratch.write(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.write(large, "large")
+        large, gone = scratch.write(large, "large"), least
         # small star: each node links its smaller neighbours, and itself, to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.write(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = scratch.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small")
-        scratch.drop(edges, large)
+        scratch.drop(edges, large, gone, least)
         edges, after = small, mark(small)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

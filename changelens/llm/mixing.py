@@ -127,10 +127,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
 
 
 def apply_mix(docs: DataFrame, **settings) -> DataFrame:
-    """`docs` as mixed: each row as many times as it has copies, the columns unchanged."""
-    got = mix(docs, **settings).select("doc_id", "copies").dropDuplicates(["doc_id"]).where("copies > 0")
-    joined = docs.alias("d").join(got.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")))
-    return joined.select("d.*", F.explode(F.sequence(F.lit(1), F.col("g.copies").cast("int"))).alias("_copy")).drop("_copy")
+    """`docs` as mixed: each row as many times as it has copies, the columns unchanged.
+
+    Copies depend on source and id alone, so rows that share an id in two
+    sources have each their own, and repeated rows are each copied alike.
+    """
+    got = mix(docs, **settings).select("doc_id", "source", "copies").distinct().where("copies > 0")
+    d, g = docs.alias("d"), got.alias("g")
+    joined = d.join(g, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & F.col("d.source").eqNullSafe(F.col("g.source")))
+    copied = joined.select(F.struct("d.*").alias("d"), F.explode(F.sequence(F.lit(1), F.col("g.copies").cast("int"))))
+    return copied.select("d.*")
 
 
 ORACLE = r"""

@@ -54,15 +54,14 @@ class Encoder:
 
     The merges of such a file are in the order of their ids, so its vocabulary
     alone gives a rank encoder with the same ids, which is about five times as
-    fast; tests hold it against the `tokenizers` library.  As with its switch of
-    the same name, the literal of an added token is spelled out like any text
-    with `encode_special_tokens`, and is the token's single id without.
+    fast; tests hold it against the `tokenizers` library as it is by default.
+    The literal of an added token is that token's single id.
     """
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str):
         import tiktoken
 
-        added = {} if encode_special_tokens else added_tokens(path)
+        added = added_tokens(path)
         self.allowed = set(added)
         self.coder = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=token_bytes(path), special_tokens=added)
 
@@ -114,7 +113,7 @@ def _power_cuts(total: int, capacity: int) -> list[int]:
 
 
 def pack_batches(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    encoder, bins, end = Encoder(path, encode_special_tokens=False), SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
+    encoder, bins, end = Encoder(path), SumOfSquares(capacity), np.array([end_id], "<u4").tobytes()
     rows: list[tuple] = []
 
     def encoded(batch):

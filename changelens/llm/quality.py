@@ -24,6 +24,7 @@ STATS = 14
 BINS, META_BINS = 12, 24
 #: Labelled documents a model is fitted on, at most.
 TRAIN_LIMIT = 8000
+RESULT = ("score", "held_out", "predicted")
 STOP_MARKS = ".,;:!?\"'()"
 
 
@@ -137,9 +138,12 @@ def _featured(batches):
 def train(docs: DataFrame, labels: DataFrame, label: str, allowed, metadata: Sequence[str] = (), limit: int = TRAIN_LIMIT) -> FactorisationMachine | None:
     """A model from at most about `limit` labelled documents for which `allowed` (over doc_id) holds; None without any."""
     chosen = bounded_labels(labels.select("doc_id", label), label, allowed, limit)
-    rows = docs.select("doc_id", "text", *[F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)])
-    rows = rows.join(F.broadcast(chosen), "doc_id")  # at most about `limit` rows
-    rows = rows.select("label", F.col("text").cast("string").alias("text"), *[f"_m{k}" for k in range(len(metadata))])
+    meta = [F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)]
+    rows = docs.select("doc_id", F.struct(F.col("text").cast("string").alias("text"), *meta).alias("row"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")
+    # one row an id, however often the id is repeated, so that the bound on labels is one on rows
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("row", F.xxhash64("row")).alias("row"))
+    rows = rows.select("label", "row.text", *[f"row._m{k}" for k in range(len(metadata))])
     got = rows.mapInArrow(_featured, "label int, index binary, value binary").toArrow().to_pylist()
     if not got:
         return None
@@ -151,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, allowed, metadata: Seq
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, metadata: Sequence[str] = ()) -> DataFrame:
-    """`docs` with column `score` (0 to 1) added; without a model every score is 0.5."""
+    """`docs` with column `score` (0 to 1) added, in place of any of that name; without a model every score is 0.5."""
 
     def run(batches):
         for batch in batches:
@@ -167,7 +171,7 @@ def score(docs: DataFrame, model: FactorisationMachine | None, metadata: Sequenc
                     out[a : a + len(got)] = 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["kept", "score"])
 
-    kept = [c for c in docs.columns]
+    kept = [c for c in docs.columns if c.lower() not in RESULT]
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in kept]).alias("kept"), F.col("text").cast("string").alias("text"), *[F.col(m).cast("double").alias(f"_m{k}") for k, m in enumerate(metadata)]
     )
@@ -180,8 +184,10 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus
 
     Defined cases: null and empty texts are scored as empty; labels that
     disagree count by majority; null labels and ids teach nothing; without
-    labels every score is 0.5; repeated rows are scored each; other columns
-    are kept as they are.
+    labels every score is 0.5; repeated rows are scored each; an id with
+    several texts teaches with one of them; columns called score, held_out or
+    predicted are replaced and all others kept as they are; an empty table
+    gives an empty result.
     """
     fold = label_fold(F.col("doc_id"), modulus) == held_out
     have = [m for m in metadata if m in docs.columns]

@@ -344,7 +344,6 @@ def test_ids_equal_the_tokenizers_library():
 
     path = packing.tokenizer_path()
     lib, own = Tokenizer.from_file(path), packing.Encoder(path)
-    lib.encode_special_tokens = True
     import duckdb
 
     texts = [t for (t,) in duckdb.sql(f"select text from '{DATA}/documents.parquet'").fetchall()]
@@ -359,7 +358,7 @@ def test_added_tokens_are_single_ids(documents):
     lib = Tokenizer.from_file(packing.tokenizer_path())
     texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "  <|endoftext|>  1", "<|endoftext", "don't <|ENDOFTEXT|>"]
     got = {r.doc_id: r for r in packing.pack(documents(list(enumerate(texts)), parts=1)).where("start = 0").collect()}
-    own = packing.Encoder(packing.tokenizer_path(), encode_special_tokens=False)
+    own = packing.Encoder(packing.tokenizer_path())
     for k, t in enumerate(texts):
         ids = lib.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids and got[k].doc_tokens == len(ids) + 1
@@ -367,24 +366,25 @@ def test_added_tokens_are_single_ids(documents):
 
 
 def test_packing_covers_every_id_once(documents):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(packing.tokenizer_path())
     r = random.Random(5)
-    rows = [(k, "word " * r.choice([1, 5, 300, 900, 3000])) for k in range(150)] + ODD
+    rows = [(k, "word " * r.choice([1, 5, 300, 900, 3000])) for k in range(150)] + [(700, "cut <|endoftext|> here " * 400)] + ODD
     p = packing.pack(documents(rows)).toPandas()
-    own = packing.Encoder(packing.tokenizer_path())
-    want = collections.Counter()
-    for d, t in rows:
-        want[d] += len(own.encode(t or "")) // 4 + 1
-    assert p.groupby("doc_id", dropna=False).length.sum().sum() == sum(want.values())
+    ids = {(d, t): np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for d, t in rows}
     for _, g in p.groupby("sequence_id"):
         g = g.sort_values("offset")
         ends = (g.offset + g.length).tolist()
         total = ends[-1]
         assert g.offset.tolist() == [0, *ends[:-1]] and (total == 2048 or total & (total - 1) == 0) and total <= 2048
-    ids = {d: own.encode(t or "") + b"\1\0\0\0" for d, t in rows if d != 903}
+    got = collections.Counter((None if x.doc_id != x.doc_id else x.doc_id, k) for x in p.itertuples() for k in range(x.start, x.start + x.length))
+    want = collections.Counter((d, k) for d, t in rows for k in range(len(ids[d, t])))
+    assert got == want
+    whole = {d: v for (d, _), v in ids.items()}
     for x in p.itertuples():
-        if x.doc_id in ids:
-            part = ids[x.doc_id][4 * x.start : 4 * (x.start + x.length)]
-            assert zlib.crc32(part) == x.ids_crc32 and x.doc_tokens == len(ids[x.doc_id]) // 4
+        mine = whole[None if x.doc_id != x.doc_id else x.doc_id]
+        assert zlib.crc32(mine[x.start : x.start + x.length].tobytes()) == x.ids_crc32 and x.doc_tokens == len(mine)
     assert packing.pack(documents([])).count() == 0
 
 
