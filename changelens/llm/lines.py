@@ -1,9 +1,15 @@
 """Line deduplication by distinct-site spread.
 
 Every line hash gets HyperLogLog sketches of the sites and of the texts that
-hold it, built and merged by aggregation.  Lines whose estimates clear the
-threshold are cross-site boilerplate, lines that fall short are not, and those
-near it are counted exactly.
+hold it, and of the company it keeps there, built and merged by aggregation.
+Lines whose estimates clear the thresholds are cross-site boilerplate, lines
+that fall short are not, and those near a threshold are counted exactly.
+
+The company of a line in a text is the text's smallest hash of any other line.
+Own texts that share a footer keep it in different company; a document copied
+to many sites, with an edit here and there, keeps each of its lines in the
+same.  So copies are told apart from boilerplate by cause, and are left to the
+operators that look for them.
 """
 
 from __future__ import annotations
@@ -13,83 +19,93 @@ from pyspark.sql import functions as F
 
 from changelens.llm.base import Scratch
 
-#: Sites, and different texts, that a line must be found in; sketch size (2**k registers).
-MIN_SITES, LOG_K = 5, 10
-#: A document of which such lines make up more than this share is kept whole.
-MAX_SHARE = 0.5
+#: Sites, and different company, that a line must be found in; the least share of its texts that differ in company; sketch size (2**k registers).
+MIN_SITES, MIN_DIFFERENT, LOG_K = 5, 0.25, 10
+ADDED = ("n_lines", "n_cut")
 
 
 def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, site: str, lg_k: int = LOG_K) -> DataFrame:
-    """line (hash) of each non-blank line in at least `min_sites` sites and as many different texts."""
+def _held(text: Column) -> Column:
+    """(line, mark) of each different non-blank line: its hash, and the digest by which company is chosen."""
+    lines = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))
+    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.md5(x.cast("binary")).alias("mark")))
+
+
+def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, site: str, min_different: float = MIN_DIFFERENT, lg_k: int = LOG_K) -> DataFrame:
+    """line (hash) of each non-blank line in at least `min_sites` sites and as many kinds of company."""
     text = F.col("text").cast("string")
-    lines = docs.select(
-        F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("content"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("raw")
-    )
-    lines = lines.where(F.trim("raw") != "").select("site", "content", _hash(F.col("raw")).alias("line"))
-    spread = lines.groupBy("line").agg(F.hll_sketch_agg("site", lg_k).alias("sites"), F.hll_sketch_agg("content", lg_k).alias("texts"))
-    spread = spread.select("line", F.hll_sketch_estimate("sites").alias("sites"), F.hll_sketch_estimate("texts").alias("texts"))
+    rows = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("content"), _held(text).alias("held"))
+    least = rows.withColumn("m1", F.array_min("held.mark"))
+    least = least.withColumn("m2", F.coalesce(F.array_min(F.filter("held.mark", lambda m: m != F.col("m1"))), F.lit("")))
+    lines = least.select("site", "content", "m1", "m2", F.explode("held").alias("x"))
+    lines = lines.select("site", "content", F.col("x.line").alias("line"), F.xxhash64(F.when(F.col("x.mark") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))).alias("company"))
+    kinds = {"sites": "site", "texts": "content", "companies": "company"}
+    spread = lines.groupBy("line").agg(*[F.hll_sketch_agg(c, lg_k).alias(k) for k, c in kinds.items()])
+    spread = spread.select("line", *[F.hll_sketch_estimate(k).alias(k) for k in kinds])
     slack = 4 * 1.04 / 2 ** (lg_k / 2)
     low, high = max(1.0, min_sites * (1 - slack)) - 0.5, min_sites * (1 + slack) + 0.5
-    found = scratch.write(spread.where((F.col("sites") >= low) & (F.col("texts") >= low)), "spread")
-    sure = (F.col("sites") > high) & (F.col("texts") > high)
+    share = F.col("companies") / F.col("texts")
+    found = scratch.write(spread.where((F.col("sites") >= low) & (F.col("companies") >= low) & (share >= min_different * (1 - 2 * slack))), "spread")
+    sure = (F.col("sites") > high) & (F.col("companies") > high) & (share > min_different * (1 + 2 * slack))
     near = scratch.write(found.where(~sure).select("line"), "near")
     held = lines.join(near, "line")
-    counted = lambda c: held.select("line", c).distinct().groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("line")
-    exact = counted("site").join(counted("content"), "line")
+    exact = None
+    for kind, c in kinds.items():
+        counted = held.select("line", c).distinct().groupBy("line").agg(F.count("*").alias(kind))
+        exact = counted if exact is None else exact.join(counted, "line")
+    exact = exact.where((F.col("sites") >= min_sites) & (F.col("companies") >= min_sites) & (share >= min_different)).select("line")
     return scratch.write(found.where(sure).select("line").unionByName(exact), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", max_share: float = MAX_SHARE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", min_different: float = MIN_DIFFERENT) -> DataFrame:
     """`docs` with such lines cut from `text`, and n_lines, n_cut (lines before, lines cut) added.
 
     Defined cases: a null text stays null with no lines; blank lines are never
-    cut; a null site counts as one site; copies of a text count as one text, so
-    a document copied everywhere isn't boilerplate; a document that is mostly
-    such lines (in characters) is kept whole; repeated rows are cut alike;
-    other columns are kept as they are; an empty table gives an empty result.
+    cut; a null site counts as one site; copies of a text count as one text,
+    so a document copied everywhere isn't boilerplate; a text of such lines
+    alone becomes empty; repeated rows are cut alike; columns called n_lines or
+    n_cut are replaced and all others kept as they are; an empty table gives an
+    empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    common = boilerplate(docs, scratch, min_sites, site)
+    common = boilerplate(docs, scratch, min_sites, site, min_different)
     text = F.col("text").cast("string")
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    held = keyed.where("text is not null").select("_key", F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _hash))).alias("line")).distinct()
-    cut = held.join(common, "line").groupBy("_key").agg(F.collect_set("line").alias("_cut"))  # at most the lines of one text
+    held = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("key"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _hash))).alias("line")).distinct()
+    cut = held.join(common, "line").groupBy("key").agg(F.collect_set("line").alias("cut"))  # at most the lines of one text
     cut = scratch.write(cut, "cut")
-    lines = F.split(text, "\n")
+    kept = [c for c in docs.columns if c.lower() not in ADDED]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), text.alias("body"), F.xxhash64(text).alias("key"))
     # `cut` grows with the documents, so both sides are shuffled at any size
-    joined = keyed.join(cut.hint("merge"), "_key", "left").withColumn("_lines", lines)
-    is_cut = lambda x: (F.trim(x) != "") & F.array_contains(F.col("_cut"), _hash(x))
-    gone = F.filter("_lines", is_cut)
-    weight = F.aggregate(gone, F.lit(0), lambda n, x: n + F.length(x) + 1)
-    effective = F.col("_cut").isNotNull() & (weight <= max_share * (F.length(text) + 1))
-    joined = joined.withColumn("_gone", F.when(effective, F.size(gone)).otherwise(0))
-    kept = F.array_join(F.filter("_lines", lambda x: ~is_cut(x)), "\n")
+    joined = keyed.join(cut.hint("merge"), "key", "left").withColumn("lines", F.split("body", "\n"))
+    is_cut = lambda x: (F.trim(x) != "") & F.array_contains(F.col("cut"), _hash(x))
+    joined = joined.withColumn("gone", F.when(F.col("cut").isNotNull(), F.size(F.filter("lines", is_cut))).otherwise(0))
+    rest = F.when(F.col("gone") > 0, F.array_join(F.filter("lines", lambda x: ~is_cut(x)), "\n")).otherwise(F.col("body"))
     return joined.select(
-        *[F.when(F.col("_gone") > 0, kept).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.col("_gone").cast("long").alias("n_cut"),
+        *[rest.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in kept],
+        F.when(F.col("body").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
+        F.col("gone").cast("long").alias("n_cut"),
     )
 
 
 ORACLE = f"""
-WITH d AS (SELECT doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT DISTINCT site, text, trim(x, ' ') AS line FROM (SELECT site, text, unnest(ls) AS x FROM d) WHERE trim(x, ' ') <> ''),
-b AS (SELECT line FROM l GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT text) >= {MIN_SITES}),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT DISTINCT rid, site, text, line, md5(line) AS mark
+      FROM (SELECT rid, site, text, trim(unnest(ls), ' ') AS line FROM d) WHERE line <> ''),
+m AS (SELECT rid, min(mark) AS m1 FROM l GROUP BY rid),
+n AS (SELECT l.rid, m1, min(mark) FILTER (mark <> m1) AS m2 FROM l JOIN m USING (rid) GROUP BY l.rid, m1),
+b AS (SELECT line FROM (SELECT l.*, CASE WHEN mark = m1 THEN coalesce(m2, '') ELSE m1 END AS company FROM l JOIN n USING (rid))
+      GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT company) >= {MIN_SITES}
+      AND count(DISTINCT company) >= {MIN_DIFFERENT} * count(DISTINCT text)),
 p AS (
-  SELECT rid, doc_id, text, x, i, trim(x, ' ') IN (SELECT line FROM b) AS cut
-  FROM (SELECT rid, doc_id, text, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i
-        FROM (SELECT row_number() OVER () AS rid, * FROM d))),
+  SELECT rid, x, i, trim(x, ' ') IN (SELECT line FROM b) AS cut
+  FROM (SELECT rid, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE text IS NOT NULL)),
 s AS (
-  SELECT rid, doc_id, text, count(*) AS n_lines, count(*) FILTER (cut) AS n_gone,
-         coalesce(sum(length(x) + 1) FILTER (cut), 0) <= {MAX_SHARE} * (length(text) + 1) AS ok,
-         string_agg(x, chr(10) ORDER BY i) FILTER (NOT cut) AS kept
-  FROM p GROUP BY rid, doc_id, text)
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(CASE WHEN ok THEN n_gone ELSE 0 END AS BIGINT) AS n_cut,
-       md5(CASE WHEN ok AND n_gone > 0 THEN coalesce(kept, '') ELSE text END) AS kept_md5
-FROM s
-UNION ALL SELECT doc_id, 0, 0, NULL FROM d WHERE text IS NULL
+  SELECT rid, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut, string_agg(x, chr(10) ORDER BY i) FILTER (NOT cut) AS kept
+  FROM p GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut,
+       md5(CASE WHEN n_cut > 0 THEN coalesce(kept, '') ELSE text END) AS kept_md5
+FROM d LEFT JOIN s USING (rid)
 """

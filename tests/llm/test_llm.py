@@ -158,29 +158,57 @@ def test_media_columns(documents):
 # --- lines ---
 
 
-def lines_by_force(rows, sites, share):
-    site, texts = collections.defaultdict(set), collections.defaultdict(set)
+def lines_by_force(rows, sites, different):
+    site, texts, company = (collections.defaultdict(set) for _ in range(3))
+    mark = lambda x: hashlib.md5(x.encode()).hexdigest()
     for _, t, s in rows:
-        for x in (t or "").split("\n"):
-            if x.strip(" "):
-                site[x.strip(" ")].add(s or ""), texts[x.strip(" ")].add(t)
+        own = {x.strip(" ") for x in (t or "").split("\n")} - {""}
+        for x in own:
+            site[x].add(s or ""), texts[x].add(t), company[x].add(min(map(mark, own - {x}), default=""))
+    common = {x for x in site if len(site[x]) >= sites and len(company[x]) >= sites and len(company[x]) >= different * len(texts[x])}
     out = []
     for d, t, _ in rows:
         ls = [] if t is None else t.split("\n")
-        cut = [x for x in ls if x.strip(" ") and len(site[x.strip(" ")]) >= sites and len(texts[x.strip(" ")]) >= sites]
-        if sum(len(x) + 1 for x in cut) > share * (len(t or "") + 1):
-            cut = []
+        cut = [x for x in ls if x.strip(" ") in common]
         out.append((d, t if not cut else "\n".join(x for x in ls if x not in cut), len(ls), len(cut)))
     return sorted(out, key=str)
 
 
-def test_lines_equal_brute_force(documents):
+def line_rows():
     r = random.Random(3)
     rows = [(k, "\n".join(r.choice(["common footer", "rare line", " common footer", "", f"own {k}", "half known " * 4] + [f"text {r.randrange(9)}"] * 3) + "" for _ in range(r.randint(1, 9))) + "\nbody text that is this document's own " + str(k), f"s{r.randrange(9)}") for k in range(120)]
     rows += [(500 + k, "copied everywhere\nagain", f"s{k}") for k in range(9)] + [(d, t, None) for d, t in ODD]
+    page = [f"a line of one page {k}" for k in range(30)]
+    rows += [(600 + k, "\n".join([*page[:k], f"edited {k}", *page[k + 1 :]]), f"s{k}") for k in range(30)]
+    return rows + [(700 + k, f"note {k}\na licence much longer than what stands above it", f"s{k}") for k in range(7)]
+
+
+def test_lines_equal_brute_force(documents):
+    rows = line_rows()
     got = sorted([(r.doc_id, r.text, r.n_lines, r.n_cut) for r in lines.remove_boilerplate(documents(rows)).collect()], key=str)
-    assert got == lines_by_force(rows, lines.MIN_SITES, lines.MAX_SHARE)
-    assert sum(g[3] for g in got) > 0 and lines.remove_boilerplate(documents([])).count() == 0
+    assert got == lines_by_force(rows, lines.MIN_SITES, lines.MIN_DIFFERENT)
+    cut = {g[0]: g[3] for g in got}
+    assert all(cut[500 + k] == 0 for k in range(9)) and all(cut[600 + k] == 0 for k in range(30))  # copies, and copies with an edit
+    assert all(cut[700 + k] == 1 for k in range(7)) and sum(cut.values()) > 7  # boilerplate, even where it is most of a text
+    assert lines.remove_boilerplate(documents([])).count() == 0
+
+
+def test_lines_equal_their_sql(documents):
+    import duckdb
+
+    rows = line_rows()
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    db.executemany("insert into documents values (?, ?, ?)", rows)
+    got = lines.remove_boilerplate(documents(rows)).select("doc_id", "n_lines", "n_cut", F.md5(F.col("text").cast("binary")))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(db.sql(lines.ORACLE).fetchall(), key=str)
+
+
+def test_lines_replace_columns_of_their_names(documents):
+    df = documents([(1, "a\nb", "s")]).withColumn("n_cut", F.lit(9)).withColumn("key", F.lit("mine")).withColumn("row", F.lit("mine"))
+    out = lines.remove_boilerplate(df)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "key", "row", "n_lines", "n_cut"]
+    assert out.first().n_cut == 0 and out.first().key == "mine" and out.first().row == "mine"
 
 
 # --- surrogates ---
@@ -243,6 +271,18 @@ def test_mixing_levels_and_repeats(documents):
     assert mixing.mix(documents([])).count() == 0
 
 
+def test_mixing_copies_by_source_and_id(documents):
+    rows = [(k, "w " * (5 + k % 9), "ABC"[k % 3]) for k in range(60)] + [(1, "w w w", "C"), (1, "w w w", "C"), (1, "v v", None)]
+    docs = documents(rows).withColumn("g", F.lit(1)).withColumn("copies", F.lit(7)).withColumn("_copy", F.lit(8))
+    plan = {(r.doc_id, r.source): r.copies for r in mixing.mix(docs).collect()}
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns and {(r.copies, r._copy) for r in out.collect()} == {(7, 8)}
+    got = collections.Counter((r.doc_id, r.source) for r in out.collect())
+    have = collections.Counter((d, s) for d, _, s in rows)
+    assert got == collections.Counter({x: n * plan[x] for x, n in have.items() if plan[x]})
+    assert mixing.apply_mix(documents([])).count() == 0
+
+
 # --- SimHash ---
 
 
@@ -435,6 +475,14 @@ def test_quality_learns(spark, documents):
     assert quality.classify(documents([]), labels).count() == 0
 
 
+def test_quality_replaces_columns_of_its_names(spark, documents):
+    docs = documents([(k, f"w{k} x") for k in range(20)] * 2).withColumn("score", F.lit("old")).withColumn("predicted", F.lit("old")).withColumn("kept", F.lit(3))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(20)], "doc_id long, quality int")
+    out = quality.classify(docs, labels)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "kept", "score", "held_out", "predicted"]
+    assert all(0 <= r.score <= 1 and r.kept == 3 for r in out.collect())
+
+
 # --- top k ---
 
 
