@@ -247,9 +247,78 @@ def test_secrets_of_letters_alone(documents):
 
 
 def test_surrogates_never_clash(spark):
-    found = spark.createDataFrame([("email", f"{a}{b}@x.com", "") for a in "abcdef" for b in "abcdef"] + [("ipv4", f"10.0.0.{k}", "") for k in range(200)], "kind string, norm string, gender string")
+    found = spark.createDataFrame([("email", f"{a}{b}@x.com", "") for a in "abcdef" for b in "abcdef"] + [("ipv4", f"10.0.0.{k}", "") for k in range(200)] + [("given", f"n{k}", "male") for k in range(60)], "kind string, norm string, gender string")
     got = surrogates.surrogate_table(found, "k", Scratch(spark, "t")).toPandas()
-    assert len(got) == 236 and got.new.nunique() == 236 and not set(got.new) & set(got.norm)
+    assert len(got) == 296 and got.new.nunique() == 296 and not set(got.new) & set(got.norm)
+
+
+def test_formats_grow_with_the_attempt(spark):
+    df = spark.createDataFrame([("ssn", "123456789"), ("ipv4", "10.1.2.3"), ("card", "4111111111111111"), ("phone", "2755555927"), ("family", "smith"), ("given", "anna"), ("secret", "token=abcdefgh")], "kind string, norm string")
+    for attempt in (0, 1, 3, 9, 40):
+        digest = surrogates._digest("k", F.col("kind"), F.col("norm"), F.lit(str(attempt)), blocks=F.lit(1))
+        got = {r.kind: r.new for r in df.select("kind", surrogates.surrogate(F.col("kind"), F.col("norm"), F.lit("female"), digest, F.lit(attempt), "k").alias("new")).collect()}
+        assert len(got["ssn"]) == 9 + (max(0, attempt // 4 - 1) if attempt >= 8 else 0) and got["ssn"][:3] not in ("000", "666") and got["ssn"][0] != "9"
+        assert len(got["family"]) >= 9 + 2 * (attempt // 4) and all(got.values())
+
+
+def iban_remainder(x):
+    x = x.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def test_people_stay_themselves(documents):
+    rows = [
+        (1, "Mr John Smith met Mr Smith and Dr John Smith. Smith left; JOHN SMITH stayed, Johnson too."), (2, "Dr. Jane Smith wrote."), (3, "Smith and John here, no title"),
+        (4, "call +1 275 555 5927 or 275 555 5927 or +12755555927, (0275) 555-5927"), (5, "pay DE89 3704 0044 0532 0130 00 or GB82WEST12345698765432, id 123-45-6789"), (6, "Prof Jane Doe, Mrs Jane Doe"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_pii(documents(rows), "key").collect()}
+    w = got[1].text.replace(",", "").replace(".", "").replace(";", "").split()
+    given, family = w[1], w[2]
+    assert w == f"Mr {given} {family} met Mr {family} and Dr {given} {family} {family} left {given.upper()} {family.upper()} stayed Johnson too".split()
+    assert given in surrogates.GIVEN["male_latin"].split() and got[1].n_entities == 5 + 1
+    assert got[2].text.split()[2] == family and got[3].text == rows[2][1] and got[3].n_entities == 0
+    a, b, c, d = (x.strip() for x in got[4].text.removeprefix("call ").replace(" or ", "|").replace(", ", "|").split("|"))
+    assert a == "+1 " + b and c == "+1" + b.replace(" ", "") and d == "(0" + b.replace(" ", ") ", 1).replace(" ", "-").replace(")-", ") ") and b != "275 555 5927"
+    de, rest = got[5].text.removeprefix("pay ").split(" or ")
+    gb, ssn = rest.split(", id ")
+    assert iban_remainder(de) == iban_remainder(gb) == 1 and de[:2] == "DE" and gb[:2] == "GB" and [len(x) for x in de.split()] == [4, 4, 4, 4, 4, 2] and gb[4:8].isalpha() and ssn[3] == ssn[6] == "-"
+    jane = got[6].text.split()[1]
+    assert jane in surrogates.GIVEN["female_latin"].split() and got[6].text == f"Prof {jane} {got[6].text.split()[2].strip(',')}, Mrs {jane} {got[6].text.split()[2].strip(',')}"
+
+
+def test_surrogates_against_brute_force(spark, documents):
+    """All texts of the smallest scale: what isn't an entity stays, and entities and surrogates correspond one to one."""
+    import regex
+
+    secret = regex.compile(r'^[^:=]*[:=]\s*"?')
+    for scale in ("sf0.001",):
+        docs = spark.read.parquet(DATA.replace("sf0.001", scale) + "/documents.parquet")
+        got = {r.doc_id: r for r in surrogates.replace_pii(docs, "key").collect()}
+        texts, news, n = {r.doc_id: r.text for r in docs.collect()}, {}, 0
+        for d, t in texts.items():
+            hits = list(regex.finditer(surrogates.ANY, t or ""))
+            n += len(hits)
+            assert got[d].n_entities == len(hits)
+            ends = [0, *(m.end() for m in hits)]
+            pieces = [t[a:b] for a, b in zip(ends, [*(m.start() for m in hits), len(t)], strict=True)] if t else [""]
+            form = "(.+?)".join(map(regex.escape, pieces))
+            found = regex.fullmatch(form, got[d].text or "", regex.DOTALL)
+            assert found
+            for m, new in zip(hits, found.groups(), strict=True):
+                kind = next(k for k, p in surrogates.PATTERNS.items() if regex.fullmatch(p, m[0]))
+                assert regex.fullmatch(surrogates.PATTERNS[kind], new) and len(new) >= len(m[0]) // 2
+                key = (kind, secret.sub("", m[0]) if kind == "secret" else m[0])
+                news.setdefault(key, set()).add(secret.sub("", new) if kind == "secret" else new)
+        assert n and all(len(x) == 1 for k, x in news.items() if k[0] != "secret")
+        assert len({next(iter(x)) for x in news.values()}) == len(news) and not {x for s in news.values() for x in s} & {k[1] for k in news}
+    assert surrogates.replace_pii(documents([]), "key").count() == 0
+
+
+def test_surrogates_replace_a_column_of_their_name(documents):
+    df = documents([(1, "a@b.com"), (2, "no")]).withColumn("n_entities", F.lit("x")).withColumn("key", F.lit("k")).withColumn("found", F.lit("f"))
+    out = surrogates.replace_pii(df, "key")
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "label", "key", "found", "n_entities"]
+    assert sorted((r.doc_id, r.key, r.found, r.n_entities) for r in out.collect()) == [(1, "k", "f", 1), (2, "k", "f", 0)]
 
 
 # --- mixing ---
