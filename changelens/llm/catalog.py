@@ -21,7 +21,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), keep=False).drop("kept")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
