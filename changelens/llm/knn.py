@@ -1,14 +1,18 @@
 """Exact top-k search by inner product: a Voronoi join of queries and data.
 
-Vectors go to the cell of their nearest pivot.  Each cell's summary (pivot,
-radius) bounds what its vectors can score.  A query is first solved in its own
+Vectors go to the cell of their nearest pivot; there are about as many pivots
+as the square root of the vectors, so that cells and their number grow alike.
+Each cell's summary (pivot, radius) bounds what its vectors can score.  A query is first solved in its own
 cell, which gives a score it has at least k times; then it visits only cells
 whose bound reaches that score, in bounded blocks of queries and data.
 """
 
 from __future__ import annotations
 
+import math
 from contextlib import contextmanager
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +22,8 @@ from pyspark.sql import Window as W
 
 from changelens.llm.base import Scratch
 
-#: Vectors in a block, pivots and vectors sampled for them, at most.
-BLOCK, PIVOT_LIMIT, SAMPLE_LIMIT = 1024, 1024, 8192
+#: Vectors in a block; pivots, at most (beyond their square cells grow with the data, which costs time alone); sampled vectors for each pivot.
+BLOCK, PIVOT_LIMIT, SAMPLE = 1024, 16_384, 8
 PIVOT_SEED = 5
 BLOCKS = "dim int, cell int, n int, rows binary, ids binary, vecs binary, floors binary"
 
@@ -45,13 +49,17 @@ def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
     return out.distinct().withColumn("row", F.monotonically_increasing_id())
 
 
+def pivot_count(n: int) -> int:
+    return max(1, min(PIVOT_LIMIT, math.isqrt(n) // 4))
+
+
 def choose_pivots(sample: list[list[int]], n: int) -> dict[int, np.ndarray]:
-    """Pivots by dimension: a few rounds of k-means over a bounded sample, about one for each block of data."""
-    out = {}
+    """Pivots by dimension: a few rounds of k-means over a bounded sample, shared out by the dimensions' parts of it."""
+    out, all_of_them = {}, pivot_count(n)
     for dim in sorted({len(v) for v in sample}):
         some = [v for v in sample if len(v) == dim]
         x = np.array(some, np.float64).reshape(len(some), dim)
-        k = max(1, min(PIVOT_LIMIT, len(x), -(-n // BLOCK)))
+        k = max(1, min(len(x), round(all_of_them * len(some) / len(sample))))
         centres = x[np.random.default_rng(PIVOT_SEED).permutation(len(x))[:k]].copy()
         for _ in range(4):
             at = _closest(x, centres)
@@ -64,7 +72,8 @@ def choose_pivots(sample: list[list[int]], n: int) -> dict[int, np.ndarray]:
 
 
 def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((centres * centres).sum(1)[None, :] - 2 * (x @ centres.T)).argmin(1)
+    norms = (centres * centres).sum(1)[None, :]
+    return np.concatenate([(norms - 2 * (x[a : a + BLOCK] @ centres.T)).argmin(1) for a in range(0, len(x), BLOCK)]) if len(x) else np.zeros(0, np.int64)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -151,15 +160,17 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     scratch = Scratch(spark, "knn")
     ints = scratch.write(integer_vectors(vectors, scale), "vectors")
     n = ints.count()
-    share = min(1.0, SAMPLE_LIMIT / max(1, n))
-    sample = ints.where(F.pmod(F.xxhash64("vec_id", F.lit(PIVOT_SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("vec_id", F.lit(PIVOT_SEED))).limit(SAMPLE_LIMIT)
+    wanted = SAMPLE * max(1024, pivot_count(n))
+    share = min(1.0, wanted / max(1, n))
+    sample = ints.where(F.pmod(F.xxhash64("vec_id", F.lit(PIVOT_SEED)), F.lit(1 << 20)) < int(share * (1 << 20))).orderBy(F.xxhash64("vec_id", F.lit(PIVOT_SEED))).limit(wanted)
     pivots = choose_pivots([r[0] for r in sample.select("vec").collect()], n)
     placed = scratch.write(ints.select("vec_id", "vec", "row").mapInArrow(_assign(pivots), "row long, vec_id long, dim int, cell int, dist double, raw binary"), "placed")
     cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"))
     cells = scratch.write(cells.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("long")), "cells")  # a row for each pivot
-    summary: dict[int, list] = {}
-    for r in cells.collect():
-        summary.setdefault(r["dim"], []).append((r["cell"], r["radius"]))
+    summary: dict[int, tuple] = {}
+    for dim, rows in groupby(sorted((r["dim"], r["cell"], r["radius"]) for r in cells.collect()), itemgetter(0)):
+        _, at, radius = zip(*rows, strict=True)
+        summary[dim] = np.array(at), np.array(radius)
     data = _blocks(placed.select("row", "vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "data")
     queries = placed.where(F.col("vec_id") % every == 0)
     asked = lambda b: b.select("dim", "cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vecs", "floors")])
@@ -183,11 +194,12 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
                 rows, ids, floor = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["floors"], "<f8")
                 norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
                 centres = pivots.get(dim, np.zeros((1, dim)))
-                for cell, radius in summary[dim]:
-                    if cell == own_cell:
-                        continue
-                    most = q @ centres[cell] + norm * radius
-                    need = np.flatnonzero(most * (1 + 1e-9 * np.sign(most)) + 1e-6 >= floor)
+                at, radius = summary[dim]
+                most = q @ centres[at].T + norm[:, None] * radius[None, :]
+                near = most * (1 + 1e-9 * np.sign(most)) + 1e-6 >= floor[:, None]
+                near[:, at == own_cell] = False
+                for j in np.flatnonzero(near.any(0)):
+                    cell, need = int(at[j]), np.flatnonzero(near[:, j])
                     if len(need):
                         one = [dim, cell, len(need), rows[need].tobytes(), ids[need].tobytes(), q[need].astype("<i8").tobytes(), floor[need].tobytes()]
                         kinds = [pa.int32()] * 3 + [pa.binary()] * 4
