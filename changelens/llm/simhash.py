@@ -183,8 +183,6 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
 
 #: Min-hash bands of the similarity join: with 21 bands of 6 a pair of similarity 0.8 is missed once in 600.
 BANDS, ROWS = 21, 6
-#: Bits in which fingerprints of similar texts may differ (about ten at 0.8, with a deviation of three).
-FAR = 26
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -245,7 +243,7 @@ def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: flo
     sizes = scratch.write(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     shared = scratch.write(keyed.join(sizes, "key"), "shared")
     scratch.drop(keyed)
-    near = (F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= FAR) & (F.least("na", "nb") >= similarity * F.greatest("na", "nb"))
+    near = F.least("na", "nb") >= similarity * F.greatest("na", "nb")  # as sets of that similarity are
     side = lambda df, s: df.select("key", *[F.col(c).alias(c[0] + s if c != "th" else s) for c in ("th", "fp", "n")])
     small = shared.where(F.col("members") <= PAIR_LIMIT)
     pairs = side(small, "a").join(side(small, "b"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")

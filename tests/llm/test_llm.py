@@ -102,6 +102,28 @@ def test_repeats_equal_brute_force(documents, limit, monkeypatch):
     assert got == removed_by_force(rows, 200)
 
 
+def test_radix_passes_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for depth in (8, 13, 16, 21):
+        data = rng.integers(0, 2, 600).astype(np.uint8)
+        data[300:340] = data[20:60]
+        at = np.arange(len(data) - depth + 1)
+        for groups in (1, 3):
+            group = rng.integers(0, groups, len(at)).astype(np.uint64)
+            seen = collections.Counter((g, data[a : a + depth].tobytes()) for a, g in zip(at, group.tolist(), strict=True))
+            want = [seen[g, data[a : a + depth].tobytes()] > 1 for a, g in zip(at, group.tolist(), strict=True)]
+            assert suffixes.repeated(data, at, group, depth).tolist() == want
+
+
+def test_many_equal_rows_cost_no_more_than_their_text(documents):
+    r = random.Random(6)
+    long = "".join(r.choice("abcdefgh ") for _ in range(20_000))
+    rows = [(7, long)] * 600 + [(None, long)] * 200 + [(9, "own " + long[500:900] + " words")]
+    got = collections.Counter(tuple(x)[:5] for x in suffixes.remove_repeats(documents(rows)).collect())
+    none = hashlib.sha256(b"").hexdigest()
+    assert got == {(7, 20_000, 20_000, 1, none): 600, (None, 20_000, 20_000, 1, none): 200, (9, 410, 400, 1, hashlib.sha256(b"own  words").hexdigest()): 1}
+
+
 def test_repeats_of_an_empty_table(documents):
     assert suffixes.remove_repeats(documents([])).count() == 0
 
@@ -445,6 +467,32 @@ def test_similar_pages_of_one_template_are_found(spark):
     assert {(x.a, x.b) for x in got.collect()} == want
 
 
+def test_near_duplicates_of_the_documents_equal_brute_force(spark):
+    """Every pair of the smaller scale at 0.8: recall is 1 here; and an empty table."""
+    docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")
+    rows = {r.doc_id: set(simhash.shingles(r.text, 5)) for r in docs.collect()}
+    by = collections.defaultdict(list)
+    root = {d: d for d in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    shared = collections.Counter()
+    for d, x in rows.items():
+        for h in x:
+            shared.update((e, d) for e in by[h])
+            by[h].append(d)
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(rows[a]) + len(rows[b]) - n):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r.doc_id for r in simhash.drop_near_duplicates(docs).select("doc_id").collect()}
+    assert got == {d for d in rows if find(d) == d or (not rows[d] and d == min(e for e in rows if not rows[e]))}
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 # --- packing ---
 
 
