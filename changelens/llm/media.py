@@ -4,7 +4,8 @@ A payload is stored as the ancillary data of MPEG-1 Layer III mono frames:
 silent side information, a CRC-16 in every frame, an ID3v2 tag in front and an
 Info/VBR table in the first frame.  Reading finds frames by their headers
 (after damage too), checks each CRC, and gives the exact duration in samples
-and the byte offset of every frame.
+and the byte offset of every frame.  A frame's CRC covers its header and side
+information only, so the tag carries a digest of the payload too.
 """
 
 from __future__ import annotations
@@ -107,8 +108,9 @@ def encode(payload: bytes) -> bytes:
         pos += len(f)
     toc = bytes(min(255, starts[min(len(starts) - 1, k * len(starts) // 100)] * 256 // total) if starts else 0 for k in range(100))
     table = b"Xing" + struct.pack(">III", 7, len(frames), total) + toc
-    text = b"\x03payload_bytes\0" + str(len(payload)).encode()
-    tag = b"TXXX" + syncsafe(len(text)) + b"\0\0" + text
+    fields = {"payload_bytes": len(payload), "payload_crc32": zlib.crc32(payload)}
+    texts = [f"\x03{k}\0{v}".encode() for k, v in fields.items()]
+    tag = b"".join(b"TXXX" + syncsafe(len(t)) + b"\0\0" + t for t in texts)
     return b"ID3\x04\0\0" + syncsafe(len(tag)) + tag + _frame(table.ljust(info, b"\0"), 9) + b"".join(frames) + b"TAG" + bytes(124) + b"\xff"
 
 
@@ -167,21 +169,75 @@ def frames_of(data: bytes, at: int) -> Iterator[tuple[int, dict, bool]]:
 
 
 def vbr_table(data: bytes, at: int, h: dict) -> dict | None:
-    """The Xing/Info table of a first frame: frames, bytes, seek table."""
+    """The Xing, Info or VBRI table of a first frame: frames, bytes, seek table (of VBRI: bytes of each run of frames)."""
+    number = lambda pos, n: int.from_bytes(data[pos : pos + n], "big")
+    if data[at + 36 : at + 40] == b"VBRI":
+        pos = at + 40
+        entries, scale, width, run = (number(pos + k, 2) for k in (14, 16, 18, 20))
+        toc = [number(pos + 22 + k * width, width) * scale for k in range(entries) if pos + 22 + (k + 1) * width <= len(data)] if 1 <= width <= 4 else []
+        return {"kind": "VBRI", "bytes": number(pos + 6, 4), "frames": number(pos + 10, 4), "toc": toc, "frames_a_run": run}
     pos = at + h["body"]
     if data[pos : pos + 4] not in (b"Xing", b"Info"):
         return None
-    flags, out = int.from_bytes(data[pos + 4 : pos + 8], "big"), {"kind": data[pos : pos + 4].decode()}
+    flags, out = number(pos + 4, 4), {"kind": data[pos : pos + 4].decode()}
     pos += 8
     for bit, name in ((1, "frames"), (2, "bytes")):
         if flags & bit:
-            out[name] = int.from_bytes(data[pos : pos + 4], "big")
+            out[name] = number(pos, 4)
             pos += 4
     if flags & 4:
         out["toc"] = list(data[pos : pos + 100])
     return out
 
 
+# Bits of allocation of a Layer II subband, by (subbands that have that many bits, bits), for each of the four tables.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "lsf": ((4, 4), (7, 3), (19, 2))}
+
+
+def _layer2_table(h: dict) -> str:
+    each = h["kbps"] // h["channels"]
+    if h["version"] != 1:
+        return "lsf"
+    if h["rate"] == 48000 and each >= 56 or 56 <= each <= 80:
+        return "a"
+    if h["rate"] != 48000 and each >= 96:
+        return "b"
+    return "d" if h["rate"] == 32000 and each <= 48 else "c"
+
+
+def covered_bits(data: bytes, at: int, h: dict) -> int | None:
+    """How many bits after the CRC it covers: side information in Layer III, allocation in I, allocation and scale selectors in II."""
+    if h["layer"] == 3:
+        return 8 * h["side"]
+    joint = h["channels"] == 2 and data[at + 3] >> 6 == 1
+    bound = 4 * ((data[at + 3] >> 4 & 3) + 1) if joint else 32
+    if h["layer"] == 1:
+        return 4 * (min(bound, 32) * h["channels"] + (32 - min(bound, 32)))
+    widths = [n for count, n in ALLOCATION[_layer2_table(h)] for _ in range(count)]
+    pos, selectors = 8 * (at + 6), 0
+    bits = lambda p, n: int.from_bytes(data[p // 8 : p // 8 + 2].ljust(2, b"\0"), "big") >> (16 - n - p % 8) & ((1 << n) - 1)
+    start = pos
+    for k, width in enumerate(widths):
+        shared = k >= bound
+        for _ in range(1 if shared else h["channels"]):
+            used = bits(pos, width) > 0
+            selectors += 2 * used * (h["channels"] if shared else 1)
+            pos += width
+    return pos - start + selectors
+
+
+def crc_holds(data: bytes, at: int, h: dict) -> bool:
+    """Whether a frame's CRC-16 agrees with the bits that it covers."""
+    bits, stated = covered_bits(data, at, h), int.from_bytes(data[at + 4 : at + 6], "big")
+    body = data[at + 6 : at + 6 + -(-bits // 8)]
+    if bits % 8 == 0:
+        return frame_crc(data[at + 2 : at + 4] + body) == stated
+    value = crc16(data[at + 2 : at + 4] + body[:-1])
+    for k in range(bits % 8):
+        value = (value << 1 ^ (0x8005 if (value >> 15 ^ body[-1] >> (7 - k)) & 1 else 0)) & 0xFFFF
+    return value == stated
+
+
 def parse(data: bytes) -> dict:
     """Tags, table, frames, CRC results, duration and offsets of an MPEG audio file, and the frames' bodies joined."""
     start, fields = tags(data)
@@ -189,9 +245,8 @@ def parse(data: bytes) -> dict:
     samples, rate, last = 0, 0, start
     for at, h, lost in frames_of(data, start):
         resyncs, last = resyncs + lost, at + h["length"]
-        if h["crc"] and h["layer"] == 3:
-            covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h["side"]]
-            ok = frame_crc(covered) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if h["crc"]:
+            ok = crc_holds(data, at, h)
             good, bad = good + ok, bad + (not ok)
         if first is None:
             first, table = h, vbr_table(data, at, h)
@@ -205,10 +260,16 @@ def parse(data: bytes) -> dict:
     return {"tags": fields, "table": table, "first": first, "offsets": found, "crc_good": good, "crc_bad": bad, "resyncs": resyncs, "samples": samples, "rate": rate or RATE, "body": b"".join(bodies)}
 
 
-def decode(data: bytes) -> bytes:
+def payload_of(got: dict) -> bytes | None:
+    """The payload in a parsed file; None if the file states none, or frames of it are lost."""
+    stated = got["tags"].get("payload_bytes", "")
+    n = int(stated) if stated.isascii() and stated.isdigit() else -1
+    return got["body"][:n] if 0 <= n <= len(got["body"]) else None
+
+
+def decode(data: bytes) -> bytes | None:
     """The payload of a file that `encode` wrote."""
-    got = parse(data)
-    return got["body"][: int(got["tags"]["payload_bytes"])]
+    return payload_of(parse(data))
 
 
 def padded(text: str | None) -> bytes:
@@ -219,7 +280,7 @@ def padded(text: str | None) -> bytes:
 STORED = "doc_id long, n_bytes long, media binary"
 COLUMNS = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string, duration_samples long, sample_rate int, frame_offsets array<long>, crc_failures int"
+    "feature string, duration_samples long, sample_rate int, frame_offsets array<long>, crc_failures int, intact boolean"
 )
 
 
@@ -234,21 +295,32 @@ def _store(batches):
             )
 
 
+def _feature(data: bytes, got: dict) -> str | None:
+    if not got["samples"]:
+        return None
+    return json.dumps({
+        "frames": len(got["offsets"]), "seconds": round(got["samples"] / got["rate"], 6), "rate": got["rate"],
+        "layer": got["first"]["layer"], "channels": got["first"]["channels"], "crc_good": got["crc_good"], "crc_bad": got["crc_bad"],
+        "resyncs": got["resyncs"], "table_frames": (got["table"] or {}).get("frames"), "kbps": round(8 * len(data) * got["rate"] / got["samples"] / 1000, 3),
+    })
+
+
+def _row(doc, n, data: bytes | None) -> tuple:
+    if data is None:
+        return (doc, n, *[None] * 11)
+    got = parse(data)
+    payload, stated = payload_of(got), got["tags"].get("payload_crc32")
+    digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:])) if payload is not None else (None,) * 3
+    intact = None if stated is None else payload is not None and str(zlib.crc32(payload)) == stated
+    return (doc, n, *digests, len(data), hashlib.sha256(data).hexdigest(), _feature(data, got), got["samples"], got["rate"], got["offsets"], got["crc_bad"], intact)
+
+
 def _read(batches):
+    types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32(), pa.bool_()]
+    names = [c.strip().split()[0] for c in COLUMNS.split(", ")]
     for batch in batches:
-        rows = []
-        for doc, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            got = parse(data)
-            payload = got["body"][: int(got["tags"]["payload_bytes"])]
-            feature = {
-                "frames": len(got["offsets"]), "seconds": round(got["samples"] / got["rate"], 6), "rate": got["rate"],
-                "layer": got["first"]["layer"], "channels": got["first"]["channels"], "crc_good": got["crc_good"], "crc_bad": got["crc_bad"],
-                "resyncs": got["resyncs"], "table_frames": (got["table"] or {}).get("frames"), "kbps": round(8 * len(data) * got["rate"] / got["samples"] / 1000, 3),
-            }
-            rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ALIGN:]), len(data), hashlib.sha256(data).hexdigest(), json.dumps(feature), got["samples"], got["rate"], got["offsets"], got["crc_bad"]))
-        types = [pa.int64()] * 3 + [pa.string()] + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int32()]
+        rows = [_row(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         cols = list(zip(*rows, strict=True)) or [()] * len(types)
-        names = [c.strip().split()[0] for c in COLUMNS.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
 
@@ -258,8 +330,14 @@ def store_media(docs: DataFrame) -> DataFrame:
 
 
 def read_media(stored: DataFrame) -> DataFrame:
-    """What the stored files say: payload digests, durations, frame offsets, checksum results."""
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(_read, COLUMNS)
+    """What the stored files say: payload digests, durations, frame offsets, checksum results.
+
+    Defined cases: a null file gives nulls; a file without frames has no
+    feature, 0 samples and no offsets; a file that states no payload, or has
+    lost frames of it, has null payload digests; `intact` compares the payload
+    with the digest in the tag, and is null if that is absent.
+    """
+    return stored.select(F.col("doc_id").cast("long"), F.col("n_bytes").cast("long"), "media").mapInArrow(_read, COLUMNS)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
