@@ -2,9 +2,10 @@
 
 Terms are the words whose presence tells toxic documents apart in the labelled
 rows.  A word of a text matches a term within one edit (terms of five letters
-and more) if the automaton of the word and the trie of the terms accept a
-common string.  Each match counts by its window: quoted or reported speech
-counts less than direct address.
+and more) or two (terms of eleven and more) if the automaton of the word and
+the trie of the terms accept a common string.  Each match counts by its window:
+speech inside quotation marks, or reported by a word close before, counts less
+than direct address.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from changelens.llm.base import Scratch, bounded_labels, label_fold
 from changelens.llm.simhash import shingle_hashes
 
-#: Labelled documents learned from, and lexicon terms kept, at most.
-TRAIN_LIMIT, TERM_LIMIT = 20_000, 500
+#: Labelled documents learned from, at most; their words bound the lexicon, which has no limit of its own.
+TRAIN_LIMIT = 20_000
 #: Log-likelihood ratio a term must reach, and the share of toxic documents among those that have it.
 MIN_RATIO, MIN_PRECISION = 20.0, 0.6
-WINDOW, FUZZY_LETTERS, FUZZY_TRUST = 8, 5, 0.8
+WINDOW, REPORTED, FUZZY_LETTERS, FUZZY_TRUST = 8, 3, (5, 11), (0.8, 0.6)
+#: Shingle minima of a text, of which copies share at least half, and how many make a band.
+MINIMA, BAND = 16, 2
 CACHE = 300_000
 LEET = str.maketrans("@4831!05$7", "aabeiiosst")
 EDGES = ".,;:!?\"'`()[]{}<>*_~|/\\-–—…“”„«»‹›‘’¿¡#"
@@ -114,10 +117,18 @@ class Matcher:
         self.known: set[str] = set()  # raw words looked at, and those of them that match
         self.found: dict[str, tuple[str, float]] = {}
         # one edit, or a swap, touches only one side of a term's middle letter: the other side is as it was
-        long = [t for t in terms if len(t) >= FUZZY_LETTERS]
+        long = [t for t in terms if len(t) >= FUZZY_LETTERS[0]]
         self.begins = {(t[: (len(t) - 1) // 2], len(t) + d) for t in long for d in (-1, 0, 1)}
         self.ends = {(t[1 + (len(t) - 1) // 2 :], len(t) + d) for t in long for d in (-1, 0, 1)}
         self.sides = sorted({len(x) for x, _ in self.begins | self.ends})
+        # two of them leave one of three pieces, a letter apart each, as it was, moved by two places at most
+        self.pieces: dict[int, set[tuple[str, int]]] = {}
+        for t in terms:
+            if len(t) >= FUZZY_LETTERS[1]:
+                size = (len(t) - 2) // 3
+                for at in (0, size + 1, 2 * size + 2):
+                    for d in range(-2, 3):
+                        self.pieces.setdefault(len(t) + d, set()).update((t[at : at + size], at + move) for move in range(-2, 3))
 
     def match(self, word: str) -> tuple[str, float] | None:
         """The term of a raw word and its trust."""
@@ -138,10 +149,13 @@ class Matcher:
         if THRICE.search(word) and (thinned := THRICE.sub(r"\1", word)) in self.trie.terms:
             return thinned, 1.0
         n = len(word)
-        if not any((word[:k], n) in self.begins or (word[-k:], n) in self.ends for k in self.sides) or word in self.harmless:
+        one = any((word[:k], n) in self.begins or (word[-k:], n) in self.ends for k in self.sides)
+        pieces = self.pieces.get(n)
+        two = pieces and any((word[k : k + m], k) in pieces for m in {len(x) for x, _ in pieces} for k in range(n - m + 1))
+        if not (one or two) or word in self.harmless:
             return None
-        got = self.trie.search(word, 1)
-        return (got[0], FUZZY_TRUST) if got and len(got[0]) >= FUZZY_LETTERS else None
+        got = self.trie.search(word, 2 if two else 1)
+        return (got[0], FUZZY_TRUST[got[1] - 1]) if got and len(got[0]) >= FUZZY_LETTERS[got[1] - 1] else None
 
     def strength(self, text: str | None) -> tuple[float, float]:
         """Sums of the weights of a text's matches: those said in earnest, and those quoted or reported."""
@@ -165,7 +179,8 @@ class Matcher:
             term, trust = self.found[w]
             around = {bare(x) for x in words[max(0, k - WINDOW) : k + WINDOW + 1]}
             weight = self.trie.terms[term] * trust
-            if spans[k] and (around & REPORTING or not around & ADDRESS):
+            reported = any(bare(x) in REPORTING for x in words[max(0, k - REPORTED) : k])
+            if reported and not around & ADDRESS or spans[k] and (around & REPORTING or not around & ADDRESS):
                 quoted += weight
             else:
                 earnest += weight * (1.25 if around & ADDRESS else 1.0)
@@ -188,13 +203,13 @@ def _counts(batches):
 
 
 def _originals(rows: DataFrame) -> DataFrame:
-    """doc_id of the sampled documents that share none of a few shingle minima with an earlier one.
+    """doc_id of the sampled documents that are no copies of an earlier one, as half of their shingle minima tell.
 
     A toxic document copied a thousand times, with an edit here and there,
     would else make a term of each of its words.  The sample is bounded, so
     its minima are compared on the driver.
     """
-    factors = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+    factors = np.random.default_rng(1).integers(1, 1 << 63, MINIMA, np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches):
         for batch in batches:
@@ -203,19 +218,22 @@ def _originals(rows: DataFrame) -> DataFrame:
                 h = shingle_hashes(text, 3)
                 h = h if len(h) else np.zeros(1, np.uint64)
                 mixed = (h ^ (h >> np.uint64(29)))[:, None] * factors
-                minima.append((mixed ^ (mixed >> np.uint64(32))).min(0))
-            cols = np.array(minima, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in cols.T]], ["doc_id", "m0", "m1", "m2", "m3"])
+                minima.append((mixed ^ (mixed >> np.uint64(32))).min(0).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(minima, pa.binary())], ["doc_id", "minima"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    got = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, m0 long, m1 long, m2 long, m3 long").toArrow().sort_by("doc_id")
-    keep = np.ones(len(got), bool)
-    for k in range(4):
-        first = np.zeros(len(got), bool)
-        first[np.unique(got.column(f"m{k}").to_numpy(), return_index=True)[1]] = True
-        keep &= first
-    ids = got.column("doc_id").filter(pa.array(keep))
-    return rows.sparkSession.createDataFrame(pa.table({"doc_id": ids}))
+    got = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, minima binary").toArrow().sort_by("doc_id")
+    kept, bands = [], {}
+    for doc, raw in zip(got.column("doc_id").to_pylist(), got.column("minima").to_pylist(), strict=True):
+        own = np.frombuffer(raw, np.uint64)
+        keys = [(k, raw[8 * k : 8 * (k + BAND)]) for k in range(0, MINIMA, BAND)]
+        met = {id(x): x for key in keys for x in bands.get(key, ())}
+        if any(2 * (x == own).sum() >= MINIMA for x in met.values()):
+            continue
+        kept.append(doc)
+        for key in keys:
+            bands.setdefault(key, []).append(own)
+    return rows.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(kept, got.schema.field("doc_id").type)}))
 
 
 def _ratio(a, n1, b, n0):
@@ -229,9 +247,10 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int =
     """(matcher, (bias, slope), quoted weight) from at most about `limit` labelled documents."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     chosen = bounded_labels(labels.select("doc_id", label), label, allowed, limit)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = scratch.write(rows, "sample")
-    rows = rows.join(F.broadcast(_originals(rows)), "doc_id").select("label", "text")  # at most about `limit` rows
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one row an id, however often the id is repeated, so that the bound on labels is one on rows
+    rows = scratch.write(rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")), "sample")
+    rows = rows.join(F.broadcast(_originals(rows)), "doc_id").select("label", "text")
     n, n1 = rows.agg(F.count("*"), F.sum("label")).first()
     n1 = n1 or 0
     if not n1 or n1 == n:
@@ -239,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str, allowed, limit: int =
     words = rows.mapInArrow(_counts, "word string, docs long, toxic long").groupBy("word").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     a, b = F.col("toxic").cast("double"), (F.col("docs") - F.col("toxic")).cast("double")
     found = words.where((a >= 3) & (a / (a + b) >= MIN_PRECISION)).withColumn("ratio", _ratio(a, float(n1), b, float(n - n1)))
-    found = found.where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").limit(TERM_LIMIT).collect()
+    found = found.where(F.col("ratio") >= MIN_RATIO).orderBy(F.desc("ratio"), "word").collect()  # words of at most `limit` documents
     prior = math.log(n1 / (n - n1))
     terms = {r["word"]: math.log((r["toxic"] + 0.5) / (r["docs"] - r["toxic"] + 0.5)) - prior for r in found}
     trie = Matcher(terms)
@@ -291,7 +310,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     Defined cases: null and empty texts match nothing and get the base score;
     without labels, or with one class only, all texts get the base rate (0.5
     without any row); labels that disagree count by majority; null labels and
-    ids teach nothing; repeated rows are scored each; other columns are ignored.
+    ids teach nothing; an id with several texts teaches with one of them;
+    repeated rows are scored each; other columns are ignored; an empty table
+    gives an empty result.
     """
     fold = label_fold(F.col("doc_id"), modulus) == held_out
     matcher, (bias, slope), quoted = learn(docs, labels, label, ~fold, limit)

@@ -45,9 +45,63 @@ def test_misspelling_quotation_and_address():
     m = toxicity.Matcher({"stupid": 5.0, "idiot": 5.0, "scum": 5.0}, frozenset(["stupit"]))
     assert m.match("idoit")[0] == "idiot" and m.match("stup1d!")[0] == "stupid" and m.match("stuuupid")[0] == "stupid"
     assert m.match("scam") is None and m.match("stupit") is None
+    assert m.strength("he called them idiot") == (0.0, 5.0) and m.strength("he called you idiot") == (6.25, 0.0)
     assert m.strength("you idiot") == (6.25, 0.0) and m.strength('she said "an idiot"') == (0.0, 5.0) and m.strength(None) == (0.0, 0.0)
 
 
+def strength_by_force(terms, text):
+    """Every word against every term, by edit distance, in its window."""
+    words, inside, out = text.split(), False, [0.0, 0.0]
+    bares = [toxicity.bare(w) for w in words]
+    for k, w in enumerate(words):
+        quoted = inside or w.startswith('"')
+        inside = quoted and '"' not in w[w.startswith('"') :]
+        best = min((edits(bares[k], t), -terms[t], t) for t in terms)
+        most = 2 if len(best[2]) >= 11 else 1 if len(best[2]) >= 5 else 0
+        if not bares[k] or best[0] > most:
+            continue
+        near = set(bares[max(0, k - 8) : k + 9])
+        you, told = near & toxicity.ADDRESS, near & toxicity.REPORTING
+        told_before = set(bares[max(0, k - 3) : k]) & toxicity.REPORTING
+        less = told_before and not you or quoted and (told or not you)
+        weight = terms[best[2]] * (1.0, 0.8, 0.6)[best[0]]
+        out[bool(less)] += weight * (1.25 if you and not less else 1.0)
+    return out
+
+
+def test_windows_equal_brute_force():
+    r = random.Random(12)
+    terms = {"stupid": 5.0, "idiots": 4.0, "scum": 3.0, "contemptible": 2.0}
+
+    def spoilt(t):
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3])):
+            k = r.randrange(len(t))
+            t = r.choice([t[:k] + t[k + 1 :], t[:k] + "z" + t[k:], t[:k] + "q" + t[k + 1 :], t[:k] + t[k : k + 2][::-1] + t[k + 2 :]])
+        return t
+
+    matcher = toxicity.Matcher(terms)
+    for _ in range(1500):
+        words = [r.choice([spoilt(r.choice(list(terms))), "plain", "you", "said", "word", "the", "called", '"', '"the', 'end"', "house,"]) for _ in range(r.randint(1, 30))]
+        got, want = matcher.strength(" ".join(words)), strength_by_force(terms, " ".join(words))
+        assert got == pytest.approx(want), words
+
+
+def test_the_learned_lexicon_equals_its_definition(spark, documents):
+    r = random.Random(2)
+    rows = [(k, " ".join(r.choice([f"w{chr(97 + k % 26)}{r.randrange(400)}x"] * 6 + ["vile" if k % 3 == 0 else "kind", "both"]) for _ in range(40))) for k in range(240)]
+    labels = spark.createDataFrame([(d, int(d % 3 == 0)) for d, _ in rows], "doc_id long, toxic int")
+    got = toxicity.learn(documents(rows), labels, "toxic", F.lit(True))[0].trie.terms
+    own = [({toxicity.bare(w) for w in t.split()}, d % 3 == 0) for d, t in rows]
+    want, n1 = {}, sum(y for _, y in own)
+    for w in set().union(*(x for x, _ in own)):
+        a, b = sum(w in x and y for x, y in own), sum(w in x and not y for x, y in own)
+        p, table = (a + b) / len(own), ((a, n1), (b, len(own) - n1))
+        ratio = 2 * sum(x * np.log(x / (n * p)) + ((n - x) * np.log((n - x) / (n * (1 - p))) if n > x else 0) for x, n in table if x) + 2 * sum(n * np.log(1 / (1 - p)) for x, n in table if not x and p < 1)
+        if a >= 3 and a / (a + b) >= toxicity.MIN_PRECISION and ratio >= toxicity.MIN_RATIO:
+            want[w] = np.log((a + 0.5) / (b + 0.5)) - np.log(n1 / (len(own) - n1))
+    assert want and got == pytest.approx(want)
+
+
 def test_toxicity_learns_and_ignores_copies(spark, documents):
     r = random.Random(1)
     word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
@@ -167,6 +221,38 @@ def test_media_damage_is_seen():
     assert media.parse(tagged)["tags"]["TIT2"] == "Song" and len(media.parse(tagged)["offsets"]) == len(offsets)
 
 
+def test_media_of_other_writers(spark):
+    plain = media._frame(b"x" * 9, 9).ljust(media.ROOM[9] + 23, b"\0")
+    vbri = media._frame(bytes(32 - 19) + b"", 9).ljust(media.ROOM[9] + 23, b"\0")
+    table = b"VBRI" + (1).to_bytes(2, "big") + bytes(4) + (4000).to_bytes(4, "big") + (8).to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (2, 3, 2, 4)) + (100).to_bytes(2, "big") + (200).to_bytes(2, "big")
+    vbri = vbri[:36] + table + vbri[36 + len(table) :]
+    got = media.parse(vbri + plain * 2)
+    assert got["table"] == {"kind": "VBRI", "bytes": 4000, "frames": 8, "toc": [300, 600], "frames_a_run": 4} and len(got["offsets"]) == 2
+    files = [(1, b""), (2, b"no audio at all \xff\xfb"), (3, plain * 3), (4, None), (5, b"ID3\x04\0\0\0\0\0\x7f short"), (6, media.encode(b"p" * 4000))]
+    broken = bytearray(files[-1][1])
+    broken[-1000] ^= 1
+    files += [(7, bytes(broken)), (8, files[-1][1][:2000])]
+    rows = {r.doc_id: r for r in media.read_media(spark.createDataFrame([(d, 0, f) for d, f in files], "doc_id long, n_bytes long, media binary")).collect()}
+    assert all(rows[d].feature is None and rows[d].payload_bytes is None and rows[d].frame_offsets == [] for d in (1, 2, 5)) and rows[4].media_bytes is None
+    assert rows[3].payload_sha256 is None and json.loads(rows[3].feature)["frames"] == 3 and rows[3].intact is None
+    assert rows[6].intact is True and rows[7].intact is False and rows[7].crc_failures == 0 and rows[8].intact is False and rows[8].payload_bytes is None
+
+
+@pytest.mark.parametrize(("b1", "b2", "b3", "bits"), [(0xFE, 0x14, 0xC0, 128), (0xFE, 0x14, 0x50, 4 * (8 * 2 + 24)), (0xFC, 0x48, 0xC0, 88), (0xFC, 0xC0, 0x00, 188), (0xFC, 0xC4, 0x00, 176)])
+def test_checksums_of_layers_one_and_two(b1, b2, b3, bits):
+    """No allocation, so no scale selectors: a Layer I or II frame's CRC covers header and allocation bits."""
+    head = bytes([0xFF, b1, b2, b3])
+    h = media.header(head + bytes(2000), 0)
+    assert media.covered_bits(head + bytes(h["length"]), 0, h) == bits
+    value = 0xFFFF
+    for bit in "".join(f"{x:08b}" for x in head[2:]) + "0" * bits:
+        value = (value << 1 ^ (0x8005 if (value >> 15) ^ int(bit) else 0)) & 0xFFFF
+    frame = (head + value.to_bytes(2, "big")).ljust(h["length"], b"\0")
+    got = media.parse(frame * 3)
+    assert got["crc_good"] == 3 and got["crc_bad"] == 0 and got["samples"] == 3 * h["samples"]
+    assert media.parse(frame[:4] + b"\0\1" + frame[6:] + frame)["crc_bad"] == 1
+
+
 def test_media_columns(documents):
     got = {(r.doc_id, r.n_bytes): r for r in media.media_columns(documents(ODD)).collect()}
     for doc, text in ODD:
