@@ -32,7 +32,7 @@ from changelens.llm.base import Scratch
 
 THRESHOLD, K, DIGIT = 200, 73, 8
 #: Runs of one minimiser compared in memory, and rows of a bucket of such groups, at most about.
-GROUP_LIMIT, BUCKET_ROWS = 512, 4096
+GROUP_LIMIT, BUCKET_ROWS = 2048, 4096
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SPREAD = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x94D049BB133111EB) >> np.uint64(17))
 SEED = 42
@@ -257,9 +257,9 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, keep
     runs = found.where("h is not null").select("th", "at", "first", "last", "h", "c")
     # first pass: the minimiser
     shared = scratch.write(runs.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
-    alive = scratch.write(runs.join(shared, "h").groupBy("th", "at", "first", "last", "h", "c").agg(F.count("*").alias("n")), "alive")  # a row a text
+    alive = scratch.write(runs.join(shared, "h"), "alive")
     # whole runs that are equal
-    groups = scratch.write(alive.groupBy("h", "c").agg(F.sum("n").alias("n"), F.min(F.struct("th", "at")).alias("one")), "groups")
+    groups = scratch.write(alive.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("th", "at")).alias("one")), "groups")
     open_h = scratch.write(groups.where("n = 1").groupBy("h").agg(F.lit(True).alias("is_open")), "open")
     classes = scratch.write(
         groups.join(open_h, "h", "left").where("n > 1").select("h", "c", F.when(F.col("is_open"), F.col("one")).alias("one"), F.lit(True).alias("closed")), "classes"
@@ -268,7 +268,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD, k: int = K, keep
     rep = F.struct("th", "at").eqNullSafe(F.col("one"))
     closed = F.coalesce("closed", F.lit(False))
     run = F.struct("at", "first", "last", "h", closed.alias("closed"), (~closed | F.coalesce(rep, F.lit(False))).alias("need"))
-    per_text = scratch.write(marked.groupBy("th").agg(F.collect_list(run).alias("runs")), "texts")  # at most the runs of one text
+    per_text = scratch.write(marked.groupBy("th").agg(F.collect_set(run).alias("runs")), "texts")  # at most the runs of one text; its copies meet map-side
     scratch.drop(alive, groups, classes)
     # one row of each text: copies meet map-side, and the join needs no second shuffle of texts
     once = texts.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).agg(F.first("text").alias("text"))
