@@ -51,7 +51,7 @@ def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, site: str, mi
     found = scratch.write(spread.where((F.col("sites") >= low) & (F.col("companies") >= low) & (share >= min_different * (1 - 2 * slack))), "spread")
     sure = (F.col("sites") > high) & (F.col("companies") > high) & (share > min_different * (1 + 2 * slack))
     near = scratch.write(found.where(~sure).select("line"), "near")
-    held = lines.join(near, "line")
+    held = scratch.write(lines.join(near, "line").select("line", *kinds.values()), "held")
     exact = None
     for kind, c in kinds.items():
         counted = held.select("line", c).distinct().groupBy("line").agg(F.count("*").alias(kind))
