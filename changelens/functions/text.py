@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Unicode white space as Python's str.split sees it; plain \s misses most of it.
 BLANK = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -22,13 +24,17 @@ SECRETS = (
 # Phrases of pages that have not loaded.
 PLACEHOLDERS = ("加载中", "正在加载", "loading", "please wait", "enable javascript", "javascript required")
 # Local paths that never leave the system.
-LOCAL_PATHS = r"(?i)(?:\b[a-z]:[\\/]|file://|/(?:home|users|root)/)\S*"
+LOCAL_PATHS = r"(?<![A-Za-z0-9])[A-Za-z]:[\\/]|file://|(?:^|[\s\x1c-\x1f\x85\p{Z}])/(?:home|Users|tmp|var)/"
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 _MONTH = "|".join(MONTHS)
+# Full dates as statements carry them, in the order in which they are tried.
 DATE_NUMERIC = r"(?<![0-9])(20[0-9]{2})[-/.](0?[1-9]|1[0-2])[-/.](0?[1-9]|[12][0-9]|3[01])(?![0-9])"
 DATE_CJK = r"(?<![0-9])(20[0-9]{2})年(0?[1-9]|1[0-2])月(0?[1-9]|[12][0-9]|3[01])日"
 DATE_MDY = rf"(?i)\b({_MONTH})\s+([0-3]?[0-9])(?:st|nd|rd|th)?,?\s+(20[0-9]{{2}})\b"
 DATE_DMY = rf"(?i)\b([0-3]?[0-9])(?:st|nd|rd|th)?\s+({_MONTH}),?\s+(20[0-9]{{2}})\b"
+# Full dates as metrics look for them; any year, no dots, months in words first.
+DATE_ANY = r"(?<![0-9])([0-9]{4})[-/年]([0-9]{1,2})[-/月]([0-9]{1,2})(?:日)?(?![0-9])"
+DATE_ANY_MDY = rf"(?i)\b({_MONTH})\s+([0-9]{{1,2}})(?:st|nd|rd|th)?,?\s+([0-9]{{4}})\b"
 
 
 def collapse(text: Column) -> Column:
@@ -68,6 +74,19 @@ def redact(text: Column, secret_mask: str = "[secret]", path_mask: str = "[path]
     return F.when(contains_secret(text), F.lit(secret_mask)).when(text.rlike(LOCAL_PATHS), F.lit(path_mask)).otherwise(text)
 
 
+def map_strings(value: Column, kind: T.DataType, change: Callable[[Column], Column]) -> Column:
+    """`value` with each string in it changed, through arrays, structs and the values of maps."""
+    if isinstance(kind, T.StringType):
+        return change(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: map_strings(x, kind.elementType, change))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: map_strings(x, kind.valueType, change))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[map_strings(value[f.name], f.dataType, change).alias(f.name) for f in kind]))
+    return value
+
+
 def has_placeholder(content: Column) -> Column:
     low = F.lower(F.coalesce(content, F.lit("")))
     return reduce(or_, [F.contains(low, F.lit(p)) for p in PLACEHOLDERS])
@@ -84,11 +103,12 @@ def first_date(text: Column) -> Column:
         y, m, d = (F.regexp_extract(text, pattern, k) for k in order)
         return F.try_to_date(F.concat_ws("-", y, month_number(m), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
-    return F.coalesce(
+    found = F.coalesce(
         numeric(DATE_NUMERIC),
         numeric(DATE_CJK),
         F.when(text.rlike(DATE_MDY), english(DATE_MDY, (3, 1, 2))).when(text.rlike(DATE_DMY), english(DATE_DMY, (3, 2, 1))),
     )
+    return F.when(text.rlike("20[0-9]{2}"), found)  # every pattern needs such a year
 
 
 def month_number(name: Column) -> Column:
@@ -97,7 +117,7 @@ def month_number(name: Column) -> Column:
 
 
 def dates_in(text: Column) -> Column:
-    """Every valid date of a text as ISO strings, sorted, each once."""
+    """Every valid date of a text as ISO strings, sorted, each once; not the patterns of `first_date`."""
 
     def of(pattern: str, order: tuple[int, int, int], word: bool) -> Column:
         def iso(match: Column) -> Column:
@@ -106,8 +126,9 @@ def dates_in(text: Column) -> Column:
 
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), iso)
 
-    found = F.concat(of(DATE_NUMERIC, (1, 2, 3), False), of(DATE_CJK, (1, 2, 3), False), of(DATE_MDY, (3, 1, 2), True), of(DATE_DMY, (3, 2, 1), True))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
+    found = F.concat(of(DATE_ANY, (1, 2, 3), False), of(DATE_ANY_MDY, (3, 1, 2), True))
+    real = F.filter(found, lambda x: x.isNotNull() & ~F.startswith(x, F.lit("0000")))
+    return F.when(text.rlike("[0-9]{4}"), F.array_sort(F.array_distinct(real))).otherwise(F.array().cast("array<string>"))
 
 
 def parse_instant(text: Column) -> Column:

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from changelens.functions.text import contains_secret
+
 # Hosts, file endings and words of links that lead to no product page.
 SOCIAL_HOSTS = ("facebook.com", "instagram.com", "linkedin.com", "twitter.com", "x.com", "weibo.com", "youtube.com")
 STATIC_SUFFIXES = (
@@ -16,7 +18,7 @@ STATIC_SUFFIXES = (
 ACTION_TOKENS = "account console contact cookie dashboard legal login logout privacy register signin signup terms".split()
 ACTION_TEXTS = (
     "contact us", "cookie policy", "legal notice", "privacy policy", "sign in", "sign up", "terms of service",
-    "联系我们", "法律声明", "注册", "控制台", "登录", "登出", "退出登录",
+    "联系我们", "法律声明", "注册", "控制台", "登录", "登出", "退出登录", "隐私政策",
 )
 SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
 PARENT_PRIORITY = {"user_input": 30, "web_search": 20, "page_link": 10}
@@ -60,16 +62,28 @@ def is_valid(url: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
+def is_global_v6(address: Column) -> Column:
+    """Whether an IPv6 address lies outside the ranges that are private, local or set aside."""
+    groups = F.split(address, ":")
+    a, b = (F.try_to_number(F.conv(F.nullif(F.try_element_at(groups, F.lit(k)), F.lit("")), 16, 10), F.lit("99999")).cast("int") for k in (1, 2))
+    a, b = F.coalesce(a, F.lit(0)), F.coalesce(b, F.lit(0))
+    zero = address.rlike(r"^(0{0,4}:)*:?(0{0,4}:)*(:?0{0,3}[01]?|:?(ffff|FFFF):.*)$")
+    low = a.between(0xFC00, 0xFDFF) | a.between(0xFE80, 0xFEBF) | (a == 0x2002) | ((a == 0x2001) & ((b < 0x200) | (b == 0xDB8))) | ((a == 0x3FFF) & (b < 0x1000)) | ((a == 0x100) & address.rlike("^0?100::"))
+    return address.rlike("^[0-9A-Fa-f:.]+$") & F.contains(address, F.lit(":")) & ~zero & ~low
+
+
 def is_public(url: Column) -> Column:
-    """No user information, a usual port, and a dotted host that is neither local nor a private address."""
+    """No user information or secret, a usual port, and a global address or a dotted host that isn't local."""
     h = host(url)
+    six = F.regexp_extract(h, r"^\[(.*)\]$", 1)
     port = F.regexp_extract(authority(url), r":([0-9]*)$", 1)
     octets = F.split(h, r"\.")
-    a, b = (F.try_element_at(octets, F.lit(k)).try_cast("int") for k in (1, 2))
-    is_ip = h.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
-    private = is_ip & (a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)))
-    local = h.rlike(r"(^|\.)(localhost|local|internal|lan|home)$") | ~F.contains(h, F.lit("."))
-    ok = scheme(url).isin("http", "https") & ~F.contains(authority(url), F.lit("@")) & port.isin("", "80", "443") & ~private & ~local
+    a, b, c = (F.try_element_at(octets, F.lit(k)).try_cast("int") for k in (1, 2, 3))
+    is_ip = h.rlike(r"^(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$")
+    test_net = ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    private = is_ip & (a.isin(0, 10, 127) | (a >= 240) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127)) | ((a == 198) & b.isin(18, 19)) | test_net)
+    local = h.rlike(r"\.(localhost|local|internal)$") | ~F.contains(h, F.lit("."))
+    ok = scheme(url).isin("http", "https") & ~F.contains(authority(url), F.lit("@")) & port.isin("", "80", "443") & F.when(six != "", is_global_v6(six)).otherwise(~private & ~local) & ~contains_secret(url)
     return F.coalesce(ok, F.lit(False))
 
 

@@ -45,15 +45,20 @@ def has_signal(kind: Column, text: Column) -> Column:
     return F.coalesce(reduce(or_, told), F.lit(False))
 
 
+def has_any_signal(text: Column) -> Column:
+    return reduce(or_, [has_signal(F.lit(k), text) for k in TYPE_SIGNALS])
+
+
 def candidate_violation(content: Column, kind: Column, source_text: Column, source_kind: Column) -> Column:
-    """The first rule that a memory candidate breaks; NULL if none."""
+    """The first rule that a memory candidate breaks, those of its source before its own; NULL if none."""
     return F.coalesce(
+        F.concat(F.lit("source_"), source_violation(source_text, F.lit(None).cast("string"))),
         F.when(source_kind.isin(*FACT_SOURCES), F.lit("fact_source")),
         F.when(~F.contains(source_text, content), F.lit("not_verbatim")),
         F.when(contains_secret(content), F.lit("secret")),
         F.when(content.rlike(TEMPORARY), F.lit("temporary")),
         F.when(~has_signal(kind, source_text), F.lit("no_signal")),
-        F.when(content.rlike(FACT_ONLY) & ~has_signal(kind, content), F.lit("fact_only")),
+        F.when(content.rlike(FACT_ONLY) & ~has_any_signal(content), F.lit("fact_only")),
     )
 
 

@@ -132,6 +132,7 @@ def xlsx(data: bytes, stem: str):
                 elif kind == "b" and text is not None:
                     text = "TRUE" if text == "1" else "FALSE"
                 if text is None and f is not None:
+                    warnings.append(f"formula_without_cached_value:{sheet.get('name')}!{ref}")
                     text = f"[公式: ={f.text or ''}]"
                 if text:
                     cells[int(re.search(r"\d+$", ref)[0]) - 1, _column(ref)] = text
@@ -145,7 +146,9 @@ def xlsx(data: bytes, stem: str):
         if merged:
             text += "\n\nmerged: " + ", ".join(merged)
             warnings.append("merged_cells")
-        units.append({"location": sheet.get("name"), "text": f"# {sheet.get('name')}\n\n{text}"})
+        units.append({"location": sheet.get("name"), "text": f"# Sheet: {sheet.get('name')}\n\n{text}"})
+    if not units:
+        warnings.append("workbook_has_no_data")
     return stem, "\n\n".join(u["text"] for u in units), units, sorted(set(warnings))
 
 
