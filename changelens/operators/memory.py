@@ -75,9 +75,11 @@ def pending_new(incoming: DataFrame, active: DataFrame, exact: list[str]) -> Dat
     return incoming.join(active.select(*exact).distinct(), exact, "left_anti")
 
 
-def eligible(records: DataFrame, scope: str, scope_id: str, types: list[str] | None = None) -> DataFrame:
-    """Confirmed and active records of a scope, latest first."""
-    ok = (F.col("scope") == scope) & (F.col("scope_id") == scope_id) & (F.col("status") == "confirmed") & F.col("active")
+def eligible(records: DataFrame, scope: str, scope_id: str | None, types: list[str] | None = None) -> DataFrame:
+    """Confirmed and active records of a scope (without an id: of all of that kind), latest first."""
+    ok = (F.col("scope") == scope) & (F.col("status") == "confirmed") & F.col("active")
+    if scope_id is not None:
+        ok = ok & (F.col("scope_id") == scope_id)
     if types:
         ok = ok & F.col("memory_type").isin(*types)
     return records.where(ok).orderBy(F.desc("updated_at"), F.desc("memory_id"))

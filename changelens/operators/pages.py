@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from changelens.functions import chunking, diffing, markup
+from changelens.functions.text import has_placeholder, visible_chars
 
 BLOCK = "struct<seq:int,type:string,level:int,text:string,has_content:boolean,json:string>"
 PARSED = f"title string, content string, block_hash string, signals array<string>, blocks array<{BLOCK}>"
@@ -58,8 +59,6 @@ def page_links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFra
 
 def block_metrics(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """Visible characters, blocks, valid blocks, a count for each type, the first 20 headings."""
-    from changelens.functions.text import visible_chars
-
     of = lambda t: F.size(F.filter("blocks", lambda b: b["type"] == t)).cast("long").alias(f"n_{t}")
     heads = F.slice(F.transform(F.filter("blocks", lambda b: b["type"] == "heading"), lambda b: b["text"]), 1, 20)
     return parsed.select(
@@ -68,6 +67,16 @@ def block_metrics(parsed: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def quality_gate(rows: DataFrame, content: str, n_blocks: str) -> DataFrame:
+    """Adds quality, struct(status, reasons): nothing there fails, a short placeholder fails, sparse content warns, the rest passes."""
+    rows = rows.withColumn("_chars", visible_chars(F.col(content))).withColumn("_waits", has_placeholder(F.col(content)))  # once each
+    chars, n = F.col("_chars"), F.col(n_blocks)
+    empty, placeholder, sparse = (chars == 0) | (n == 0), F.col("_waits") & (chars <= 200) & (n <= 5), (chars < 120) & (n < 3)
+    reasons = F.array(F.when(chars == 0, "empty_content"), F.when(n == 0, "no_valid_blocks"), F.when(~empty & placeholder, "dynamic_placeholder"), F.when(~empty & ~placeholder & sparse, "sparse_content"))
+    status = F.when(empty | placeholder, "FAIL").when(sparse, "WARNING").otherwise("PASS")
+    return rows.withColumn("quality", F.struct(status.alias("status"), F.filter(reasons, lambda x: x.isNotNull()).alias("reasons"))).drop("_chars", "_waits")
+
+
 def acquisition(static_error: Column, static_quality: Column, signals: Column) -> Column:
     """Why a page has to be rendered; NULL if the static page will do."""
     return (

@@ -67,3 +67,12 @@ def history(turns: DataFrame, keys: list[str], order: str, done: Column, value:
     """Adds history: the values of earlier completed turns in order."""
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return turns.withColumn("history", F.collect_list(F.when(done, F.col(value))).over(w))
+
+
+def numbered(rows: DataFrame, group: list[str], key: str, width: int = 4096) -> DataFrame:
+    """Adds number, the place of each row in its group by an integer key: places within ranges of the key, and sums of what lies below, so that no group is sorted in one task."""
+    part = F.floor(F.col(key) / width)
+    counts = rows.groupBy(*group, part.alias("_part")).agg(F.count("*").alias("_n"))
+    below = counts.withColumn("_below", F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy(*group, "_part").orderBy(key))
+    return rows.withColumn("_part", part).withColumn("_place", place).join(below, [*group, "_part"]).withColumn("number", F.col("_below") + F.col("_place")).drop("_part", "_place", "_below")

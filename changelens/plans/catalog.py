@@ -111,13 +111,15 @@ def q_budget_ledger(spark, sf):
     return out.select("event_id", "used_read", "used_search", "used_tool", "allowed")
 
 
-@query("""WITH a AS (SELECT event_id, user_id, ts, event_type, count(*) FILTER (event_type <> 'purchase') OVER w AS attempts, coalesce(max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended
-FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT event_id, CAST(attempts AS BIGINT) AS attempts, CASE WHEN ended = 1 OR event_type = 'purchase' THEN 'processed' ELSE 'pending' END AS state FROM a""")
+@query("""WITH a AS (SELECT *, CASE event_type WHEN 'purchase' THEN 'processed' WHEN 'error' THEN 'ignored' WHEN 'view' THEN 'register' ELSE 'retry' END AS action FROM events),
+b AS (SELECT *, min(CASE WHEN action IN ('processed', 'ignored') THEN struct_pack(ts := ts, id := event_id, action := action) END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ended FROM a)
+SELECT event_id, coalesce(ended.action, 'pending') AS state, CAST(count(*) FILTER (action <> 'register' AND (ended IS NULL OR ended.id = event_id)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS attempts FROM b""")
 def q_fsm_attempts(spark, sf):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    done = F.max((F.col("event_type") == "purchase").cast("int")).over(w) == 1
-    return t(spark, sf, "events").select("event_id", F.count_if(F.col("event_type") != "purchase").over(w).cast("long").alias("attempts"), F.when(done, "processed").otherwise("pending").alias("state"))
+    kind = F.col("event_type")
+    action = F.when(kind == "purchase", "processed").when(kind == "error", "ignored").when(kind == "view", "register").otherwise("retry")
+    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("seq"), action.alias("action"))
+    out = STATE.in_batch(e, ["user_id"], ["ts", "seq"], STATE.statement_lifecycle, "user_id long, seq long, state string, attempts long")
+    return out.select(F.col("seq").alias("event_id"), "state", "attempts")
 
 
 @query("""WITH r AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'research' WHEN 'click' THEN 'monitor' WHEN 'view' THEN 'no_action' END AS triage, ts FROM events)
@@ -237,22 +239,8 @@ SELECT doc_id, CASE WHEN chars = 0 OR blocks = 0 THEN 'FAIL' WHEN regexp_matches
 CAST((chars = 0)::INT + (blocks = 0)::INT + (chars > 0 AND blocks > 0 AND chars <= 200 AND blocks <= 5 AND regexp_matches(low, '加载中|正在加载|loading|please wait|enable javascript|javascript required'))::INT + (chars > 0 AND blocks > 0 AND NOT (chars <= 200 AND blocks <= 5 AND regexp_matches(low, '加载中|正在加载|loading|please wait|enable javascript|javascript required')) AND chars < 120 AND blocks < 3)::INT AS BIGINT) AS n_reasons FROM m""")
 def q_quality_gate(spark, sf):
     d = t(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_GATE_ROWS, "doc_id long, text string"))
-    blocks = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    q = quality_gate(F.col("text"), blocks)
-    return d.select("doc_id", q["status"].alias("quality"), F.size(q["reasons"]).cast("long").alias("n_reasons"))
-
-
-def quality_gate(content, n_blocks):
-    """struct(status, reasons): nothing there fails, a short placeholder fails, sparse content warns, the rest passes."""
-    chars = T.visible_chars(content)
-    placeholder = T.has_placeholder(content) & (chars <= 200) & (n_blocks <= 5)
-    empty = (chars == 0) | (n_blocks == 0)
-    sparse = (chars < 120) & (n_blocks < 3)
-    reasons = F.array(
-        F.when(chars == 0, "empty_content"), F.when(n_blocks == 0, "no_valid_blocks"), F.when(~empty & placeholder, "dynamic_placeholder"), F.when(~empty & ~placeholder & sparse, "sparse_content")
-    )
-    status = F.when(empty | placeholder, "FAIL").when(sparse, "WARNING").otherwise("PASS")
-    return F.struct(status.alias("status"), F.filter(reasons, lambda x: x.isNotNull()).alias("reasons"))
+    q = P.quality_gate(d.withColumn("n_blocks", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))), "text", "n_blocks")
+    return q.select("doc_id", F.col("quality.status").alias("quality"), F.size("quality.reasons").cast("long").alias("n_reasons"))
 
 
 _SECRET_SQL = " OR ".join(f"regexp_matches(text, '{p}')" for p in T.SECRETS)
@@ -263,9 +251,13 @@ def q_secret_scan(spark, sf):
     return t(spark, sf, "documents").where(T.contains_secret(F.col("text"))).select("doc_id")
 
 
-@query(f"SELECT doc_id, md5(CASE WHEN {_SECRET_SQL} THEN '[secret]' ELSE text END) AS public_md5 FROM documents")
+_PATH_ROWS = [(-1, "see C:\\Users\\x"), (-2, "file://a"), (-3, "in /tmp/x"), (-4, "/var/log"), (-5, "https://x.com/home/users/a"), (-6, "at /Users/me"), (-7, "abc:/x"), (-8, "/home/me token: abc"), (-9, "x/tmp/y /etc/z")]
+
+
+@query(f"SELECT doc_id, md5(CASE WHEN {_SECRET_SQL} THEN '[secret]' WHEN doc_id IN (-1, -2, -3, -4, -6) THEN '[path]' ELSE text END) AS public_md5 FROM (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {', '.join(str(r).replace(chr(92) * 2, chr(92)) for r in _PATH_ROWS)}))")
 def q_redact(spark, sf):
-    return t(spark, sf, "documents").select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("public_md5"))
+    d = t(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_PATH_ROWS, "doc_id long, text string"))
+    return d.select("doc_id", F.md5(T.redact(F.col("text")).cast("binary")).alias("public_md5"))
 
 
 @query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -279,41 +271,65 @@ def q_content_hash(spark, sf):
     return t(spark, sf, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash"), F.length("text").cast("long").alias("n_chars_found"))
 
 
+def _run_hash(k: int):
+    """Hash of the k words from a place on."""
+    return lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(k)), " "))
+
+
 @query("SELECT DISTINCT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_anchor_recall(spark, sf):
-    """Documents that hold a benchmark passage: candidates meet on hashes of the passage's first words, then the whole passage decides."""
-    words = lambda c: F.split(T.collapse(F.col(c)), " ")
-    b = t(spark, sf, "benchmark").withColumn("_w", words("text"))
-    short = b.agg(F.min(F.size("_w"))).first()[0] or 1
-    n = max(1, min(5, short - 1))
-    b = b.select("item_id", F.col("text").alias("anchor"), F.xxhash64(F.array_join(F.slice("_w", F.lit(2), F.lit(n)), " ")).alias("key"))  # the first word may be cut
-    b = b.where(F.size(F.split("anchor", " ")) > n)
-    d = t(spark, sf, "documents").select("doc_id", "text", words("text").alias("_w")).where(F.size("_w") >= n)
-    keys = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, n), " "))))).alias("key"))
-    pairs = keys.join(b.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
-    return pairs.join(t(spark, sf, "documents").select("doc_id", "text"), "doc_id").join(b.select("item_id", "anchor"), "item_id").where(F.contains("text", "anchor")).select("item_id", "doc_id").distinct()
+    """Documents that hold a benchmark passage: candidates meet on hashes of up to five of its inner words, then the whole passage decides.
+
+    The first and last word of a passage may be cut out of longer ones, the
+    others are whole.  A passage of at most two words has no inner one and is
+    looked for in every text.
+    """
+    words = lambda c: F.split(F.col(c), "[\\s]+")
+    b = t(spark, sf, "benchmark").select("item_id", F.col("text").alias("anchor"), words("text").alias("w"))
+    b = b.withColumn("k", F.greatest(F.lit(0), F.least(F.lit(5), F.size("w") - 2)))
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    lengths = [r.k for r in b.select("k").distinct().collect()]  # six at most
+    found = None
+    for k in sorted(lengths):
+        some = b.where(F.col("k") == k)
+        if k == 0:
+            pairs = d.join(some, F.contains("text", "anchor")).select("item_id", "doc_id")
+        else:
+            some = some.withColumn("key", F.xxhash64(F.array_join(F.slice("w", 2, k), " ")))
+            at = F.when(F.size("w") >= k, F.sequence(F.lit(1), F.size("w") - k + 1)).otherwise(F.array().cast("array<int>"))
+            keys = d.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(at, _run_hash(k)))).alias("key"))
+            near = keys.join(some.select("item_id", "key"), "key").select("item_id", "doc_id").distinct()
+            pairs = near.join(d, "doc_id").join(some.select("item_id", "anchor"), "item_id").where(F.contains("text", "anchor")).select("item_id", "doc_id")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.distinct()
 
 
 @query("SELECT doc_id, 'source_' || substr(sha256(source), 1, 16) AS source_group, lang || '-' || row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS result_id FROM documents")
 def q_source_group_ids(spark, sf):
-    w = W.partitionBy("lang").orderBy("doc_id")
-    rid = F.concat_ws("-", "lang", F.row_number().over(w).cast("string"))
-    return t(spark, sf, "documents").select("doc_id", T.source_group(F.col("source"), F.lit(None).cast("string"), F.lit("x")).alias("source_group"), rid.alias("result_id"))
+    d = RS.numbered(t(spark, sf, "documents").select("doc_id", "lang", "source"), ["lang"], "doc_id")
+    return d.select("doc_id", T.source_group(F.col("source"), F.lit(None).cast("string"), F.lit("x")).alias("source_group"), F.concat_ws("-", "lang", F.col("number").cast("string")).alias("result_id"))
 
 
-@query("WITH a AS (SELECT doc_id, text, 0 AS side FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text, 1 FROM documents WHERE doc_id % 3 = 0) SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY side, doc_id) = 1")
+@query("WITH a AS (SELECT doc_id, text, 0 AS side FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, text, 1 FROM documents) SELECT doc_id FROM a QUALIFY row_number() OVER (PARTITION BY text ORDER BY side, doc_id) = 1")
 def q_evidence_union_distinct(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", "text")
-    two_runs = d.where("doc_id % 2 = 0"), d.where("doc_id % 3 = 0")  # what two runs have gathered
-    return EV.union_distinct(*two_runs, [], ["text"], "doc_id").select("doc_id")
+    d = t(spark, sf, "documents").select("doc_id", "lang", "text")
+    earlier, later = d.where("lang <> 'en'").drop("lang"), d.drop("lang")  # what a run had gathered, and all that the next one did
+    return EV.union_distinct(earlier, later, [], ["text"], "doc_id").select("doc_id")
 
 
-_DATE_ROWS = [(-1, "on 2024-02-30 and 2024-03-01"), (-2, "March 5th, 2024 then 7 April 2023"), (-3, "2024年1月9日发布"), (-4, "v2024.01.02 x"), (-5, "nothing")]
+_DATE_ROWS = [
+    (-1, "on 2024-02-30 and 2024-03-01"), (-2, "March 5th, 2024 then 7 April 2023"), (-3, "2024年1月9日发布"), (-4, "v2024.01.02 x"), (-5, "nothing"), (-6, "since 1999-01-02 and 1987/12/3"),
+]
 
 
-@query("SELECT * FROM (VALUES (-1, NULL::DATE, '2024-03-01'), (-2, DATE '2024-03-05', '2023-04-07,2024-03-05'), (-3, DATE '2024-01-09', '2024-01-09'), (-4, DATE '2024-01-02', '2024-01-02'), (-5, NULL, '')) AS v(doc_id, first_date, all_dates) UNION ALL SELECT doc_id, NULL, '' FROM documents")
+@query("""SELECT * FROM (VALUES (-1, NULL::DATE, '2024-03-01'), (-2, DATE '2024-03-05', '2024-03-05'), (-3, DATE '2024-01-09', '2024-01-09'), (-4, DATE '2024-01-02', ''), (-5, NULL, ''), (-6, NULL, '1987-12-03,1999-01-02')) AS v(doc_id, first_date, all_dates)
+UNION ALL SELECT doc_id, NULL, '' FROM documents
+UNION ALL SELECT o_orderkey + 1000000000, CAST(CASE WHEN year(o_orderdate) >= 2000 THEN o_orderdate ELSE o_orderdate + INTERVAL 12 YEAR END AS DATE), strftime(o_orderdate, '%Y-%m-%d') || ',' || strftime(o_orderdate + INTERVAL 12 YEAR, '%Y-%m-%d') FROM orders""")
 def q_dates_in_text(spark, sf):
+    later = F.col("o_orderdate") + F.expr("interval 12 years")
+    text = F.concat(F.lit("order of "), F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" renewed "), F.date_format(later, "MMMM d, yyyy"), F.lit(" in full"))
     d = t(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(_DATE_ROWS, "doc_id long, text string"))
+    d = d.unionByName(t(spark, sf, "orders").select((F.col("o_orderkey") + 1000000000).alias("doc_id"), text.alias("text")))
     return d.select("doc_id", T.first_date(F.col("text")).alias("first_date"), F.array_join(T.dates_in(F.col("text")), ",").alias("all_dates"))
 
 
@@ -397,17 +413,29 @@ def q_candidate_pool40(spark, sf):
     return L.pool(rows, ["host"], "priority", "arrival").select("host", "page_id", F.col("pos").cast("long").alias("pos"), F.col("place").cast("long").alias("place"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '\s+', ' ', 'g')) AS title, (length(html) - length(replace(html, '<h1>', ''))) // 4 AS n_headings, false AS has_signals FROM pages")
+@query(r"""WITH b AS (SELECT page_id, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS x FROM pages)
+SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title,
+(length(html) - length(replace(html, '<h1>', ''))) // 4 AS n_headings, regexp_matches(html, '\s(role|aria-selected)=') AS has_signals FROM b""")
 def q_page_blocks(spark, sf):
     p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
     return p.select("page_id", "title", F.size(F.filter("blocks", lambda b: b["type"] == "heading")).cast("long").alias("n_headings"), (F.size("signals") > 0).alias("has_signals"))
 
 
-@query()
+_BODY = """body AS (SELECT page_id, trim(regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1)) AS ad, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head,
+  regexp_replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)(</article>|<footer|$)', 1), '<(/?p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') AS rest FROM pages),
+plain AS (SELECT page_id, unnest([struct_pack(k := 0, x := ad, context := NULL), struct_pack(k := 1, x := rest, context := head)]) AS u FROM body),
+units AS (SELECT page_id, u.k AS k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u.x, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS x,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u.context, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\\s+', ' ', 'g')) AS context FROM plain)"""
+
+
+@query(f"""WITH {_BODY}, m AS (SELECT page_id, sum(length(replace(x, ' ', ''))) + 1 + max(coalesce(length(replace(context, ' ', '')), 0)) AS chars FROM units GROUP BY 1)
+SELECT page_id, CASE WHEN chars = 0 THEN 'FAIL' ELSE 'PASS' END AS quality, CAST(chars AS BIGINT) AS chars, 3 AS n_blocks, 3 AS n_valid, 1 AS n_heading, 2 AS n_paragraph, 0 AS n_list, 0 AS n_table, 0 AS n_code, 0 AS n_group FROM m""")
 def q_page_quality(spark, sf):
+    """Quality and block counts of every page, from one parse; each has an advertisement, a heading and one paragraph left open."""
     p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
-    q = quality_gate(F.col("content"), F.size(F.filter("blocks", lambda b: b["has_content"])))
-    return p.select("page_id", q["status"].alias("quality"), "block_hash").join(P.block_metrics(p, ["page_id"]).drop("headings"), "page_id")
+    q = P.quality_gate(p.withColumn("n_valid", F.size(F.filter("blocks", lambda b: b["has_content"]))), "content", "n_valid")
+    m = P.block_metrics(q, ["page_id", F.col("quality.status").alias("quality")])
+    return m.drop("headings")
 
 
 @query(f"WITH {_LINKS} SELECT page_id, CAST(pos AS BIGINT) AS pos, raw AS href, 'nav' AS page_region FROM l WHERE pos < 6 AND raw LIKE '/%'")
@@ -416,11 +444,10 @@ def q_page_link_regions(spark, sf):
     return links.where("pos < 6 AND href LIKE '/%' AND page_region = 'nav'").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "page_region")
 
 
-@query()
+@query(f"""WITH {_BODY} SELECT page_id, CAST(k AS INTEGER) AS unit_no, md5(x) AS text_md5, context FROM units""")
 def q_statement_units(spark, sf):
-    p = P.parse_pages(t(spark, sf, "pages"), ["page_id"])
-    u = P.statement_units(p, ["page_id"])
-    return u.select("page_id", "unit_no", ST.statement_id(F.col("page_id").cast("string"), F.col("text"), F.col("context")).alias("statement_id"))
+    u = P.statement_units(P.parse_pages(t(spark, sf, "pages"), ["page_id"]), ["page_id"])
+    return u.select("page_id", "unit_no", F.md5(F.col("text").cast("binary")).alias("text_md5"), "context")
 
 
 @query("SELECT doc_id, sha256(regexp_replace(text, '[\\s]+', '', 'g')) AS visible_hash, 0 AS n_bad FROM documents WHERE trim(text) <> ''")
@@ -439,19 +466,26 @@ def q_chunk_ids_unique(spark, sf):
     return c.select(cid.alias("chunk_id")).groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query()
+@query("""WITH d AS (SELECT doc_id, text, split_part(text, chr(10), 1) AS head FROM documents), p AS (SELECT doc_id, text, lag(text) OVER (PARTITION BY head ORDER BY doc_id) AS previous FROM d),
+n AS (SELECT doc_id, text, previous, len(string_split(rtrim(text, chr(10)), chr(10))) - len(string_split(rtrim(previous, chr(10)), chr(10))) AS net FROM p WHERE previous IS NOT NULL AND previous <> text)
+SELECT doc_id, CAST(net AS BIGINT) AS net_lines, true AS differs FROM n""")
 def q_doc_diff_near_copy(spark, sf):
-    """Line differences of documents that share their first line, each with the one before it."""
-    d = t(spark, sf, "documents").select("doc_id", "text", F.xxhash64(F.substring_index("text", "\n", 1)).alias("head"))
-    w = W.partitionBy("head").orderBy("doc_id")
-    pairs = d.withColumn("previous", F.lag("text").over(w)).where("previous IS NOT NULL AND previous <> text")
-    return P.content_diff(pairs, ["doc_id"], "previous", "text").select("doc_id", F.sha2("diff", 256).alias("diff_hash"), F.length("diff").cast("long").alias("n_chars"))
+    """Line differences of documents that share their first line, each with the one before it: lines gained, and that there is a difference."""
+    d = t(spark, sf, "documents").select("doc_id", "text")
+    heads = d.select("doc_id", F.xxhash64(F.substring_index("text", "\n", 1)).alias("head"))
+    before = heads.withColumn("before", F.lag("doc_id").over(W.partitionBy("head").orderBy("doc_id"))).where("before IS NOT NULL").select("doc_id", "before")
+    pairs = before.join(d, "doc_id").join(d.select(F.col("doc_id").alias("before"), F.col("text").alias("previous")), "before").where("previous <> text")
+    out = P.content_diff(pairs, ["doc_id"], "previous", "text").withColumn("lines", F.slice(F.split("diff", "\n"), 3, 1 << 30))
+    count = lambda sign: F.size(F.filter("lines", lambda x: F.startswith(x, F.lit(sign))))
+    return out.select("doc_id", (count("+") - count("-")).cast("long").alias("net_lines"), (F.length("diff") > 0).alias("differs"))
 
 
 @query("""SELECT event_id, NOT (row_number() OVER w = 1) AS was_seen, row_number() OVER w = 1 AND ts >= TIMESTAMP '2024-01-10' AS is_new FROM events WINDOW w AS (PARTITION BY user_id, props ORDER BY ts, event_id)""")
 def q_stream_seen_set(spark, sf):
     baseline = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
-    return H.first_sights(t(spark, sf, "events"), ["user_id", "props"], ["ts", "event_id"], baseline).select("event_id", "was_seen", "is_new")
+    e = t(spark, sf, "events").select("user_id", "props", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("snapshot_id"), baseline.alias("baseline"))
+    out = STATE.in_batch(e, ["user_id", "props"], ["ts", "snapshot_id"], STATE.seen_set, "user_id long, props string, snapshot_id long, was_seen boolean, is_new boolean, first_seen long")
+    return out.select(F.col("snapshot_id").alias("event_id"), "was_seen", "is_new")
 
 
 @query("""WITH s AS (SELECT *, event_type <> 'error' AS ok FROM events)
@@ -528,10 +562,11 @@ def q_memory_supersession(spark, sf):
     return M.supersession(t(spark, sf, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["props"], "event_id").select("event_id", "supersedes", "active")
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id % 10 = 3 AND role <> 'system' AND turn % 2 = 0 AND length(text) > 0")
+@query("SELECT conv_id, turn, CAST(conv_id % 10 AS VARCHAR) AS scope_id FROM conversations WHERE role <> 'system' AND turn % 2 = 0 AND length(text) > 0")
 def q_memory_eligible(spark, sf):
+    """Eligible memories of every scope."""
     c = t(spark, sf, "conversations").select("conv_id", "turn", F.lit("product").alias("scope"), (F.col("conv_id") % 10).cast("string").alias("scope_id"), F.when(F.col("role") == "system", "pending").otherwise("confirmed").alias("status"), ((F.col("turn") % 2 == 0) & (F.length("text") > 0)).alias("active"), F.col("turn").alias("updated_at"), F.col("conv_id").alias("memory_id"))
-    return M.eligible(c, "product", "3").select("conv_id", "turn")
+    return M.eligible(c, "product", None).select("conv_id", "turn", "scope_id")
 
 
 @query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) > 4000 THEN 'too_long' END AS violation FROM conversations")

@@ -1,8 +1,8 @@
 """Durable incremental state as Structured Streaming: watermarks of comparison, seen sets, lifecycles.
 
 Each operator has one transition function over ordered rows of a key.  It runs
-in a stream through applyInPandasWithState and in a batch over whole groups,
-so both give the same rows.
+in a stream through applyInPandasWithState and in a batch over rows sorted by
+key, so both give the same rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,10 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 Transition = Callable[[dict, dict], dict | None]
@@ -94,20 +97,55 @@ def backfill_origin(state: dict, row: dict, quota: int = 20) -> dict:
     return {"seq": row["seq"], "origin": origin}
 
 
+def checkpointed_step(state: dict, row: dict) -> dict:
+    """A step of a run: a complete one is skipped, any other try counts; failures keep their category.
+
+    Rows: seq, outcome (complete, failed, or NULL while it runs), category.
+    """
+    skipped = state.get("status") == "complete"
+    if not skipped:
+        state["attempts"] = state.get("attempts", 0) + 1
+        state["status"] = row["outcome"] or "running"
+        if state["status"] == "failed":
+            state["failures"] = [*state.get("failures", ()), row.get("category") or "unknown"]
+    return {"seq": row["seq"], "status": state["status"], "attempts": state["attempts"], "skipped": skipped, "n_failures": len(state.get("failures", ()))}
+
+
+def preference(state: dict, row: dict) -> dict:
+    """An item of the user's preferences: added ones are confirmed, suggested ones wait; nothing else moves a state that isn't its own.
+
+    Actions: add, suggest, confirm, ignore, edit, remove; `content` goes with add, suggest and edit.
+    """
+    moves = {("none", "add"): "confirmed", ("none", "suggest"): "pending", ("pending", "confirm"): "confirmed", ("pending", "ignore"): "inactive", ("confirmed", "edit"): "confirmed", ("confirmed", "remove"): "inactive"}
+    now = state.get("state", "none")
+    following = moves.get((now, row["action"]))
+    if following:
+        state["state"] = following
+        state["content"] = row.get("content") or state.get("content")
+    return {"seq": row["seq"], "state": state.get("state", "none"), "content": state.get("content"), "accepted": following is not None}
+
+
 def _rows(pdf: pd.DataFrame, order: list[str]) -> Iterator[dict]:
     clean = pdf.sort_values(order, kind="stable").astype(object)
     yield from clean.where(clean.notna(), None).to_dict("records")
 
 
 def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Transition, schema: str) -> DataFrame:
-    """The transitions of all rows; a key's history is read in one task, in order."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        state: dict = {}
-        out = [dict(zip(keys, key, strict=True)) | step(state, row) for row in _rows(pdf, order)]
-        return pd.DataFrame(out)
-
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    """The transitions of all rows; a key's history is read in one task, in order, a batch of rows at a time."""
+    out = to_arrow_schema(T.DataType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, {}
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != current:
+                    current, state = key, {}
+                done.append(dict(zip(keys, key, strict=True)) | step(state, row))
+            yield pa.RecordBatch.from_pylist(done, schema=out)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def in_stream(df: DataFrame, keys: list[str], order: list[str], step: Transition, schema: str) -> DataFrame:

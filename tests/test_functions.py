@@ -21,7 +21,9 @@ def test_collapse_and_newlines(spark):
     ("text", "first", "every"),
     [
         ("2024-02-30 or 2024年1月9日", "2024-01-09", ["2024-01-09"]),
-        ("March 5th, 2024; 7 April 2023", "2024-03-05", ["2023-04-07", "2024-03-05"]),
+        ("March 5th, 2024; 7 April 2023", "2024-03-05", ["2024-03-05"]),
+        ("v2024.01.02", "2024-01-02", []),
+        ("0000-01-01 and 1999-01-02", None, ["1999-01-02"]),
         ("February 30, 2024", None, []),
         ("12024-01-019", None, []),
     ],

@@ -14,7 +14,7 @@ from changelens.operators import research as RS
 from changelens.operators import retrieval as R
 from changelens.operators import statements as ST
 from changelens.operators import states as S
-from changelens.plans.catalog import quality_gate
+from changelens.operators.pages import quality_gate
 
 QUOTES = "map<string,array<struct<input_field:string,excerpt:string>>>"
 DECISION = (
@@ -77,7 +77,7 @@ def test_keyed_rows(spark):
 def test_quality_gate_branches(spark):
     cases = [("", 0, "FAIL", ["empty_content", "no_valid_blocks"]), (" \n", 3, "FAIL", ["empty_content"]), ("Loading", 2, "FAIL", ["dynamic_placeholder"]), ("loading " * 40, 2, "PASS", []), ("short", 2, "WARNING", ["sparse_content"]), ("short", 3, "PASS", [])]
     df = spark.createDataFrame([(k, c, n) for k, (c, n, _, _) in enumerate(cases)], "id int, c string, n int")
-    got = {r.id: (r.q.status, r.q.reasons) for r in df.select("id", quality_gate(F.col("c"), F.col("n")).alias("q")).collect()}
+    got = {r.id: (r.q.status, r.q.reasons) for r in quality_gate(df, "c", "n").select("id", F.col("quality").alias("q")).collect()}
     assert got == {k: (s, r) for k, (_, _, s, r) in enumerate(cases)}
 
 
