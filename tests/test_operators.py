@@ -149,7 +149,7 @@ def test_dedup_and_normalisation(spark):
 
 
 def test_memory_policy_and_chain(spark):
-    cases = [("prefer dark mode", "preference", "I prefer dark mode", "user", None), ("x", "goal", "plan x", "event", "fact_source"), ("y", "goal", "plan x", "user", "not_verbatim"), ("token: abc", "goal", "plan token: abc", "user", "secret"), ("run it today", "goal", "plan: run it today", "user", "temporary"), ("blue", "goal", "blue", "user", "no_signal"), ("supports SSO", "goal", "our goal: supports SSO", "user", "fact_only")]
+    cases = [("prefer dark mode", "preference", "I prefer dark mode", "user", None), ("x", "goal", "plan x", "event", "fact_source"), ("y", "goal", "plan x", "user", "not_verbatim"), ("token: abc", "goal", "plan token: abc", "user", "source_secret"), ("run it today", "goal", "plan: run it today", "user", "temporary"), ("blue", "goal", "blue", "user", "no_signal"), ("supports SSO", "goal", "our goal: supports SSO", "user", "fact_only")]
     df = spark.createDataFrame([(k, *c[:4]) for k, c in enumerate(cases)], "id int, content string, kind string, source string, source_kind string")
     got = {r.id: r.v for r in df.select("id", M.candidate_violation(F.col("content"), F.col("kind"), F.col("source"), F.col("source_kind")).alias("v")).collect()}
     assert got == {k: c[4] for k, c in enumerate(cases)}

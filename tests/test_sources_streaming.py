@@ -42,7 +42,7 @@ def test_files_of_every_kind(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in files.read_files(spark, str(tmp_path)).collect()}
     assert got["a.txt"].text == "hello" and got["a.txt"].title == "a" and got["b.md"].title == "Title"
     assert got["c.docx"].text == "# Top\n\n- item\n\n| a | b |\n| --- | --- |" and got["c.docx"].warnings == ["images_skipped"]
-    assert "| h | 5 |" in got["d.xlsx"].text and "[公式: =SUM(A1)]" in got["d.xlsx"].text and got["d.xlsx"].warnings == ["merged_cells"]
+    assert "| h | 5 |" in got["d.xlsx"].text and "[公式: =SUM(A1)]" in got["d.xlsx"].text and got["d.xlsx"].warnings == ["formula_without_cached_value:S!C3", "merged_cells"]
     codes = {k: (got[k].status, got[k].error) for k in ("e.txt", "f.txt", "g.bin", "h.docx", "i.docx")}
     assert codes == {"e.txt": ("failed", "empty_file"), "f.txt": ("failed", "encoding_not_utf8"), "g.bin": ("unsupported", "unsupported"), "h.docx": ("failed", "invalid_zip"), "i.docx": ("failed", "invalid_docx")}
     small = {r.path.rsplit("/", 1)[1]: r.error for r in files.read_files(spark, str(tmp_path), max_bytes=3).collect()}
