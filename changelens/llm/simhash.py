@@ -183,6 +183,8 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
 
 #: Min-hash bands of the similarity join: with 21 bands of 6 a pair of similarity 0.8 is missed once in 600.
 BANDS, ROWS = 21, 6
+#: Bits that hold the parity of a text's shingles.
+PARITY = 512
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -277,6 +279,10 @@ def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: in
     the similarity allows: 2 s / (1 + s) n for the smaller set, s n for the
     larger.  What a template puts in all of its pages comes last in this order.
     Of a shingle's texts those in its largest component meet the others only.
+    Two bounds that lose none drop most candidates before their texts are read:
+    the places of the first shared shingle bound the overlap from above, and
+    where bits hold the parity of the shingles dealt to them, the bits in which
+    two texts differ bound the number of shingles in which they do from below.
     """
 
     def run(batches):
@@ -289,6 +295,16 @@ def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: in
                 h = np.concatenate([np.zeros(0, np.uint64), *sets])
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ths, counts), h.view(np.int64), np.repeat(counts, counts))], ["th", "h", "n"])
 
+    def parities(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column(1):
+                h = np.unique(shingle_hashes(text.as_py(), size)) * np.uint64(0x9E3779B97F4A7C15)
+                odd = np.bincount((h >> np.uint64(64 - PARITY.bit_length() + 1)).astype(np.int64), minlength=PARITY) % 2 == 1
+                rows.append(np.packbits(odd).view("<i8").tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["th", "bits"])
+
+    bits = scratch.write(texts.select("th", "text").mapInArrow(parities, "th long, bits array<long>"), "parities")
     held = scratch.write(texts.select("th", "text").mapInArrow(run, "th long, h long, n long"), "shingles")
     spread = scratch.write(held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "spread")
     known = held.join(spread, "h")
@@ -297,13 +313,18 @@ def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: in
     places = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("hs"))
     ordered = ordered.select("th", "n", "hs", places(2 * similarity / (1 + similarity)).alias("short"), places(similarity).alias("long"))
     ordered = ordered.where("long > 0").join(roots, ordered["th"] == roots["node"], "left").withColumn("root", F.coalesce("root", "th"))
-    keys = ordered.select("th", "n", "root", "short", F.posexplode(F.slice("hs", F.lit(1), F.col("long").cast("int"))).alias("at", "x"))
-    keys = scratch.write(keys.select(F.col("x.h").alias("h"), "th", "n", "root", (F.col("at") < F.col("short")).alias("index")), "prefixes")
+    ordered = ordered.join(bits, "th")
+    keys = ordered.select("th", "n", "root", "short", "bits", (F.col("n") - F.size("hs")).alias("alone"), F.posexplode(F.slice("hs", F.lit(1), F.col("long").cast("int"))).alias("at", "x"))
+    place = (F.col("alone") + F.col("at")).alias("place")
+    keys = scratch.write(keys.select(F.col("x.h").alias("h"), "th", "n", "root", "bits", place, (F.col("at") < F.col("short")).alias("index")), "prefixes")
     scratch.drop(held, spread)
     groups = keys.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root"))["root"].alias("main"))
     keys = scratch.write(keys.join(groups.where("roots > 1").select("h", "main"), "h").withColumn("other", F.col("root") != F.col("main")), "meeting")
-    side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("th", "n", "root")])
-    may = (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "th_a") < F.struct("n_b", "th_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
+    side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("th", "n", "root", "bits", "place")])
+    both, after = F.col("n_a") + F.col("n_b"), F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("bits_a")[k].bitwiseXOR(F.col("bits_b")[k])) for k in range(PARITY // 64)])
+    bounds = (after >= similarity / (1 + similarity) * both - 1e-9) & (apart <= (1 - similarity) / (1 + similarity) * both + 1e-9)
+    may = bounds & (F.col("root_a") != F.col("root_b")) & (F.struct("n_a", "th_a") < F.struct("n_b", "th_b")) & (F.col("n_a") >= similarity * F.col("n_b") - 1e-9)
     out = None
     for short, long in ((keys.where("index and other"), keys), (keys.where("index and not other"), keys.where("other"))):
         met = side(short, "a").join(side(long, "b"), "h").where(may)
