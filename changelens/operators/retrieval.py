@@ -4,14 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from changelens.functions.vectors import as_doubles, cosine, space_violation, unit
 
+#: Rows of a block of vectors, and queries that are scored at once.
+BLOCK = 4096
+STRIP = 32
+
 
 def with_unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_unit", unit(as_doubles(F.col(vector))))
@@ -25,11 +32,68 @@ def search(chunks: DataFrame, query: list[float], n: int, key: str, vector: str,
     return rows.orderBy(F.desc("score"), key).limit(n)
 
 
+def _best_of_block(n: int, schema: pa.Schema):
+    """The n best chunks of one block for each query of another; sums run in the order of `cosine`, so scores are equal bit by bit."""
+
+    def run(asked: pa.Table, chunks: pa.Table) -> pa.Table:
+        if not len(asked) or not len(chunks):
+            return schema.empty_table()
+        chunks = chunks.sort_by("_id")
+        codes = pa.chunked_array([*asked.column("_id").chunks, *chunks.column("_id").chunks]).combine_chunks().dictionary_encode().indices.to_numpy()
+        at, own = codes[len(asked) :], codes[: len(asked)]
+        q, c = (np.stack(x.column("_unit").to_numpy(zero_copy_only=False)) for x in (asked, chunks))
+        wide = np.ascontiguousarray(c.T)
+        picked_q, picked_c, scores = [], [], []
+        for start in range(0, len(q), STRIP):
+            strip = q[start : start + STRIP]
+            score = np.zeros((len(strip), len(c)))
+            part = np.empty_like(score)
+            for d in range(q.shape[1]):
+                np.multiply(strip[:, d, None], wide[d], out=part)
+                score += part
+            np.clip(score, -1.0, 1.0, out=score)
+            score[own[start : start + STRIP, None] == at] = -np.inf
+            floor = np.partition(score, len(c) - n, axis=1)[:, len(c) - n] if len(c) > n else np.full(len(strip), -1.0)
+            for i, row in enumerate(score):
+                found = np.flatnonzero((row >= floor[i]) & (row > -np.inf))
+                found = found[np.argsort(-row[found], kind="stable")[:n]]
+                picked_q.append(np.full(len(found), start + i))
+                picked_c.append(found)
+                scores.append(row[found])
+        ids = asked.column("_id").take(pa.array(np.concatenate(picked_q))), chunks.column("_id").take(pa.array(np.concatenate(picked_c)))
+        return pa.Table.from_arrays([*ids, pa.array(np.concatenate(scores))], schema.names).cast(schema)
+
+    return run
+
+
 def search_all(chunks: DataFrame, queries: DataFrame, n: int, key: str, query_key: str, vector: str, domain: list[str]) -> DataFrame:
-    """The n best chunks of each query within its own domain, ranked from 1."""
-    c = with_unit(chunks, vector).where("_unit is not null").select(*domain, key, F.col("_unit").alias("_c"))
-    q = with_unit(queries, vector).where("_unit is not null").select(*domain, F.col(key).alias(query_key), F.col("_unit").alias("_q"))
-    scored = q.join(c, domain).where(F.col(query_key) != F.col(key)).withColumn("score", cosine(F.col("_q"), F.col("_c")))
+    """The n best chunks of each query within its own domain, ranked from 1.
+
+    Both sides are dealt out in blocks of about BLOCK rows of a domain and dimension; a task scores one block
+    of queries against one of chunks and hands on n rows a query, so a domain of any size is shared among tasks and no
+    pair is a row.  Keys are unique on each side; rows without a key, a domain or a usable vector take no part.
+    """
+
+    def usable(df: DataFrame) -> DataFrame:
+        rows = with_unit(df.where(F.col(key).isNotNull()), vector).where("_unit is not null")
+        return rows.select(*domain, F.size("_unit").alias("_dim"), F.col(key).alias("_id"), "_unit")
+
+    group, cell = [*domain, "_dim"], [*domain, "_dim", "_asked", "_held"]
+    keys = [f"_key{k}" for k in range(len(cell))]
+    c, q = usable(chunks), usable(queries)
+    parts = lambda df, name: df.groupBy(*group).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias(name))
+    sizes = parts(q, "_q").join(parts(c, "_c"), group)
+
+    def dealt(df: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+        rows = df.join(sizes, group).withColumn(own, F.pmod(F.xxhash64("_id"), F.col(count)))
+        rows = rows.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+        rows = rows.select(*[F.col(x).alias(k) for x, k in zip(cell, keys, strict=True)], "_id", "_unit")
+        return rows.repartition(*keys)  # else a domain would stay in one task
+
+    kinds = [T.StructField(query_key, queries.schema[key].dataType), T.StructField(key, chunks.schema[key].dataType), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(kinds)
+    asked, held = dealt(q, "_asked", "_q", "_held", "_c"), dealt(c, "_held", "_c", "_asked", "_q")
+    scored = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(_best_of_block(n, to_arrow_schema(schema)), schema)
     over = W.partitionBy(query_key).orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= n).select(query_key, key, "score", "rank")
 

@@ -1,6 +1,8 @@
 """Operators on small rows: each branch of the rules, null and empty inputs."""
 
 import datetime as dt
+from functools import reduce
+from math import sqrt
 
 import pytest
 from pyspark.sql import functions as F
@@ -185,6 +187,24 @@ def test_retrieval_ties_filters_and_conflicts(spark):
     assert got == {"1N1": "document_exists", "9N2": "document_not_found", "1N3": "document_changed", "8N4": "duplicate_content", "7 other ": "display_name_conflict", "6N6": None}
 
 
+def test_search_of_many_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 16)
+    monkeypatch.setattr(R, "STRIP", 5)
+    vectors = [(f"k{k:03d}", "ab"[k % 3 == 0], [float((k * 7 + j * j * 5) % 11 - 5) for j in range(4 + (k % 7 == 0))]) for k in range(120)]
+    vectors += [(f"t{k:03d}", "a", vectors[1][2]) for k in range(40)]  # copies, more than a block
+    odd = [("n1", None, [1.0]), (None, "a", [1.0] * 4), ("n2", "a", None), ("n3", "a", [0.0] * 4), ("n4", "a", [float("nan")] * 4), ("n5", "c", [1.0]), ("n6", "a", [])]
+    df = spark.createDataFrame(vectors + odd, "id string, dom string, v array<double>")
+    dot = lambda a, b: reduce(lambda s, xy: s + xy[0] * xy[1], zip(a, b, strict=True), 0.0)  # noqa: E731 (sum() compensates)
+    unit = {k: [x / sqrt(dot(v, v)) for x in v] for k, _, v in vectors}
+    want = set()
+    for k, dom, v in vectors:
+        scored = [(-max(-1.0, min(1.0, dot(unit[k], unit[o]))), o) for o, d, w in vectors if o != k and d == dom and len(w) == len(v)]
+        want |= {(k, o, place + 1) for place, (_, o) in enumerate(sorted(scored)[:5])}
+    found = R.search_all(df, df, 5, "id", "query", "v", ["dom"]).select("query", "id", "rank").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+    assert R.search_all(df.limit(0), df, 5, "id", "query", "v", ["dom"]).count() == 0
+
+
 def test_metrics(spark):
     df = spark.createDataFrame([("event", "event"), ("event", "no_event"), ("no_event", "event")], "g string, p string")
     per = {r.label: (r.support, r.precision, r.recall) for r in X.per_class(df, "g", "p", list(EV.DECISIONS)).collect()}
