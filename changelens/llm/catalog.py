@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import knn, lines, media, mixing, packing, quality, simhash, suffixes, surrogates, toxicity
+from changelens.llm import alignment, bpe, clusters, knn, lines, media, mixing, packing, quality, simhash, suffixes, surrogates, toxicity
 from changelens.llm.base import table
 
 #: The key of the registered query; a caller of the operator brings their own.
@@ -60,9 +60,21 @@ def op10_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_media, op4_lines, op5_pii, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffixes, op3_media, op4_lines, op5_pii, op6_mixing, op7_simhash, op8_packing, op9_quality, op10_knn, op11_bpe, op12_clusters, op13_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lines": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op10_knn": knn.ORACLE}
+    return {"op4_lines": lines.ORACLE, "op6_mixing": mixing.ORACLE, "op10_knn": knn.ORACLE, "op12_clusters": clusters.ORACLE}

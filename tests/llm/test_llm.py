@@ -725,7 +725,7 @@ def test_top_k_keeps_rows_that_share_an_id(spark, monkeypatch):
 
 def test_catalog_names():
     names = list(catalog.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and set(catalog.oracle_sql()) <= set(names)
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and set(catalog.oracle_sql()) <= set(names)
 
 
 def test_pipeline_stages_work_on_what_is_kept(spark):
