@@ -1,15 +1,10 @@
 """Line deduplication by distinct-site spread.
 
 Every line hash gets HyperLogLog sketches of the sites and of the texts that
-hold it, and of the company it keeps there, built and merged by aggregation.
-Lines whose estimates clear the thresholds are cross-site boilerplate, lines
-that fall short are not, and those near a threshold are counted exactly.
-
-The company of a line in a text is the text's smallest hash of any other line.
-Own texts that share a footer keep it in different company; a document copied
-to many sites, with an edit here and there, keeps each of its lines in the
-same.  So copies are told apart from boilerplate by cause, and are left to the
-operators that look for them.
+hold it, built and merged by aggregation.  Lines whose estimates clear the
+threshold are cross-site boilerplate, lines that fall short are not, and those
+near it are counted exactly.  Nothing else decides: a footer of forty lines
+under one line of text goes like one line under forty.
 """
 
 from __future__ import annotations
@@ -19,8 +14,8 @@ from pyspark.sql import functions as F
 
 from changelens.llm.base import Scratch
 
-#: Sites, and different company, that a line must be found in; the least share of its texts that differ in company; sketch size (2**k registers).
-MIN_SITES, MIN_DIFFERENT, LOG_K = 5, 0.25, 10
+#: Sites, and different texts, that a line must be found in; sketch size (2**k registers).
+MIN_SITES, LOG_K = 5, 10
 ADDED = ("n_lines", "n_cut")
 
 
@@ -28,50 +23,41 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def _held(text: Column) -> Column:
-    """(line, mark) of each different non-blank line: its hash, and the digest by which company is chosen."""
-    lines = F.array_distinct(F.transform(F.split(text, "\n"), lambda x: F.trim(x)))
-    return F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(F.xxhash64(x).alias("line"), F.md5(x.cast("binary")).alias("mark")))
-
-
-def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, site: str, min_different: float = MIN_DIFFERENT, lg_k: int = LOG_K) -> DataFrame:
-    """line (hash) of each non-blank line in at least `min_sites` sites and as many kinds of company."""
+def boilerplate(docs: DataFrame, scratch: Scratch, min_sites: int, site: str, lg_k: int = LOG_K) -> DataFrame:
+    """line (hash) of each non-blank line in at least `min_sites` sites and as many different texts."""
     text = F.col("text").cast("string")
-    rows = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("content"), _held(text).alias("held"))
-    least = rows.withColumn("m1", F.array_min("held.mark"))
-    least = least.withColumn("m2", F.coalesce(F.array_min(F.filter("held.mark", lambda m: m != F.col("m1"))), F.lit("")))
-    lines = least.select("site", "content", "m1", "m2", F.explode("held").alias("x"))
-    lines = lines.select("site", "content", F.col("x.line").alias("line"), F.xxhash64(F.when(F.col("x.mark") == F.col("m1"), F.col("m2")).otherwise(F.col("m1"))).alias("company"))
-    kinds = {"sites": "site", "texts": "content", "companies": "company"}
+    held = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), _hash))
+    lines = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.xxhash64(text).alias("content"), F.explode(held).alias("line"))
+    kinds = {"sites": "site", "texts": "content"}
     spread = lines.groupBy("line").agg(*[F.hll_sketch_agg(c, lg_k).alias(k) for k, c in kinds.items()])
     spread = spread.select("line", *[F.hll_sketch_estimate(k).alias(k) for k in kinds])
     slack = 4 * 1.04 / 2 ** (lg_k / 2)
     low, high = max(1.0, min_sites * (1 - slack)) - 0.5, min_sites * (1 + slack) + 0.5
-    share = F.col("companies") / F.col("texts")
-    found = scratch.write(spread.where((F.col("sites") >= low) & (F.col("companies") >= low) & (share >= min_different * (1 - 2 * slack))), "spread")
-    sure = (F.col("sites") > high) & (F.col("companies") > high) & (share > min_different * (1 + 2 * slack))
+    found = scratch.write(spread.where((F.col("sites") >= low) & (F.col("texts") >= low)), "spread")
+    sure = (F.col("sites") > high) & (F.col("texts") > high)
     near = scratch.write(found.where(~sure).select("line"), "near")
     held = scratch.write(lines.join(near, "line").select("line", *kinds.values()), "held")
     exact = None
     for kind, c in kinds.items():
         counted = held.select("line", c).distinct().groupBy("line").agg(F.count("*").alias(kind))
         exact = counted if exact is None else exact.join(counted, "line")
-    exact = exact.where((F.col("sites") >= min_sites) & (F.col("companies") >= min_sites) & (share >= min_different)).select("line")
+    exact = exact.where((F.col("sites") >= min_sites) & (F.col("texts") >= min_sites)).select("line")
     return scratch.write(found.where(sure).select("line").unionByName(exact), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", min_different: float = MIN_DIFFERENT) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source") -> DataFrame:
     """`docs` with such lines cut from `text`, and n_lines, n_cut (lines before, lines cut) added.
 
     Defined cases: a null text stays null with no lines; blank lines are never
     cut; a null site counts as one site; copies of a text count as one text,
-    so a document copied everywhere isn't boilerplate; a text of such lines
-    alone becomes empty; repeated rows are cut alike; columns called n_lines or
+    so a document copied everywhere isn't boilerplate, but the common lines of
+    copies with edits are, once five of them lie on five sites (drop such copies
+    first where they matter); a text of such lines alone becomes empty; repeated rows are cut alike; columns called n_lines or
     n_cut are replaced and all others kept as they are; an empty table gives an
     empty result.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    common = boilerplate(docs, scratch, min_sites, site, min_different)
+    common = boilerplate(docs, scratch, min_sites, site)
     text = F.col("text").cast("string")
     held = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("key"), F.explode(F.array_distinct(F.transform(F.split(text, "\n"), _hash))).alias("line")).distinct()
     cut = held.join(common, "line").groupBy("key").agg(F.collect_set("line").alias("cut"))  # at most the lines of one text
@@ -92,13 +78,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str =
 
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, '') AS site, string_split(text, chr(10)) AS ls FROM documents),
-l AS (SELECT DISTINCT rid, site, text, line, md5(line) AS mark
-      FROM (SELECT rid, site, text, trim(unnest(ls), ' ') AS line FROM d) WHERE line <> ''),
-m AS (SELECT rid, min(mark) AS m1 FROM l GROUP BY rid),
-n AS (SELECT l.rid, m1, min(mark) FILTER (mark <> m1) AS m2 FROM l JOIN m USING (rid) GROUP BY l.rid, m1),
-b AS (SELECT line FROM (SELECT l.*, CASE WHEN mark = m1 THEN coalesce(m2, '') ELSE m1 END AS company FROM l JOIN n USING (rid))
-      GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT company) >= {MIN_SITES}
-      AND count(DISTINCT company) >= {MIN_DIFFERENT} * count(DISTINCT text)),
+l AS (SELECT DISTINCT site, text, line FROM (SELECT site, text, trim(unnest(ls), ' ') AS line FROM d) WHERE line <> ''),
+b AS (SELECT line FROM l GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES} AND count(DISTINCT text) >= {MIN_SITES}),
 p AS (
   SELECT rid, x, i, trim(x, ' ') IN (SELECT line FROM b) AS cut
   FROM (SELECT rid, unnest(ls) AS x, unnest(range(1, len(ls) + 1)) AS i FROM d WHERE text IS NOT NULL)),

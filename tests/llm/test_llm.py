@@ -266,14 +266,12 @@ def test_media_columns(documents):
 # --- lines ---
 
 
-def lines_by_force(rows, sites, different):
-    site, texts, company = (collections.defaultdict(set) for _ in range(3))
-    mark = lambda x: hashlib.md5(x.encode()).hexdigest()
+def lines_by_force(rows, sites):
+    site, texts = collections.defaultdict(set), collections.defaultdict(set)
     for _, t, s in rows:
-        own = {x.strip(" ") for x in (t or "").split("\n")} - {""}
-        for x in own:
-            site[x].add(s or ""), texts[x].add(t), company[x].add(min(map(mark, own - {x}), default=""))
-    common = {x for x in site if len(site[x]) >= sites and len(company[x]) >= sites and len(company[x]) >= different * len(texts[x])}
+        for x in {x.strip(" ") for x in (t or "").split("\n")} - {""}:
+            site[x].add(s or ""), texts[x].add(t)
+    common = {x for x in site if len(site[x]) >= sites and len(texts[x]) >= sites}
     out = []
     for d, t, _ in rows:
         ls = [] if t is None else t.split("\n")
@@ -294,13 +292,24 @@ def line_rows():
 def test_lines_equal_brute_force(documents):
     rows = line_rows()
     got = sorted([(r.doc_id, r.text, r.n_lines, r.n_cut) for r in lines.remove_boilerplate(documents(rows)).collect()], key=str)
-    assert got == lines_by_force(rows, lines.MIN_SITES, lines.MIN_DIFFERENT)
+    assert got == lines_by_force(rows, lines.MIN_SITES)
     cut = {g[0]: g[3] for g in got}
-    assert all(cut[500 + k] == 0 for k in range(9)) and all(cut[600 + k] == 0 for k in range(30))  # copies, and copies with an edit
+    assert all(cut[500 + k] == 0 for k in range(9)) and all(cut[600 + k] == 29 for k in range(30))  # copies; copies with an edit share 29 lines
     assert all(cut[700 + k] == 1 for k in range(7)) and sum(cut.values()) > 7  # boilerplate, even where it is most of a text
     assert lines.remove_boilerplate(documents([])).count() == 0
 
 
+def test_footers_of_any_length_go(documents):
+    """Footers of 1 to 40 lines under 1 to 40 own lines, each on five sites."""
+    rows = []
+    for n, footer in enumerate((1, 2, 5, 20, 40)):
+        for m, own in enumerate((1, 5, 40)):
+            common = [f"footer {footer} of {own}, line {k}" for k in range(footer)]
+            rows += [(1000 * n + 100 * m + k, "\n".join([*[f"own {footer} {own} {k} {j}" for j in range(own)], *common]), f"s{k % 5}") for k in range(10)]
+    lengths = {(1000 * n + 100 * m + k): footer for n, footer in enumerate((1, 2, 5, 20, 40)) for m in range(3) for k in range(10)}
+    assert {r.doc_id: r.n_cut for r in lines.remove_boilerplate(documents(rows)).collect()} == lengths
+
+
 def test_lines_equal_their_sql(documents):
     import duckdb
 
