@@ -46,6 +46,7 @@ class Coder:
         known = {i: b for b, i in token_bytes(path).items()} | {i: x.encode() for x, i in self.added.items()}
         self.bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes])
+        self.held = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")  # ids on their way up the tree
         self.added_ids = np.array(sorted(self.added.values()), IDS)
 
     def encode(self, text: str) -> np.ndarray:
@@ -177,19 +178,18 @@ def _encode_leaves(path: str | None):
         of = coder(path or tokenizer_path())
         for batch in batches:
             texts = batch.column(3).to_pylist()
-            ids, tails = [of.encoder.encode(t) for t in texts], [of.unsettled(t) for t in texts]
+            ids, tails = [of.encode(t).astype(of.held).tobytes() for t in texts], [of.unsettled(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ids, pa.binary()), pa.array(tails, pa.int64())], ["key", "doc_id", "at", "ids", "tail"])
 
     return run
 
 
-def _join_pairs(path: str | None):
+def _join_pairs(path: str | None, last: bool):
     def run(group: pa.Table) -> pa.Table:
         of, rows = coder(path or tokenizer_path()), group.sort_by("at").to_pylist()
-        ids, tail = np.frombuffer(rows[0]["ids"], IDS), rows[0]["tail"]
-        for r in rows[1:]:
-            ids, tail = of.join(ids, tail, np.frombuffer(r["ids"], IDS), r["tail"])
-        one = [[rows[0]["key"]], [rows[0]["doc_id"]], [rows[0]["at"] // 2], [ids.tobytes()], [tail]]
+        parts = [(np.frombuffer(r["ids"], of.held).astype(IDS), r["tail"]) for r in rows]
+        ids, tail = of.join(*parts[0], *parts[1]) if len(parts) > 1 else parts[0]
+        one = [[rows[0]["key"]], [rows[0]["doc_id"]], [rows[0]["at"] // 2], [ids.astype(IDS if last else of.held).tobytes()], [tail]]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.Table.from_arrays([pa.array(v, t) for v, t in zip(one, kinds, strict=True)], names=["key", "doc_id", "at", "ids", "tail"])
 
@@ -217,8 +217,9 @@ def encode(docs: DataFrame, tokenizer: str | None = None, leaf: int = LEAF) -> D
     long = rows.withColumn("key", F.monotonically_increasing_id()).where(size > leaf).select("key", "doc_id", "text")
     nodes = long.mapInArrow(_cut(tokenizer, leaf), "key long, doc_id long, at long, text string").repartition("key", "at")
     nodes = nodes.mapInArrow(_encode_leaves(tokenizer), NODE)
-    for _ in range((-(-longest // leaf) - 1).bit_length()):
-        nodes = nodes.groupBy("key", F.expr("at div 2").alias("pair")).applyInArrow(_join_pairs(tokenizer), NODE)
+    levels = (-(-longest // leaf) - 1).bit_length()
+    for level in range(levels):
+        nodes = nodes.groupBy("key", F.expr("at div 2").alias("pair")).applyInArrow(_join_pairs(tokenizer, level == levels - 1), NODE)
     return short.unionByName(nodes.select("doc_id", "ids"))
 
 
