@@ -412,16 +412,6 @@ def _machine(step, out):
     return lambda d: STATE.in_batch(d, ["k"], ["seq"], step, f"k string, seq int, {out}")
 
 
-cases("q_claim_states", _MACHINE, [("a", k, a, p, None, None) for k, (a, p) in enumerate([("complete", "p"), ("claim", "p"), ("claim", "p"), ("complete", "q"), ("fail", "p"), ("claim", "p"), ("retry", "q"), ("claim", "r"), ("retry", "r"), ("complete", "r"), ("retry", "r")])],
-      _machine(STATE.claim, "state string, accepted boolean"),
-      [("a", k, s, ok) for k, (s, ok) in enumerate([("not_started", False), ("running", True), ("running", False), ("running", False), ("failed", True), ("failed", False), ("running", True), ("failed", False), ("running", True), ("completed", True), ("completed", False)])],
-      "k VARCHAR, seq INTEGER, state VARCHAR, accepted BOOLEAN")
-
-cases("q_follow_up_states", _MACHINE, [("a", k, a, None, r, None) for k, (a, r) in enumerate([("ask", "1"), ("ask", "1"), ("complete", "1"), ("ask", "1"), ("ask", "2"), ("fail", "2"), ("complete", "2"), ("complete", "3")])],
-      _machine(STATE.follow_up, "state string, repeated boolean"),
-      [("a", k, s, r) for k, (s, r) in enumerate([("running", False), ("running", True), ("completed", False), ("completed", True), ("running", False), ("failed", False), ("failed", False), ("unknown", False)])],
-      "k VARCHAR, seq INTEGER, state VARCHAR, repeated BOOLEAN")
-
 cases("q_preference_states", _MACHINE, [("a", k, a, None, None, c) for k, (a, c) in enumerate([("edit", "x"), ("suggest", "v1"), ("edit", "x"), ("confirm", None), ("edit", "v2"), ("remove", None), ("confirm", None)])] + [("b", 0, "add", None, None, "w"), ("b", 1, "ignore", None, None, None)],
       _machine(STATE.preference, "state string, content string, accepted boolean"),
       [("a", 0, "none", None, False), ("a", 1, "pending", "v1", True), ("a", 2, "pending", "v1", False), ("a", 3, "confirmed", "v1", True), ("a", 4, "confirmed", "v2", True), ("a", 5, "inactive", "v2", True), ("a", 6, "inactive", "v2", False), ("b", 0, "confirmed", "w", True), ("b", 1, "confirmed", "w", False)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -20,3 +22,14 @@ def session(app: str = "changelens", master: str | None = None, **settings: str)
     for key, value in (DEFAULTS | settings).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set and all run on this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='changelens-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found}/changelens"

@@ -1,21 +1,16 @@
-"""Durable incremental state as Structured Streaming: watermarks of comparison, seen sets, lifecycles.
+"""Incremental state over whole tables: transition functions over the ordered rows of a key.
 
-Each operator has one transition function over ordered rows of a key.  It runs
-in a stream through applyInPandasWithState and in a batch over rows sorted by
-key, so both give the same rows.
+`processors` has the same machines for streams, on state that Spark keeps.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 Transition = Callable[[dict, dict], dict | None]
 
@@ -28,12 +23,11 @@ def comparison_watermark(state: dict, row: dict) -> dict:
     """
     current = state.get("processed")
     base = row["base"] if row.get("base") is not None else current
-    done = state.setdefault("done", [])
+    done = state.setdefault("done", set())
     state["observed"] = row["snapshot_id"]
     moved = False
     if row["outcome"] is not None and row["scan_id"] not in done:
-        done.append(row["scan_id"])
-        del done[:-64]  # repeats come from the runs under way
+        done.add(row["scan_id"])
         if current in (None, base, row["snapshot_id"]):
             state["processed"], moved = row["snapshot_id"], True
     return {"scan_id": row["scan_id"], "previous": current, "observed": state["observed"], "processed": state.get("processed"), "advanced": moved}
@@ -59,17 +53,17 @@ def statement_lifecycle(state: dict, row: dict) -> dict:
 
 
 def claim(state: dict, row: dict) -> dict:
-    """not_started, running, completed or failed; a claim by another process interrupts a stale one; retries come from failed only.
+    """not_started, running, completed or failed; `token` names the process that asks.
 
-    Actions: claim, retry, complete, fail; `token` names the process.
+    claim and retry take a task that nobody has started, retry also a failed one;
+    either interrupts a running task of another process, which then has failed.
     """
-    now, token = state.get("state", "not_started"), state.get("token")
-    ok = False
-    if row["action"] == "claim" and now == "not_started" or row["action"] == "retry" and now == "failed":
-        now, token, ok = "running", row["token"], True
-    elif row["action"] == "claim" and now == "running" and token != row["token"]:
-        now, ok = "failed", False  # the process that held it is gone
-    elif row["action"] in ("complete", "fail") and now == "running" and token == row["token"]:
+    now, token, ok = state.get("state", "not_started"), state.get("token"), False
+    if row["action"] in ("claim", "retry"):
+        now = "failed" if now == "running" and token != row["token"] else now
+        if now == "not_started" or now == "failed" and row["action"] == "retry":
+            now, token, ok = "running", row["token"], True
+    elif now == "running" and token == row["token"]:
         now, ok = ("completed" if row["action"] == "complete" else "failed"), True
     state["state"], state["token"] = now, token
     return {"seq": row["seq"], "state": now, "accepted": ok}
@@ -125,11 +119,6 @@ def preference(state: dict, row: dict) -> dict:
     return {"seq": row["seq"], "state": state.get("state", "none"), "content": state.get("content"), "accepted": following is not None}
 
 
-def _rows(pdf: pd.DataFrame, order: list[str]) -> Iterator[dict]:
-    clean = pdf.sort_values(order, kind="stable").astype(object)
-    yield from clean.where(clean.notna(), None).to_dict("records")
-
-
 def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Transition, schema: str) -> DataFrame:
     """The transitions of all rows; a key's history is read in one task, in order, a batch of rows at a time."""
     out = to_arrow_schema(T.DataType.fromDDL(schema))
@@ -148,19 +137,6 @@ def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Transition,
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def in_stream(df: DataFrame, keys: list[str], order: list[str], step: Transition, schema: str) -> DataFrame:
-    """The same transitions with the state kept between micro-batches; rows of one batch go in order."""
-
-    def run(key, parts: Iterator[pd.DataFrame], held):
-        state = json.loads(held.get[0]) if held.exists else {}
-        pdf = pd.concat(list(parts), ignore_index=True)
-        out = [dict(zip(keys, key, strict=True)) | step(state, row) for row in _rows(pdf, order)]
-        held.update((json.dumps(state, default=str),))
-        yield pd.DataFrame(out)
-
-    return df.groupBy(*keys).applyInPandasWithState(run, schema, "body string", "append", GroupStateTimeout.NoTimeout)
-
-
 def distinct_stream(df: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
     """First sight of each key within a time horizon; the state is dropped beyond it."""
     return df.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)

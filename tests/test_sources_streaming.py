@@ -86,25 +86,6 @@ def test_watermark_waits_for_an_outcome(spark):
     assert got == {"s1": (None, "p1", True), "s2": ("p1", "p1", False), "s3": ("p1", "p3", True), "s4": ("p3", "p3", False), "t1": (None, None, False)}
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    schema = "url string, seq int, scan_id string, snapshot_id string, outcome string, base string"
-    df = spark.createDataFrame(scans(spark), schema)
-    df.where("seq <= 2").coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-
-    def drain():
-        out = state.in_stream(stream(), ["url"], ["seq"], state.comparison_watermark, WATERMARK)
-        q = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
-        q.awaitTermination(120)
-
-    drain()
-    df.where("seq > 2").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    drain()
-    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
-    want = sorted(map(tuple, state.in_batch(df, ["url"], ["seq"], state.comparison_watermark, WATERMARK).collect()), key=str)
-    assert got == want
-
-
 def test_lifecycles():
     def trace(step, actions, **more):
         s: dict = {}
@@ -112,8 +93,9 @@ def test_lifecycles():
 
     do = lambda *names: [{"action": n} for n in names]
     assert trace(state.statement_lifecycle, do("register", "failed", "processed", "failed")) == ["pending", "pending", "processed", "processed"]
-    assert trace(state.claim, do("claim", "fail", "claim", "retry", "complete", "retry")) == ["running", "failed", "failed", "running", "completed", "completed"]
+    assert trace(state.claim, do("complete", "claim", "fail", "claim", "retry", "complete", "retry")) == ["not_started", "running", "failed", "failed", "running", "completed", "completed"]
     assert trace(state.claim, [{"action": "claim"}, {"action": "claim", "token": "b"}]) == ["running", "failed"]
+    assert trace(state.claim, [{"action": "retry"}, {"action": "retry", "token": "b"}, {"action": "complete"}]) == ["running", "running", "running"]
     assert trace(state.follow_up, do("ask", "ask", "complete", "ask")) == ["running", "running", "completed", "completed"]
     s: dict = {}
     assert [state.backfill_origin(s, {"seq": k, "first_scan": True}, quota=2)["origin"] for k in range(3)] == ["historical_backfill", "historical_backfill", "skipped"]
