@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from changelens.operators.memory import latest, without_deleted
+from changelens.sources.datasource import COUNTS, Conflict, register, store, versions
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -61,3 +62,35 @@ def write_results(cases: DataFrame, path: str) -> None:
     """Scored cases and the review queue as JSON lines; an existing folder is refused."""
     cases.write.mode("errorifexists").json(f"{path}/results")
     cases.where(F.size("review_reasons") > 0).write.mode("errorifexists").json(f"{path}/review_queue")
+
+
+def merge_versioned(rows: DataFrame, path: str, keys: list[str], retries: int = 10) -> dict[str, int]:
+    """Upserts rows into a versioned table as its next version; how many were inserted, updated, unchanged.
+
+    The whole merge is made for one version and published only if that is still
+    the latest; else it is made again for the newer one.  `rows` hold a key once.
+    """
+    spark = rows.sparkSession
+    register(spark)
+    table = lambda version: spark.read.format("versioned_table").option("path", path).option("version", version).load()
+    rest = [c for c in rows.columns if c not in keys]
+    for _ in range(retries + 1):
+        system, root = store(path)
+        version = (versions(system, root) or [0])[-1]
+        writer = lambda df, v=version: df.write.format("versioned_table").option("path", path).option("expected", v)
+        try:
+            if not version:
+                writer(rows).mode("overwrite").save()
+                return {"inserted": rows.count(), "updated": 0, "unchanged": 0}
+            now = table(version).select(*rows.columns)
+            seen = now.select(*keys, F.struct(*rest).alias("_now"))
+            plan = rows.join(seen, keys, "left").withColumn("outcome", F.when(F.col("_now").isNull(), "inserted").when(F.col("_now").eqNullSafe(F.struct(*rest)), "unchanged").otherwise("updated"))
+            counts = {r["outcome"]: r["n"] for r in plan.groupBy("outcome").agg(F.count("*").alias("n")).collect()}
+            if set(counts) <= {"unchanged"}:
+                return {k: counts.get(k, 0) for k in COUNTS}
+            writer(now.join(rows.select(*keys), keys, "left_anti").unionByName(rows)).mode("overwrite").save()
+            return {k: counts.get(k, 0) for k in COUNTS}
+        except Exception as e:
+            if "the write was made for" not in str(e):
+                raise
+    raise Conflict(f"{retries} other writers were faster")
