@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from changelens.functions.text import parse_instant
+
 # Closed vocabularies and the order in which rules are checked.
 DECISIONS = ("event", "no_event", "uncertain")
 EVENT_TYPES = ("capability", "availability", "pricing", "plan_packaging", "access_permission", "commercialization", "deprecation", "positioning")
@@ -33,10 +35,12 @@ def gate(status: Column, path: Column, credibility: Column, comparison: Column,
 
 
 def input_violations(previous_at: Column, current_at: Column, previous: Column, payload: Column) -> Column:
-    """Names of the observation rules that an input breaks."""
+    """Names of the observation rules that an input breaks; times are ISO text that names its offset, compared as instants."""
+    before, now = parse_instant(previous_at), parse_instant(current_at)
     rules = F.array(
-        F.when(current_at.isNull(), "current_time_missing"),
-        F.when(previous_at >= current_at, "previous_not_earlier"),
+        F.when(now.isNull(), "current_time_missing"),
+        F.when(previous_at.isNotNull() & before.isNull(), "previous_time_without_offset"),
+        F.when(before >= now, "previous_not_earlier"),
         F.when((F.length(previous) > 0) & previous_at.isNull(), "previous_time_missing"),
         F.when(F.length(payload) > MAX_INPUT_CHARS, "input_too_large"),
     )

@@ -50,11 +50,11 @@ def has_any_signal(text: Column) -> Column:
 
 
 def candidate_violation(content: Column, kind: Column, source_text: Column, source_kind: Column) -> Column:
-    """The first rule that a memory candidate breaks, those of its source before its own; NULL if none."""
+    """The first rule that a memory candidate breaks, those of its source before its own; NULL if none. A source of no known kind counts as one of facts."""
     return F.coalesce(
         F.concat(F.lit("source_"), source_violation(source_text, F.lit(None).cast("string"))),
-        F.when(source_kind.isin(*FACT_SOURCES), F.lit("fact_source")),
-        F.when(~F.contains(source_text, content), F.lit("not_verbatim")),
+        F.when(F.coalesce(source_kind.isin(*FACT_SOURCES), F.lit(True)), F.lit("fact_source")),
+        F.when(~F.coalesce(F.contains(source_text, content), F.lit(False)), F.lit("not_verbatim")),
         F.when(contains_secret(content), F.lit("secret")),
         F.when(content.rlike(TEMPORARY), F.lit("temporary")),
         F.when(~has_signal(kind, source_text), F.lit("no_signal")),

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from changelens.functions.text import parse_instant
 from changelens.functions.vectors import as_doubles, cosine, space_violation, unit
 
 #: Rows of a block of vectors, and queries that are scored at once.
@@ -129,25 +130,32 @@ def model_text(title: Column, headings: Column, table: Column, content: Column)
     return F.concat(F.trim(head), F.lit("\n\n"), content)
 
 
+# What a competitor's knowledge may come from, and which of it must be official.
+ADMITTED = ("verified_official_content", "competition_event", "evidence", "confirmed_product_state")
+OFFICIAL = ("verified_official_content", "confirmed_product_state")
+
+
 def admission_violation(domain: Column, source_type: Column, credibility: Column, status: Column, reference: Column) -> Column:
-    """Why a document may not enter the knowledge store; NULL if it may."""
-    kinds = ("official_page", "official_document", "confirmed_event", "evidence")
+    """Why a document may not enter the knowledge store; NULL if it may. What is NULL meets no condition."""
+    fails = lambda condition: ~F.coalesce(condition, F.lit(False))
+    own = F.coalesce(domain == "own_product", F.lit(False))
     return (
-        F.when(domain == "own_product", F.when(credibility != "user_provided", "own_not_user_provided"))
-        .when(~source_type.isin(*kinds), "type_not_allowed")
-        .when(status != "confirmed", "not_confirmed")
-        .when(reference.isNull(), "verification_missing")
-        .when(source_type.startswith("official") & (credibility != "official"), "not_official")
+        F.when(own, F.when(fails(credibility == "user_provided"), "own_not_user_provided"))
+        .when(fails(source_type.isin(*ADMITTED)), "type_not_allowed")
+        .when(fails(status == "confirmed"), "not_confirmed")
+        .when(fails(reference != ""), "verification_missing")
+        .when(source_type.isin(*OFFICIAL) & fails(credibility == "official"), "not_official")
     )
 
 
 def metadata_violations(domain: Column, title: Column, url: Column, reference: Column, observed_at: Column) -> Column:
+    """Names of the rules that a source's metadata break; `observed_at` is ISO text that names its offset."""
     rules = F.array(
         F.when(~F.coalesce(domain.isin("own_product", "competitor"), F.lit(False)), "domain"),
         F.when(F.coalesce(F.trim(title), F.lit("")) == "", "title"),
         F.when(url.isNotNull() & ~url.rlike(r"^https?://[^/@]+(/|$|\?|#)"), "url"),
         F.when(url.isNull() & reference.isNull(), "source"),
-        F.when(observed_at.isNull(), "observed_at"),
+        F.when(parse_instant(observed_at).isNull(), "observed_at"),
     )
     return F.filter(rules, lambda x: x.isNotNull())
 

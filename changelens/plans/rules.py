@@ -280,31 +280,9 @@ cases("q_qualify_deep", _NESTED, [(1, ("c1", 1, ["c2", "other"], {"k": "c1"}))],
 
 # --- memory, knowledge, research ---
 
-cases("q_memory_candidates", "id int, content string, kind string, source string, source_kind string",
-      [(1, "请持续关注价格", "focus", "请持续关注价格变化", "user"), (6, "产品支持重点功能", "goal", "目标：产品支持重点功能", "user"), (7, "产品支持功能", "goal", "目标：产品支持功能", "user"), (8, "价格", "goal", "价格变化", "user"), (2, "别的", "focus", "请持续关注价格变化", "user"), (3, "x", "focus", "", "user"), (4, "a", "focus", "a" * 4001, "user"), (5, "password: abcdefgh", "focus", "password: abcdefgh", "user")],
-      lambda d: d.select("id", M.candidate_violation(F.col("content"), F.col("kind"), F.col("source"), F.col("source_kind")).alias("violation")),
-      [(1, None), (6, None), (7, "fact_only"), (8, "no_signal"), (2, "not_verbatim"), (3, "source_blank"), (4, "source_too_long"), (5, "source_secret")], "id INTEGER, violation VARCHAR")
-
-cases("q_admission", "id int, domain string, kind string, credibility string, status string, reference string",
-      [(1, "own_product", "x", "user_provided", None, None), (2, "own_product", "x", "official", None, None), (3, "competitor", "blog", "official", "confirmed", "r"), (4, "competitor", "evidence", "official", "pending", "r"), (5, "competitor", "evidence", "unverified", "confirmed", None), (6, "competitor", "official_page", "unverified", "confirmed", "r"), (7, "competitor", "official_page", "official", "confirmed", "r")],
-      lambda d: d.select("id", R.admission_violation(*[F.col(c) for c in ("domain", "kind", "credibility", "status", "reference")]).alias("violation")),
-      [(1, None), (2, "own_not_user_provided"), (3, "type_not_allowed"), (4, "not_confirmed"), (5, "verification_missing"), (6, "not_official"), (7, None)], "id INTEGER, violation VARCHAR")
-
-cases("q_metadata_rules", "id int, domain string, title string, url string, reference string, at string", [(1, "own_product", "t", "https://x.com", None, "2024"), (2, "other", " ", "ftp://x", None, None), (3, "competitor", "t", None, None, "2024"), (4, "competitor", "t", None, "r", "2024")],
-      lambda d: d.select("id", text_list(R.metadata_violations(*[F.col(c) for c in ("domain", "title", "url", "reference", "at")])).alias("violations")),
-      [(1, ""), (2, "domain,title,url,observed_at"), (3, "source"), (4, "")], "id INTEGER, violations VARCHAR")
-
 cases("q_model_text", "title string, heads array<string>, tab string, content string", [("T", ["A", "B"], "|h|", "c"), ("", [], None, "c")],
       lambda d: d.select(R.model_text(F.col("title"), F.col("heads"), F.col("tab"), F.col("content")).alias("model_text")), [("T\nA\nB\n|h|\n\nc",), ("\n\nc",)], "model_text VARCHAR")
 
-cases("q_support_check", "claim_id int, result_id string, excerpt string, content string", [(1, "r1", "12", "price 12"), (2, "r2", "13", "price 12"), (3, "r3", " ", "x"), (4, "r4", "x", None)],
-      lambda d: RS.unsupported(d.drop("content"), d.where("content is not null").select("result_id", "content")).select("claim_id"), [(2,), (3,), (4,)], "claim_id INTEGER")
-
-cases("q_report_rules", "report_id int, kind string, result_id string, refs array<string>, domain string, source string, credibility string",
-      [(1, "fact", "a", ["a"], "competitor", "page", "official"), (2, "fact", "b", ["b"], "competitor", "page", "third_party"), (3, "comparison", "c", ["c", "d"], "own_product", "knowledge", "official"), (3, "comparison", "d", ["c", "d"], "competitor", "knowledge", "official"), (4, "comparison", "e", ["x"], "competitor", "knowledge", "official")],
-      lambda d: RS.report_violations(d.select("report_id", "kind", "result_id", "refs"), d.select("result_id", "domain", "source", "credibility")).select("report_id", text_list("violations").alias("violations")),
-      [(1, ""), (2, "official_page_missing"), (3, ""), (4, "both_domains_needed,references_differ")], "report_id INTEGER, violations VARCHAR")
-
 cases("q_model_items", "result_id string, source string, source_group string, domain string, title string, content string, credibility string, status string, url string, path string", [("r1", "page", "g", "competitor", "t", "c", "official", "read", "http://x", "/p"), ("r2", *["x"] * 9)],
       lambda d: PR.model_items(d, ["r1"]), [("r1", "page", "g", "competitor", "t", "c", "official", "read")], "result_id VARCHAR, source VARCHAR, source_group VARCHAR, domain VARCHAR, title VARCHAR, content VARCHAR, credibility VARCHAR, status VARCHAR")
 

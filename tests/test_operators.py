@@ -220,7 +220,42 @@ def test_research(spark):
     c = RS.register(res, "source", "seq")
     assert rows(c, "result_id") == [("memory-1",), ("page-1",), ("page-2",)]
     claims = spark.createDataFrame([("page-1", "abc"), ("page-1", "x"), ("none", "a")], "result_id string, excerpt string")
-    assert RS.unsupported(claims, spark.createDataFrame([("page-1", "zabcz")], "result_id string, content string")).count() == 2
+    cited = "result_id string, content string, source string, status string, domain string, credibility string"
+    assert RS.unsupported(claims, spark.createDataFrame([("page-1", "zabcz", "page", "read", "competitor", "official")], cited)).count() == 2
+    for source, status in (("memory", "confirmed"), ("search", "read"), ("page", None), (None, "read"), ("page", "pending")):  # context, or unread: no fact rests on it
+        assert RS.unsupported(claims, spark.createDataFrame([("page-1", "zabcz", source, status, "competitor", "official")], cited)).count() == 3
     rec = spark.createDataFrame([(1, 1, "complete", "a", "x", None), (1, 2, "pending", "a", "y", "d"), (1, 3, "complete", None, None, "d")], "run int, seq int, status string, citation_id string, citation string, uncertainty string")
     r = RS.assemble(rec, "run", "seq").first()
     assert (r.status, r.citations, r.uncertainties) == ("pending", {"a": "y"}, ["d"])
+
+
+def test_gates_fail_closed(spark):
+    columns = "id int, domain string, kind string, credibility string, status string, reference string"
+    docs = [
+        (1, "own_product", "x", "user_provided", None, None), (2, "own_product", "x", None, None, None), (3, "competitor", None, "official", "confirmed", "r"),
+        (4, "competitor", "official_page", "official", "confirmed", "r"), (5, "competitor", "evidence", "official", None, "r"), (6, "competitor", "evidence", None, "confirmed", ""),
+        (7, "competitor", "confirmed_product_state", None, "confirmed", "r"), (8, "competitor", "verified_official_content", "official", "confirmed", "r"), (9, None, "competition_event", None, "confirmed", "r"),
+    ]
+    got = {r.id: r.v for r in spark.createDataFrame(docs, columns).select("id", R.admission_violation(*[F.col(c.split()[0]) for c in columns.split(", ")[1:]]).alias("v")).collect()}
+    assert got == {1: None, 2: "own_not_user_provided", 3: "type_not_allowed", 4: "type_not_allowed", 5: "not_confirmed", 6: "verification_missing", 7: "not_official", 8: None, 9: None}
+    memory = spark.createDataFrame([(1, None, "user"), (2, "prefer", None), (3, "prefer", "user")], "id int, content string, kind string")
+    got = {r.id: r.v for r in memory.select("id", M.candidate_violation(F.col("content"), F.lit("preference"), F.lit("we prefer it"), F.col("kind")).alias("v")).collect()}
+    assert got == {1: "not_verbatim", 2: "fact_source", 3: None}
+
+
+def test_report_rules(spark):
+    cited = [("p", "own page", "page", "read", "own_product", "third_party"), ("k", "own facts", "knowledge", "confirmed", "own_product", "user_provided"), ("c", "their facts", "event", "confirmed", "competitor", "official")]
+    citations = spark.createDataFrame(cited, "result_id string, content string, source string, status string, domain string, credibility string")
+    schema = "report_id int, section string, claim_no int, kind string, result_id string, excerpt string, refs array<string>"
+
+    def rules(*supports):
+        df = spark.createDataFrame([(1, *x) for x in supports], schema)
+        return RS.report_violations(df, citations).first().violations
+
+    both = [("own_product_comparison", 0, "inference", "k", "own", ["c", "k"]), ("own_product_comparison", 0, "inference", "c", "their", ["c", "k"])]
+    assert rules(*both) == [] and rules(both[0]) == ["competitor_missing", "references_differ"]
+    assert rules(both[0], ("own_product_comparison", 1, "inference", "c", "their", ["c", "k"])) == ["own_knowledge_missing", "competitor_missing"]  # each claim needs both
+    # an official source beside it doesn't make a third party's page one; knowledge alone carries a fact
+    assert rules(("background", 0, "fact", "p", "page", ["c", "p"]), ("background", 0, "fact", "c", "facts", ["c", "p"])) == ["third_party_fact"]
+    assert rules(("background", 0, "fact", "k", "facts", ["k"])) == [] and rules(("background", 0, "inference", "p", "page", ["p"])) == []
+    assert rules(("watch_next", 0, "fact", "k", "facts", ["k"])) == ["fact_in_advice"] and rules(("background", 0, "fact", "k", "else", ["k", "k"])) == ["unsupported"]
