@@ -41,12 +41,12 @@ def arrow_rows(spark: SparkSession, n: int):
 
 
 def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
-    """vec_id, vec, row (an own key) of each different (vec_id, vec): floor(scale * x) of each component; vectors that are null or hold null or non-finite components left out."""
+    """vec_id, vec, row (an own key of each row): floor(scale * x) of each component; vectors that are null or hold null or non-finite components left out."""
     real = F.transform("embedding", lambda x: x.cast("double"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     out = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)))
     out = out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(real, lambda x: F.floor(x * scale).cast("long")).alias("vec"))
-    return out.distinct().withColumn("row", F.monotonically_increasing_id())
+    return out.withColumn("row", F.monotonically_increasing_id())
 
 
 def pivot_count(n: int) -> int:
@@ -122,13 +122,13 @@ def _solve(k: int):
             for r in batch.to_pylist():
                 dim = r["dim"]
                 q, x = (np.frombuffer(r[c], "<i8").reshape(-1, dim) if dim else np.zeros((r[m], 0), np.int64) for c, m in (("q_vecs", "q_n"), ("vecs", "n")))
-                qrow, qid, xid = np.frombuffer(r["q_rows"], "<i8"), np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
+                qrow, qid, xrow, xid = (np.frombuffer(r[c], "<i8") for c in ("q_rows", "q_ids", "rows", "ids"))
                 floors = np.frombuffer(r["q_floors"], "<f8") if r["q_floors"] else np.full(len(qid), -np.inf)
                 scores = _exact(q, x)
                 out = []
                 for i in range(len(qid)):
                     s = scores[i]
-                    ok = np.flatnonzero((s >= floors[i]) & (xid != qid[i]))
+                    ok = np.flatnonzero((s >= floors[i]) & (xrow != qrow[i]))
                     if len(ok) > k:
                         least = np.partition(s[ok], len(ok) - k)[len(ok) - k]
                         ok = ok[s[ok] >= least]
@@ -150,9 +150,9 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     """query_id, rank, vec_id, score: the k best other vectors of each query (ids divisible by `every`).
 
     Defined cases: vectors that are null, or hold null or non-finite
-    components, and rows without an id take no part; of rows equal in id and
-    vector one stays; rows that share an id are candidates and queries each,
-    not of one another, and their candidates are ranked together; vectors score only against those of the same
+    components, and rows without an id take no part; each row is a query and a
+    candidate of its own, whatever id or vector it shares with others, and only
+    itself it does not find; vectors score only against those of the same
     dimension; ties go to the smaller id; fewer than k others are all returned;
     an empty table gives an empty result; other columns are ignored.
     """
@@ -208,19 +208,19 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
     with arrow_rows(spark, 8):
         abroad = scratch.write(again.mapInArrow(visits, BLOCKS), "visits")
     rest = solved(abroad, "abroad")
-    best = _best(first.select("query_id", "vec_id", "score").unionByName(rest.drop("query_row")), k, "query_id")
+    best = _best(first.select("query_row", "query_id", "vec_id", "score").unionByName(rest), k, "query_row")
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+  SELECT q.id, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.id <> d.id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """

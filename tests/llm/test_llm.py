@@ -707,12 +707,12 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     small = [(2000, [1.0]), (2001, [2.0]), (2020, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows + rows[:5] + bad + small], "vec_id long, embedding array<float>, score string").repartition(4)
     got = sorted(map(tuple, knn.top_k(df).collect()))
-    ints = {k: np.floor(64 * np.array(v, np.float64)).astype(np.int64) for k, v in rows + small}
+    ints = [(k, np.floor(64 * np.array(v, np.float64)).astype(np.int64)) for k, v in rows + rows[:5] + small]
     want = []
-    for q in ints:
+    for n, (q, x) in enumerate(ints):
         if q % 20 == 0:
-            s = sorted((-int(ints[q] @ v), k) for k, v in ints.items() if k != q and len(v) == len(ints[q]))
-            want += [(q, n, k, -x) for n, (x, k) in enumerate(s[:20], 1)]
+            s = sorted((-int(x @ v), k) for m, (k, v) in enumerate(ints) if m != n and len(v) == len(x))
+            want += [(q, rank, k, -score) for rank, (score, k) in enumerate(s[:20], 1)]
     assert got == sorted(want) and knn.top_k(df.limit(0)).count() == 0
 
 
@@ -722,6 +722,7 @@ def test_top_k_keeps_rows_that_share_an_id(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 16)
     rng = np.random.default_rng(5)
     rows = [(k % 90, rng.normal(size=4).astype(np.float32).tolist()) for k in range(150)]
+    rows += rows[15:22] * 2  # and equal vectors with them, queries and candidates
     db = duckdb.connect()
     db.execute("create table embeddings (vec_id bigint, embedding float[])")
     db.executemany("insert into embeddings values (?, ?)", rows)
