@@ -141,3 +141,23 @@ def test_contextual_diff():
 def test_statement_units():
     blocks = markup.extract("<h2>H</h2><p>a</p><ul><li>b<ul><li>d</li></ul></li><li>c</li></ul><table><tr><th>x</th></tr><tr><td>1</td></tr></table>")[2]
     assert chunking.statement_units(blocks) == [("a", "H"), ("b", "H"), ("c", "H"), ("d", "H"), ("1", "x")]
+
+
+def test_pages_may_be_nested_as_deep_as_they_are_long():
+    for tag in ("div", "blockquote", "b", "ul><li", "dl><dd", "table><tr><td", "a href=x", "p><a href=x", "section><h2>t</h2"):
+        title, content, blocks = markup.extract("<title>T</title>" + f"<{tag}>" * (2000 if "h2" in tag else 20_000) + "deep")
+        assert title == "T" and markup.canonical(blocks) and ("deep" in content or "table" in tag)  # a table within a cell is none of its text
+    nested = markup.extract("<ul><li>x" * 200)[2][0]
+    depth, n = 0, 0
+    while nested:
+        depth, n = depth + 1, n + len(nested["items"])
+        nested = next((i["children"][0] for i in nested["items"] if i["children"]), None)
+    assert (depth, n) == (markup.MAX_NEST, 200)  # deeper items go on at the last level
+    assert len(markup.page_links("<a href=x>" * 20_000)) == 20_000
+
+
+def test_equal_subtrees_have_equal_digests():
+    root = markup.parse("<div><p class=x id=y>a <b>b</b></p><p id=y class=x> a  <b>b</b> </p><p class=x id=y>a b</p><p class=x>a <b>b</b></p></div>")
+    prints = markup.fingerprints(root)
+    a, b, c, d = (prints[id(x)] for x in root.elements()[0].elements())
+    assert a == b and len({a, c, d}) == 3
