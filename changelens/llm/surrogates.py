@@ -44,7 +44,7 @@ TAILS = {"latin": "ner rin lan dov mer sen ton vik", "cyrillic": "нер рин
 _titles = "|".join(f"{MALE_TITLES} {FEMALE_TITLES} {NEUTRAL_TITLES}".split())
 _word = r"\p{Lu}\p{L}+(?:-\p{Lu}\p{L}+)?"
 PATTERNS = {
-    "secret": r"(?<![\p{L}\p{N}_])(?i:api[_ -]?key|secret|password|passwd|token)\s*[:=]\s*\"?(?=[_-]*[A-Za-z0-9])[A-Za-z0-9_-]{8,}",
+    "secret": r"(?<![\p{L}\p{N}_])(?i:api[_ -]?key|secret|password|passwd|token)\s*[:=]\s*\"?(?=[A-Za-z0-9_.+/=~-]{8})[_-]*[A-Za-z0-9][A-Za-z0-9_-]*(?:[.+/=~]+[A-Za-z0-9_-]+)*=*",
     "email": r"[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",

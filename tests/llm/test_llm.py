@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import random
+import re
 import zlib
 from itertools import product
 
@@ -363,6 +364,18 @@ def test_secrets_of_letters_alone(documents):
     assert all(got[d].text == rows[d - 1][1] and got[d].n_entities == 0 for d in (4, 5))  # a blank to fill in is no secret
 
 
+def test_secrets_go_whole(documents):
+    """Tokens of several parts and base64 keys; a sentence's end is none of it."""
+    values = ["abcdefgh.ijkl", "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJSM-eKKF2QT4", "abc/def+ghi/jklmnop==", "a.b.c.d.e.f", "Zm9v/YmFy"]
+    rows = [(k, f"see token={v}. And more") for k, v in enumerate(values)] + [(90, "token: short. Next sentence"), (91, "password: ........")]
+    got = {r.doc_id: r for r in surrogates.replace_pii(documents(rows), "key").collect()}
+    for k, v in enumerate(values):
+        new = got[k].text.removeprefix("see token=").removesuffix(". And more")
+        assert got[k].n_entities == 1 and len(new) == len(v) and [c for c in new if not c.isalnum()] == [c for c in v if not c.isalnum()], got[k].text
+        assert not any(part in new for part in re.split("[./+=-]", v) if len(part) > 3)
+    assert got[90].text == rows[-2][1] and got[91].text == rows[-1][1]
+
+
 def test_surrogates_never_clash(spark):
     found = spark.createDataFrame([("email", f"{a}{b}@x.com", "") for a in "abcdef" for b in "abcdef"] + [("ipv4", f"10.0.0.{k}", "") for k in range(200)] + [("given", f"n{k}", "male") for k in range(60)], "kind string, norm string, gender string")
     got = surrogates.surrogate_table(found, "k", Scratch(spark, "t")).toPandas()
