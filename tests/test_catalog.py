@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from changelens.plans import catalog, evidence, rules, stored, streams  # noqa: F401
+from changelens.plans import blocks, catalog, evidence, rules, stored, streams  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
