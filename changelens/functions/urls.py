@@ -49,6 +49,43 @@ def drop_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"#.*$", "")
 
 
+#: scheme, //authority, path, ?query, #fragment; the groups with their signs tell an empty part from none.
+REFERENCE = r"^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def without_dots(path: Column) -> Column:
+    """An absolute path without its `.` and `..` segments: a fold over the segments with the kept ones as a stack; other paths as they are."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/", -1)
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda stack, s: F.when(s == ".", stack).when(s == "..", F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))).otherwise(F.concat(stack, F.array(s))),
+    )
+    folder = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)  # a last dot names a folder
+    return F.when(F.startswith(path, F.lit("/")), F.concat(F.lit("/"), F.array_join(folder, "/"))).otherwise(path)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference against the absolute URL of its page (RFC 3986, 5.2), inside the JVM; NULL where either is NULL."""
+    part = lambda url, k: F.regexp_extract(url, REFERENCE, k)
+    (scheme_, site, path_, query_), (b_scheme, b_site, b_path, b_query) = ([part(u, k) for k in (1, 2, 3, 4)] for u in (reference, base))
+    merged = F.when((b_site != "") & (b_path == ""), F.concat(F.lit("/"), path_)).otherwise(F.concat(F.regexp_replace(b_path, r"[^/]*$", ""), path_))
+    inner = F.when(path_ == "", b_path).otherwise(without_dots(F.when(F.startswith(path_, F.lit("/")), path_).otherwise(merged)))
+    rest = (
+        F.when(scheme_ != "", F.concat(scheme_, site, without_dots(path_), query_))
+        .when(site != "", F.concat(b_scheme, site, without_dots(path_), query_))
+        .otherwise(F.concat(b_scheme, b_site, inner, F.when((path_ == "") & (query_ == ""), b_query).otherwise(query_)))
+    )
+    return F.when(base.rlike(REFERENCE) & reference.rlike(REFERENCE), F.concat(rest, part(reference, 5)))
+
+
+def candidate(base: Column, href: Column) -> Column:
+    """The URL that a link leads to: resolved, of http or https with a host, its scheme in small letters, no fragment, no empty query; NULL otherwise."""
+    url = F.regexp_replace(drop_fragment(resolve(base, F.trim(href))), r"\?$", "")
+    leads = (F.trim(href) != "") & scheme(url).isin("http", "https") & (host(url) != "")
+    return F.when(F.coalesce(leads, F.lit(False)), F.concat(scheme(url), F.regexp_replace(url, r"^[^:]*", "")))
+
+
 def url_key(url: Column) -> Column:
     """Small-letter scheme and authority, `/` for an empty path, the query kept, no fragment."""
     q = query(url)

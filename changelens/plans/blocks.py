@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.functions import urls as U
 from changelens.operators import pages as P
 from changelens.plans.catalog import query, t
 
@@ -82,6 +83,32 @@ def q_page_line_changes(spark, sf):
     return P.content_diff(_page_pairs(spark, sf), ["page_id"], "was", "content").select("page_id", _md5("diff").alias("diff"))
 
 
+_FORMS = "CASE (pos + page_id) % 9 WHEN 0 THEN href WHEN 1 THEN concat('../..', href) WHEN 2 THEN concat('.', href, '/.') WHEN 3 THEN concat('?page=', pos) WHEN 4 THEN '#top' WHEN 5 THEN concat('//cdn.example', href, '/../x//./y/..') WHEN 6 THEN substr(href, 2) WHEN 7 THEN concat('HTTPS://other.example:8443/a/b/../..', href, '?q=/../#f') ELSE concat('mailto:', substr(href, 2)) END"
+_REF = r"'^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
+
+
+def _folded(path: str) -> str:
+    """SQL of a path without dots: a fold over its segments onto text."""
+    fold = f"list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda done, s: CASE s WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || s END)"
+    return f"CASE WHEN starts_with({path}, '/') THEN coalesce(nullif({fold} || CASE WHEN regexp_matches({path}, '/[.][.]?$') THEN '/' ELSE '' END, ''), '/') ELSE {path} END"
+
+
+_SPLIT = ", ".join(f"regexp_extract({u}, {_REF}, {k}) AS {n}{k}" for u, n in (("url", "b"), ("ref", "r")) for k in (1, 2, 3, 4, 5))
+
+
+@query(f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS href, unnest(range(length(html))) AS pos FROM pages),
+f AS (SELECT page_id, url, pos, {_FORMS} AS ref FROM l WHERE href IS NOT NULL),
+s AS (SELECT *, {_SPLIT} FROM f),
+m AS (SELECT *, CASE WHEN r1 <> '' OR r2 <> '' OR starts_with(r3, '/') THEN r3 WHEN r3 = '' THEN b3 WHEN b3 = '' THEN '/' || r3 ELSE regexp_replace(b3, '[^/]*$', '') || r3 END AS path FROM s),
+a AS (SELECT *, CASE WHEN r1 = '' AND r2 = '' AND r3 = '' THEN path ELSE {_folded("path")} END AS final FROM m)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, ref, CASE WHEN r1 <> '' THEN r1 || r2 WHEN r2 <> '' THEN b1 || r2 ELSE b1 || b2 END || final || CASE WHEN r1 = '' AND r2 = '' AND r3 = '' AND r4 = '' THEN b4 ELSE r4 END || r5 AS resolved FROM a""")
+def q_resolved_links(spark, sf):
+    """Every link of every page, written in one of nine forms, resolved against its page."""
+    pages = t(spark, sf, "pages")
+    links = P.page_links(pages, ["page_id", "url"]).selectExpr("page_id", "url", "pos", f"{_FORMS} AS ref")
+    return links.select("page_id", "pos", "ref", U.resolve(F.col("url"), F.col("ref")).alias("resolved"))
+
+
 # --- pages written from other tables ---
 
 

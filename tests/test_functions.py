@@ -161,3 +161,20 @@ def test_equal_subtrees_have_equal_digests():
     prints = markup.fingerprints(root)
     a, b, c, d = (prints[id(x)] for x in root.elements()[0].elements())
     assert a == b and len({a, c, d}) == 3
+
+
+# The examples of RFC 3986, 5.4, against http://a/b/c/d;p?q.
+RFC = """g:h g:h|g http://a/b/c/g|./g http://a/b/c/g|g/ http://a/b/c/g/|/g http://a/g|//g http://g|?y http://a/b/c/d;p?y|g?y http://a/b/c/g?y|#s http://a/b/c/d;p?q#s|g#s http://a/b/c/g#s
+g?y#s http://a/b/c/g?y#s|;x http://a/b/c/;x|g;x http://a/b/c/g;x|g;x?y#s http://a/b/c/g;x?y#s| http://a/b/c/d;p?q|. http://a/b/c/|./ http://a/b/c/|.. http://a/b/|../ http://a/b/|../g http://a/b/g
+../.. http://a/|../../ http://a/|../../g http://a/g|../../../g http://a/g|../../../../g http://a/g|/./g http://a/g|/../g http://a/g|g. http://a/b/c/g.|.g http://a/b/c/.g|g.. http://a/b/c/g..|..g http://a/b/c/..g
+./../g http://a/b/g|./g/. http://a/b/c/g/|g/./h http://a/b/c/g/h|g/../h http://a/b/c/h|g;x=1/./y http://a/b/c/g;x=1/y|g;x=1/../y http://a/b/c/y|g?y/./x http://a/b/c/g?y/./x|g?y/../x http://a/b/c/g?y/../x|g#s/../x http://a/b/c/g#s/../x"""
+
+
+def test_references_resolve_as_the_rfc_says(spark):
+    cases = [tuple(x.split(" ")) for x in RFC.replace("\n", "|").split("|")]
+    df = spark.createDataFrame(cases, "ref string, want string")
+    assert [(r.ref, r.got) for r in df.select("ref", "want", U.resolve(F.lit("http://a/b/c/d;p?q"), F.col("ref")).alias("got")).collect() if r.got != r.want] == []
+    more = spark.createDataFrame([("http://h", "x"), ("http://h/a//b", "../c"), (None, "x"), ("http://h", None)], "base string, ref string")
+    assert [r[0] for r in more.select(U.resolve(F.col("base"), F.col("ref"))).collect()] == ["http://h/x", "http://h/a/c", None, None]
+    links = spark.createDataFrame([("/x#y",), ("mailto:a@b.c",), ("//u:p@h/x",), ("  ",), ("ftp://h/x",), (None,), (" z? ",), ("HTTP://H/x",), ("http:///x",)], "href string")
+    assert [r[0] for r in links.select(U.candidate(F.lit("https://h/a/b"), F.col("href"))).collect()] == ["https://h/x", None, "https://u:p@h/x", None, None, None, "https://h/a/z", "http://H/x", None]
