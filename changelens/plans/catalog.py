@@ -117,9 +117,9 @@ SELECT event_id, coalesce(ended.action, 'pending') AS state, CAST(count(*) FILTE
 def q_fsm_attempts(spark, sf):
     kind = F.col("event_type")
     action = F.when(kind == "purchase", "processed").when(kind == "error", "ignored").when(kind == "view", "register").otherwise("retry")
-    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("seq"), action.alias("action"))
-    out = STATE.in_batch(e, ["user_id"], ["ts", "seq"], STATE.statement_lifecycle, "user_id long, seq long, state string, attempts long")
-    return out.select(F.col("seq").alias("event_id"), "state", "attempts")
+    e = t(spark, sf, "events").select("user_id", "ts", "event_id", action.alias("action"))
+    return STATE.lifecycles(e, ["user_id"], ["ts", "event_id"], "action").select("event_id", "state", "attempts")
+
 
 
 @query("""WITH r AS (SELECT event_id, CASE event_type WHEN 'purchase' THEN 'research' WHEN 'click' THEN 'monitor' WHEN 'view' THEN 'no_action' END AS triage, ts FROM events)
@@ -483,19 +483,18 @@ def q_doc_diff_near_copy(spark, sf):
 @query("""SELECT event_id, NOT (row_number() OVER w = 1) AS was_seen, row_number() OVER w = 1 AND ts >= TIMESTAMP '2024-01-10' AS is_new FROM events WINDOW w AS (PARTITION BY user_id, props ORDER BY ts, event_id)""")
 def q_stream_seen_set(spark, sf):
     baseline = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
-    e = t(spark, sf, "events").select("user_id", "props", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("snapshot_id"), baseline.alias("baseline"))
-    out = STATE.in_batch(e, ["user_id", "props"], ["ts", "snapshot_id"], STATE.seen_set, "user_id long, props string, snapshot_id long, was_seen boolean, is_new boolean, first_seen long")
-    return out.select(F.col("snapshot_id").alias("event_id"), "was_seen", "is_new")
+    e = t(spark, sf, "events").select("user_id", "props", "ts", "event_id", baseline.alias("baseline"))
+    return STATE.sights(e, ["user_id", "props"], ["ts", "event_id"], "baseline").select("event_id", "was_seen", "is_new")
+
 
 
 @query("""WITH s AS (SELECT *, event_type <> 'error' AS ok FROM events)
 SELECT event_id, max(CASE WHEN ok THEN struct_pack(ts := ts, id := event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING).id AS previous,
 max(CASE WHEN ok THEN struct_pack(ts := ts, id := event_id) END) OVER (PARTITION BY user_id ORDER BY ts, event_id).id AS processed, ok AS advanced FROM s""")
 def q_stream_watermark(spark, sf):
-    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("scan_id"), F.col("event_id").alias("snapshot_id"), F.when(F.col("event_type") != "error", "done").alias("outcome"), F.lit(None).cast("long").alias("base"))
-    schema = "user_id long, scan_id long, previous long, observed long, processed long, advanced boolean"
-    out = STATE.in_batch(e, ["user_id"], ["ts", "scan_id"], STATE.comparison_watermark, schema)
-    return out.select(F.col("scan_id").alias("event_id"), "previous", "processed", "advanced")
+    e = t(spark, sf, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") != "error", "done").alias("outcome"))
+    return STATE.watermarks(e, ["user_id"], ["ts", "event_id"], "event_id", "outcome").select("event_id", "previous", "processed", "advanced")
+
 
 
 # --- vectors ---

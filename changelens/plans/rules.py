@@ -69,8 +69,9 @@ def q_verified_sources(spark, sf):
 SELECT event_id, CASE WHEN NOT first_scan THEN 'normal_monitoring' WHEN n <= 20 THEN 'historical_backfill' ELSE 'skipped' END AS origin FROM f""")
 def q_backfill_origin(spark, sf):
     first = F.col("ts") < F.lit("2024-01-10").cast("timestamp_ntz")
-    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("seq"), first.alias("first_scan"))
-    return STATE.in_batch(e, ["user_id"], ["ts", "seq"], STATE.backfill_origin, "user_id long, seq long, origin string").select(F.col("seq").alias("event_id"), "origin")
+    e = t(spark, sf, "events").select("user_id", "ts", "event_id", first.alias("first_scan"))
+    return STATE.origins(e, ["user_id"], ["ts", "event_id"], "first_scan").select("event_id", "origin")
+
 
 
 @query("""WITH a AS (SELECT *, min(CASE WHEN event_type = 'purchase' THEN struct_pack(ts := ts, id := event_id) END) OVER w AS done, count(*) OVER w AS n, count(*) FILTER (event_type = 'error') OVER w AS failed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -78,9 +79,9 @@ b AS (SELECT *, count(*) FILTER (done IS NULL OR done.id = event_id) OVER w AS t
 SELECT event_id, CASE WHEN done IS NOT NULL THEN 'complete' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END AS status, CAST(tries AS BIGINT) AS attempts, done IS NOT NULL AND done.id <> event_id AS skipped, CAST(failures AS BIGINT) AS n_failures FROM b""")
 def q_checkpointed_steps(spark, sf):
     outcome = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "failed")
-    e = t(spark, sf, "events").select("user_id", F.col("ts").cast("string").alias("ts"), F.col("event_id").alias("seq"), outcome.alias("outcome"), F.lit("retrieval_error").alias("category"))
-    out = STATE.in_batch(e, ["user_id"], ["ts", "seq"], STATE.checkpointed_step, "user_id long, seq long, status string, attempts long, skipped boolean, n_failures long")
-    return out.withColumnRenamed("seq", "event_id").drop("user_id")
+    e = t(spark, sf, "events").select("user_id", "ts", "event_id", outcome.alias("outcome"))
+    return STATE.steps(e, ["user_id"], ["ts", "event_id"], "outcome").drop("user_id", "ts", "outcome")
+
 
 
 @query("""WITH k AS (SELECT DISTINCT user_id AS run_id, event_type AS key FROM events), d AS (SELECT DISTINCT user_id AS run_id, event_type AS key FROM events WHERE event_id % 40 = 0), f AS (SELECT DISTINCT user_id FROM events WHERE user_id % 7 = 0)

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 Transition = Callable[[dict, dict], dict | None]
@@ -137,6 +139,60 @@ def in_batch(df: DataFrame, keys: list[str], order: list[str], step: Transition,
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+# --- the same over whole tables by windows, where a row's state follows from what came before it ---
+
+
+def _so_far(keys: list[str], order: list[str]):
+    return W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+
+
+def _count(condition: Column) -> Column:
+    return F.sum(F.when(condition, 1).otherwise(0))
+
+
+def _first(condition: Column, order: list[str], *more: Column) -> Column:
+    """The place of the first row so far that meets a condition, as a struct."""
+    return F.min(F.when(condition, F.struct(*order, *more)))
+
+
+def watermarks(df: DataFrame, keys: list[str], order: list[str], snapshot: str, outcome: str) -> DataFrame:
+    """Adds previous, processed, advanced: scans once each, compared with the pointer as it stands."""
+    w, done = _so_far(keys, order), F.col(outcome).isNotNull()
+    pointer = F.last(F.when(done, F.col(snapshot)), ignorenulls=True)
+    before = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return df.withColumns({"previous": pointer.over(before), "processed": pointer.over(w), "advanced": done})
+
+
+def sights(df: DataFrame, keys: list[str], order: list[str], baseline: str) -> DataFrame:
+    """Adds was_seen, is_new, first_seen (the last of `order` at first sight)."""
+    w = _so_far(keys, order)
+    was = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) > 1
+    return df.withColumns({"was_seen": was, "is_new": ~was & ~F.col(baseline), "first_seen": F.first(order[-1]).over(w)})
+
+
+def lifecycles(df: DataFrame, keys: list[str], order: list[str], action: str) -> DataFrame:
+    """Adds state and attempts."""
+    w, a = _so_far(keys, order), F.col(action)
+    ended = df.withColumn("_ended", _first(a.isin("processed", "ignored"), order, a.alias("_action")).over(w))
+    open_ = F.col("_ended").isNull() | (F.struct(*[F.col("_ended")[c] for c in order]) == F.struct(*order))
+    return ended.withColumns({"attempts": _count((a != "register") & open_).over(w), "state": F.coalesce("_ended._action", F.lit("pending"))}).drop("_ended")
+
+
+def origins(df: DataFrame, keys: list[str], order: list[str], first_scan: str, quota: int = 20) -> DataFrame:
+    """Adds origin: statements of a first scan take the quota, the rest of them is skipped, later ones are monitoring."""
+    used = _count(F.col(first_scan)).over(_so_far(keys, order))
+    return df.withColumn("origin", F.when(~F.col(first_scan), "normal_monitoring").when(used <= quota, "historical_backfill").otherwise("skipped"))
+
+
+def steps(df: DataFrame, keys: list[str], order: list[str], outcome: str) -> DataFrame:
+    """Adds status, attempts, skipped, n_failures."""
+    w, o = _so_far(keys, order), F.coalesce(F.col(outcome), F.lit("running"))
+    rows = df.withColumn("_done", _first(o == "complete", order).over(w))
+    tried = F.col("_done").isNull() | (F.col("_done") == F.struct(*order))
+    status = F.when(F.col("_done").isNotNull(), "complete").otherwise(o)
+    return rows.withColumns({"status": status, "attempts": _count(tried).over(w), "skipped": ~tried, "n_failures": _count(tried & (o == "failed")).over(w)}).drop("_done")
+
+
 def distinct_stream(df: DataFrame, keys: list[str], at: str, horizon: str) -> DataFrame:
     """First sight of each key within a time horizon; the state is dropped beyond it."""
     return df.withWatermark(at, horizon).dropDuplicatesWithinWatermark(keys)
