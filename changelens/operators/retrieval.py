@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from changelens.functions.text import parse_instant
-from changelens.functions.vectors import as_doubles, cosine, space_violation, unit
+from changelens.functions.vectors import as_doubles, space_violation, unit
 
 #: Rows of a block of vectors, and queries that are scored at once.
 BLOCK = 4096
@@ -25,12 +26,48 @@ def with_unit(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_unit", unit(as_doubles(F.col(vector))))
 
 
+def _in_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of products component by component, as `dot` adds them: equal vectors score equally wherever they stand."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += x[:, d] * (y[:, d] if y.ndim == 2 else y[d])
+    return out
+
+
+def _scored(batch: pa.RecordBatch, vector: str, q: np.ndarray) -> pa.Table:
+    """Rows of a batch with a usable vector of the query's dimension, and their cosines."""
+    column = batch.column(batch.schema.get_field_index(vector))
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), len(q)), False)
+    rows = pa.Table.from_batches([batch]).filter(fits)
+    x = column.filter(fits).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))  # a null becomes NaN
+    with np.errstate(all="ignore"):
+        length = np.sqrt(_in_order(x, x))
+        usable = np.isfinite(x).all(1) & (length > 0)
+        score = np.clip(_in_order(x[usable] / length[usable, None], q), -1.0, 1.0)
+    return rows.filter(pa.array(usable)).append_column("score", pa.array(score))
+
+
 def search(chunks: DataFrame, query: list[float], n: int, key: str, vector: str, where: Column | None = None) -> DataFrame:
-    """The n best chunks for one vector by (-score, key); the filter comes first. A TakeOrdered, never a full sort."""
-    rows = with_unit(chunks if where is None else chunks.where(where), vector).where("_unit is not null")
-    q = unit(F.array(*[F.lit(float(x)) for x in query]))
-    rows = rows.withColumn("score", cosine(F.col("_unit"), q)).where("score is not null").drop("_unit")
-    return rows.orderBy(F.desc("score"), key).limit(n)
+    """The n best chunks for one vector by (-score, key); the filter comes first.
+
+    A task scores its rows a batch at a time and hands on its own n best, so n
+    rows a task are sorted in the end.
+    """
+    q = np.array(query, np.float64)
+    q = q / np.sqrt(_in_order(q[None], q[None]))
+    rows = (chunks if where is None else chunks.where(where)).drop("score")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for batch in batches:
+            both = _scored(batch, vector, q)
+            both = both if best is None else pa.concat_tables([best, both])
+            best = both.take(pc.sort_indices(both, [("score", "descending"), (key, "ascending")])[:n])
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    found = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return found.orderBy(F.desc("score"), key).limit(n)
 
 
 def _best_of_block(n: int, schema: pa.Schema):

@@ -259,3 +259,15 @@ def test_report_rules(spark):
     assert rules(("background", 0, "fact", "p", "page", ["c", "p"]), ("background", 0, "fact", "c", "facts", ["c", "p"])) == ["third_party_fact"]
     assert rules(("background", 0, "fact", "k", "facts", ["k"])) == [] and rules(("background", 0, "inference", "p", "page", ["p"])) == []
     assert rules(("watch_next", 0, "fact", "k", "facts", ["k"])) == ["fact_in_advice"] and rules(("background", 0, "fact", "k", "else", ["k", "k"])) == ["unsupported"]
+
+
+def test_search_equals_brute_force(spark):
+    rows = [(k, [float((k * 7) % 5 - 2), float(k % 3), 1.0] if k % 4 else [1.0, 2.0, 3.0]) for k in range(200)]  # many ties
+    odd = [(500, None), (501, [1.0, 2.0]), (502, [0.0, 0.0, 0.0]), (503, [float("nan"), 1.0, 1.0]), (504, [None, 1.0, 1.0]), (None, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame([(*r, 9.0) for r in rows + odd], "id int, v array<double>, score double").repartition(5)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    q = [1.0, -1.0, 0.5]
+    want = sorted(rows, key=lambda r: (-round(cos(r[1], q), 12), r[0]))[:25]
+    got = R.search(df.where("id is not null"), q, 25, "id", "v").collect()
+    assert [r.id for r in got] == [r[0] for r in want] and got[0].score == pytest.approx(cos(want[0][1], q))
+    assert R.search(df.limit(0), q, 5, "id", "v").count() == 0
