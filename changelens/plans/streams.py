@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from changelens.plans.catalog import query, t
 from changelens.session import shared_folder
 from changelens.streaming import processors as P
+from changelens.streaming import roles as R
 
 BATCHES = 3
 
@@ -105,3 +106,40 @@ SELECT event_id, CASE WHEN done IS NOT NULL THEN 'complete' WHEN event_type = 'e
 def q_live_steps(spark, sf):
     e = t(spark, sf, "events").select("user_id", "ts", "event_id", _by_type(purchase="complete", error="failed").alias("outcome"), F.lit("retrieval_error").alias("category"))
     return live(spark, e, P.Steps(["user_id"], ["ts", "event_id"])).drop("user_id")
+
+
+_TURNS = """turns AS (SELECT conv_id, turn, coalesce(text, '') AS text, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 2 + 1 AS call FROM conversations WHERE role = 'user'),
+asked AS (SELECT *, call <= 2 AS sent, string_split(text, '.')[1] AS first FROM turns),
+said AS (
+  SELECT conv_id, turn, CAST(CASE WHEN sent THEN call END AS INTEGER) AS call, CASE WHEN sent AND length(text) % 5 > 0 THEN first END AS proposal,
+    CASE WHEN NOT sent THEN 'budget' WHEN length(text) % 5 = 0 THEN 'empty' WHEN length(first) < 12 THEN 'too_short' ELSE 'accepted' END AS status FROM asked
+  UNION ALL SELECT conv_id, turn, CAST(call AS INTEGER), first || '!!', 'not_verbatim' FROM asked WHERE sent AND length(text) % 5 = 1)"""
+
+
+def _first_sentence(texts: list[str]) -> list[list[str]]:
+    """A role whose answers follow from the text: nothing, its first sentence, or that and something it doesn't say."""
+    answers = []
+    for x in texts:
+        first = x.split(".")[0]
+        answers.append([[], [first, f"{first}!!"], [first], [first], [first]][len(x) % 5])
+    return answers
+
+
+def _verbatim(text: str, proposal: str) -> str | None:
+    return "not_verbatim" if proposal not in text else "too_short" if len(proposal) < 12 else None
+
+
+def _asked(spark, sf) -> DataFrame:
+    turns = t(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return R.ask(turns, _first_sentence, _verbatim, ["conv_id", "turn"], "text", "conv_id", "turn", batch=2, budget=2)
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, call, md5(proposal) AS proposal, status FROM said")
+def q_role_proposals(spark, sf):
+    """What users say, two turns to a call and two calls to a conversation, through a role."""
+    return _asked(spark, sf).withColumn("proposal", F.md5(F.col("proposal").cast("binary")))
+
+
+@query(f"WITH {_TURNS} SELECT status AS outcome, count(*) AS n FROM said WHERE proposal IS NOT NULL GROUP BY status")
+def q_role_rejections(spark, sf):
+    return R.tally(_asked(spark, sf), [])

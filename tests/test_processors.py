@@ -5,7 +5,7 @@ import time
 import pytest
 
 from changelens.streaming import processors as P
-from changelens.streaming import state
+from changelens.streaming import roles, state
 
 SCANS = "url string, seq int, scan_id long, snapshot_id long, outcome string, base long"
 
@@ -75,3 +75,22 @@ def test_follow_ups_and_steps_over_batches(spark, tmp_path, cut):
         feed(spark, part, steps, folder)
         got = run(spark, P.Steps(["run"], ["seq"]), steps, folder)
     assert [r[2:] for r in got] == [("failed", 1, False, 1), ("running", 2, False, 1), ("failed", 3, False, 2), ("complete", 4, False, 2), ("complete", 4, True, 2)]
+
+
+def test_roles_keep_their_budget_and_name_what_fails(spark):
+    def role(texts):
+        if "boom" in texts:
+            raise RuntimeError("down")
+        return [[] if x == "" else [x.upper(), x] for x in texts][: 1 if "short" in texts else None]
+
+    rows = [("a", k, x) for k, x in enumerate(["one", None, "two", "three", "four"])] + [("b", 0, "boom"), ("b", 1, "x"), ("b", 2, "short"), ("b", 3, "y")]
+    df = spark.createDataFrame(rows, "chat string, seq int, text string").repartition(3)
+    check = lambda text, proposal: None if proposal in text else "not_said"
+    got = sorted(map(tuple, roles.ask(df, role, check, ["chat", "seq"], "text", "chat", "seq", batch=2, budget=2).collect()), key=str)
+    said = lambda seq, call, x: [("a", seq, call, x.upper(), "not_said"), ("a", seq, call, x, "accepted")]
+    want = [*said(0, 1, "one"), ("a", 1, 1, None, "empty"), *said(2, 2, "two"), *said(3, 2, "three"), ("a", 4, None, None, "budget"), *(("b", k, 1 + k // 2, None, "failed") for k in range(4))]
+    assert got == sorted(want, key=str)
+    assert {r.outcome: r.n for r in roles.tally(spark.createDataFrame(got, "chat string, seq int, call int, proposal string, status string"), []).collect()} == {"accepted": 3, "not_said": 3}
+    assert roles.ask(df.limit(0), role, check, ["chat"], "text", "chat", "seq").count() == 0
+    with pytest.raises(Exception, match="has no other"):
+        roles.role_function(role, check, ["other"], "text")(df.asTable().partitionBy("chat")).count()
