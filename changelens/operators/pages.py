@@ -130,3 +130,32 @@ def state_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -
     """Changes of modified states: plain blocks and cards by title."""
     run = lambda a, b: (markup.canonical(diffing.state_blocks(*[[json.loads(y) for y in x or ()] for x in (a, b)])),)
     return per_row(pairs, keys, [previous, current], run, "changes string")
+
+
+def change_diff(pairs: DataFrame, keys: list[str], changed: str, texts: tuple[str, str], blocks: tuple[str, str]) -> DataFrame:
+    """keys, diff, changes, n_changes of each pair: differences where `changed` is TRUE, NULL where it is FALSE or NULL.
+
+    Sides of pairs that haven't changed are not handed to the parser's process.
+    """
+    open_ = F.coalesce(F.col(changed), F.lit(False))
+    sides = [F.when(open_, F.col(c)).alias(name) for c, name in zip((*texts, *blocks), ("_a", "_b", "_c", "_d"), strict=True)]
+
+    def run(a, b, c, d):
+        if a is None and b is None:
+            return None, None, None
+        got = diffing.contextual(*[None if x is None else [json.loads(y) for y in x] for x in (c, d)])
+        return diffing.unified(a or "", b or ""), None if got is None else markup.canonical(got), None if got is None else len(got)
+
+    return per_row(pairs.select(*keys, *sides), keys, ["_a", "_b", "_c", "_d"], run, "diff string, changes string, n_changes int")
+
+
+def discovery_read(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
+    """keys, status, reasons, title, headings, links of each page; what a page says and leads to is NULL unless it passes the quality gate."""
+    parsed = parse_pages(pages, keys, html)
+    heads = F.transform(F.filter("blocks", lambda b: b["type"] == "heading"), lambda b: b["text"])
+    valid = F.size(F.filter("blocks", lambda b: b["has_content"]))
+    gated = quality_gate(parsed.withColumn("_n", valid), "content", "_n")
+    links = per_row(pages, keys, [html], lambda h: (markup.page_links(h or ""),), f"links {LINK}")
+    passes = F.col("quality.status") == "PASS"
+    said = [F.when(passes, x).alias(name) for name, x in (("title", F.col("title")), ("headings", heads), ("links", F.col("links")))]
+    return gated.join(links, keys).select(*keys, F.col("quality.status").alias("status"), F.array_join("quality.reasons", ",").alias("reasons"), *said)

@@ -83,6 +83,27 @@ def q_page_line_changes(spark, sf):
     return P.content_diff(_page_pairs(spark, sf), ["page_id"], "was", "content").select("page_id", _md5("diff").alias("diff"))
 
 
+@query(f"""WITH {_PAIRS}, c AS (SELECT *, CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN false ELSE (ad, head, body) <> (ad0, head0, body0) END AS changed FROM pair)
+SELECT page_id, changed, CASE WHEN changed THEN CAST((ad <> ad0)::INT + ((body, head) <> (body0, head0))::INT AS INTEGER) END AS n_changes, changed IS TRUE AS has_diff FROM c""")
+def q_gated_changes(spark, sf):
+    """Differences only where a page has changed: every seventh has no comparable version, every fifth is the same as before."""
+    p = _page_pairs(spark, sf)
+    same = F.col("page_id") % 5 == 0
+    p = p.withColumns({"was": F.when(same, F.col("content")).otherwise(F.col("was")), "had": F.when(same, F.col("blocks")).otherwise(F.col("had"))})
+    p = p.withColumn("changed", F.when(F.col("page_id") % 7 != 0, F.col("was") != F.col("content")))
+    return P.change_diff(p, ["page_id", "changed"], "changed", ("was", "content"), ("had", "blocks")).select("page_id", "changed", "n_changes", F.col("diff").isNotNull().alias("has_diff"))
+
+
+@query(f"""WITH {_PAGE}, s AS (SELECT *, CASE page_id % 10 WHEN 0 THEN 'FAIL' WHEN 1 THEN 'WARNING' ELSE 'PASS' END AS status FROM page)
+SELECT page_id, status, CASE status WHEN 'FAIL' THEN 'empty_content,no_valid_blocks' WHEN 'WARNING' THEN 'sparse_content' ELSE '' END AS reasons, CASE WHEN status = 'PASS' THEN title END AS title,
+  CASE WHEN status = 'PASS' THEN head END AS headings, CASE WHEN status = 'PASS' THEN CAST(len(regexp_extract_all(html, '<a href="([^"]*)">', 1)) AS INTEGER) END AS n_links FROM s""")
+def q_discovery_pages(spark, sf):
+    """Pages as discovery reads them, every tenth emptied and the one after it cut to a line: only those that pass say anything."""
+    kept = F.when(F.col("page_id") % 10 == 0, "<nav><a href='/x'>x</a></nav>").when(F.col("page_id") % 10 == 1, "<p>one line <a href='/x'>x</a></p>").otherwise(F.col("html"))
+    d = P.discovery_read(t(spark, sf, "pages").select("page_id", kept.alias("html")), ["page_id"])
+    return d.select("page_id", "status", "reasons", "title", F.array_join("headings", " > ").alias("headings"), F.when(F.col("links").isNotNull(), F.size("links")).alias("n_links"))
+
+
 _FORMS = "CASE (pos + page_id) % 9 WHEN 0 THEN href WHEN 1 THEN concat('../..', href) WHEN 2 THEN concat('.', href, '/.') WHEN 3 THEN concat('?page=', pos) WHEN 4 THEN '#top' WHEN 5 THEN concat('//cdn.example', href, '/../x//./y/..') WHEN 6 THEN substr(href, 2) WHEN 7 THEN concat('HTTPS://other.example:8443/a/b/../..', href, '?q=/../#f') ELSE concat('mailto:', substr(href, 2)) END"
 _REF = r"'^([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?(#.*)?$'"
 
