@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from changelens.functions.text import contains_secret
+from changelens.operators.retrieval import search as nearest
 
 # Kinds of sources that state facts, words by which a type shows, and texts that aren't worth keeping.
 FACT_SOURCES = ("event", "evidence", "snapshot", "knowledge", "pricing", "web_page")
@@ -85,6 +86,17 @@ def eligible(records: DataFrame, scope: str, scope_id: str | None, types: list[s
     return records.where(ok).orderBy(F.desc("updated_at"), F.desc("memory_id"))
 
 
+#: The most that a search may ask for.
+MAX_FOUND = 50
+
+
+def search(records: DataFrame, query: list[float], k: int, scope: str, scope_id: str | None, vector: str) -> DataFrame:
+    """The k eligible records nearest to a vector by (-score, memory_id); k from 1 to MAX_FOUND."""
+    if not 1 <= k <= MAX_FOUND:
+        raise ValueError(f"k must be from 1 to {MAX_FOUND}")
+    return nearest(eligible(records, scope, scope_id), query, k, "memory_id", vector)
+
+
 def latest(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key: how an upsert or a tombstone shows in an append-only log."""
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])

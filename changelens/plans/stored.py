@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import string
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from changelens.functions import text as T
+from changelens.operators import memory as M
+from changelens.operators import research as RS
 from changelens.plans.catalog import query, t
 from changelens.session import shared_folder
 from changelens.sources import records
@@ -60,3 +65,85 @@ def q_versioned_upsert(spark, sf):
     counts = records.merge_versioned(late, path, ["o_orderkey"])
     now = spark.read.format("versioned_table").option("path", path).option("version", 3).load()
     return now.select("o_orderkey", "status", F.lit(3).alias("version"), *[F.lit(counts[k]).cast("long").alias(k) for k in ("inserted", "updated", "unchanged")])
+
+
+# --- records ---
+
+
+@query("SELECT event_id, event_type, value, props FROM events")
+def q_json_lines(spark, sf):
+    """Events as lines of JSON, read back line by line."""
+    path = _folder(spark, "lines")
+    t(spark, sf, "events").select(F.to_json(F.struct("event_id", "event_type", "value", "props")).alias("value")).write.text(path)
+    return records.read_jsonl(spark, path, "event_id long, event_type string, value double, props string")
+
+
+def _log(spark, sf, name: str):
+    """A log of a namespace for each type of event and a key for each user, written and read back."""
+    path = _folder(spark, name)
+    e = t(spark, sf, "events").select(F.col("event_type").alias("ns"), F.col("user_id").cast("string").alias("key"), F.col("props").alias("body"), F.col("event_id").alias("seq"))
+    records.put(e, path)
+    return spark.read.schema(e.schema).parquet(path)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS body, row_number() OVER (ORDER BY min(event_id)) AS place FROM events WHERE event_type = 'click' GROUP BY user_id""")
+def q_namespace_items(spark, sf):
+    """Current entries of a namespace, in the order in which their keys came."""
+    log = _log(spark, sf, "items")
+    first = log.where("ns = 'click'").groupBy("key").agg(F.min("seq").alias("first"))
+    place = F.row_number().over(Window.orderBy("first"))  # a row a user
+    return records.items(log, "click").select("key", "body").join(first.select("key", place.cast("long").alias("place")), "key")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS key, arg_max(props, event_id) AS body, max(event_id) AS seq FROM events WHERE event_type = 'view' AND user_id = (SELECT min(user_id) FROM events WHERE event_type = 'view') GROUP BY user_id""")
+def q_namespace_get(spark, sf):
+    log = _log(spark, sf, "get")
+    least = log.where("ns = 'view'").agg(F.min(F.col("key").cast("long")).cast("string")).first()[0]
+    return records.get(log, "view", least).select("key", "body", "seq")
+
+
+@query("""SELECT user_id, event_type, event_id, props FROM events QUALIFY row_number() OVER (PARTITION BY user_id, props ORDER BY ts DESC, event_id DESC) = 1 AND event_type <> 'error'""")
+def q_deleted_records(spark, sf):
+    """Latest rows of each key, without the keys whose latest row deletes them."""
+    log = t(spark, sf, "events").withColumn("gone", F.col("event_type") == "error")
+    return records.compact(log, ["user_id", "props"], ["ts", "event_id"], "gone").select("user_id", "event_type", "event_id", "props")
+
+
+@query("""SELECT event_type AS kind, count(*) AS n FROM events WHERE user_id % 3 = 1 GROUP BY event_type UNION ALL SELECT 'left', count(*) FROM events WHERE user_id % 3 <> 1""")
+def q_scope_reset(spark, sf):
+    """What a reset of every third user's scope deletes, by kind, and how much it leaves."""
+    e = t(spark, sf, "events")
+    left, gone = records.reset_scope(e, e.where("user_id % 3 = 1").select("user_id"), ["user_id"], "event_type")
+    return gone.withColumnRenamed("event_type", "kind").unionByName(left.agg(F.lit("left").alias("kind"), F.count("*").alias("n")))
+
+
+# --- single rules ---
+
+
+@query(r"""WITH d AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN substr(text, 5, 30) || 'zz' ELSE translate(substr(text, 5, 30), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') END AS anchor FROM documents),
+f AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g'), ' ') AS body, trim(regexp_replace(lower(anchor), '\s+', ' ', 'g'), ' ') AS anchor FROM d)
+SELECT doc_id, contains(body, anchor) AS held FROM f""")
+def q_folded_anchors(spark, sf):
+    anchor = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 5, 30), F.lit("zz"))).otherwise(F.translate(F.substring("text", 5, 30), string.ascii_lowercase, string.ascii_uppercase))
+    return t(spark, sf, "documents").select("doc_id", T.contains_folded(F.col("text"), anchor).alias("held"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '(?i)https?://|www\\.') AS written FROM documents")
+def q_written_urls(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", RS.has_generated_url(F.col("text")).alias("written"))
+
+
+_MEMORY = "SELECT vec_id AS memory_id, embedding, CASE WHEN label % 2 = 0 THEN 'workspace' ELSE 'event' END AS scope, 's' || label % 4 AS scope_id, CASE WHEN vec_id % 5 = 0 THEN 'pending' ELSE 'confirmed' END AS status, vec_id % 7 > 0 AS active FROM embeddings"
+_ASKED = [((5 * k) % 13 - 6) / 6 for k in range(64)]
+
+
+@query(f"""WITH m AS ({_MEMORY}) SELECT memory_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_ASKED}::DOUBLE[]), 6) AS score FROM m
+WHERE scope = 'workspace' AND scope_id = 's2' AND status = 'confirmed' AND active ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_ASKED}::DOUBLE[]) DESC, memory_id LIMIT 50""")
+def q_memory_search(spark, sf):
+    """The fifty eligible records of one scope that are nearest to a vector."""
+    e = t(spark, sf, "embeddings")
+    m = e.select(
+        F.col("vec_id").alias("memory_id"), "embedding", F.when(F.col("label") % 2 == 0, "workspace").otherwise("event").alias("scope"), F.concat(F.lit("s"), (F.col("label") % 4).cast("string")).alias("scope_id"),
+        F.when(F.col("vec_id") % 5 == 0, "pending").otherwise("confirmed").alias("status"), (F.col("vec_id") % 7 > 0).alias("active"), F.col("vec_id").alias("updated_at"),
+    )
+    return M.search(m, _ASKED, 50, "workspace", "s2", "embedding").select("memory_id", F.round("score", 6).alias("score"))

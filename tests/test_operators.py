@@ -271,3 +271,13 @@ def test_search_equals_brute_force(spark):
     got = R.search(df.where("id is not null"), q, 25, "id", "v").collect()
     assert [r.id for r in got] == [r[0] for r in want] and got[0].score == pytest.approx(cos(want[0][1], q))
     assert R.search(df.limit(0), q, 5, "id", "v").count() == 0
+
+
+def test_memory_search_is_bounded(spark):
+    rows = [(k, [1.0, k / 10], "w", "a", "confirmed", k != 3, k) for k in range(60)] + [(99, [1.0, 0.0], "w", "b", "confirmed", True, 1), (98, [1.0, 0.0], "w", "a", "pending", True, 1)]
+    df = spark.createDataFrame(rows, "memory_id int, v array<double>, scope string, scope_id string, status string, active boolean, updated_at int")
+    assert [r.memory_id for r in M.search(df, [1.0, 0.0], 5, "w", "a", "v").collect()] == [0, 1, 2, 4, 5]
+    assert M.search(df, [1.0, 0.0], 50, "w", "a", "v").count() == 50
+    for k in (0, 51):
+        with pytest.raises(ValueError, match="from 1 to 50"):
+            M.search(df, [1.0, 0.0], k, "w", "a", "v")
