@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents in, packed sequences out; each stage is written and read again by its runner."""
+"""The corpus pipeline: documents in, packed sequences out; each stage is written and read again by its runner.
+
+Cases that hold for every stage: an empty table stays empty; columns beyond
+COLUMNS are left out; repeated rows are documents of their own until the stage
+of near-duplicates, which keeps one of them.
+"""
 
 from __future__ import annotations
 
@@ -12,30 +17,30 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject; a null or empty text is scored like any other, a score of 0.7 is kept, a null id counts as no labelled row."""
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
     return scored.where("predicted = 1").select(*COLUMNS)
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text."""
+    """Documents without cross-site boilerplate lines; n_chars follows a text that was cut. A null text stays null, a null source is one site, a text of such lines alone becomes empty and stays."""
     cut = lines.remove_boilerplate(docs)
     n_chars = F.when(F.col("n_cut") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
     return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 and more. Of a group the smallest id stays; null and empty texts are one group, texts without a word are like equal ones only."""
     return simhash.drop_near_duplicates(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight asks for."""
+    """Each document as often as its source's target weight asks for: not at all, once or twice; a null source is one source, and the last."""
     return mixing.apply_mix(docs).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids; a null or empty text is the end id alone."""
     return packing.pack(docs)
 
 
