@@ -438,10 +438,10 @@ def q_page_quality(spark, sf):
     return m.drop("headings")
 
 
-@query(f"WITH {_LINKS} SELECT page_id, CAST(pos AS BIGINT) AS pos, raw AS href, 'nav' AS page_region FROM l WHERE pos < 6 AND raw LIKE '/%'")
+@query(f"WITH {_LINKS} SELECT page_id, CAST(pos AS BIGINT) AS pos, raw AS href, 'nav' AS page_region FROM l")
 def q_page_link_regions(spark, sf):
     links = P.page_links(t(spark, sf, "pages"), ["page_id"])
-    return links.where("pos < 6 AND href LIKE '/%' AND page_region = 'nav'").select("page_id", F.col("pos").cast("long").alias("pos"), "href", "page_region")
+    return links.select("page_id", F.col("pos").cast("long").alias("pos"), "href", "page_region")
 
 
 @query(f"""WITH {_BODY} SELECT page_id, CAST(k AS INTEGER) AS unit_no, md5(x) AS text_md5, context FROM units""")
@@ -568,9 +568,16 @@ def q_memory_eligible(spark, sf):
     return M.eligible(c, "product", None).select("conv_id", "turn", "scope_id")
 
 
-@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(text) > 4000 THEN 'too_long' END AS violation FROM conversations")
+_SECRET = lambda c: "(" + " OR ".join(f"regexp_matches({c}, '{p}')" for p in T.SECRETS) + ")"
+
+
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN ' ' ELSE text END AS said, CASE WHEN doc_id % 17 = 0 THEN 'token: x' ELSE 'r' || doc_id END AS reference FROM documents)
+SELECT doc_id, CASE WHEN trim(said) = '' THEN 'blank' WHEN length(said) > 4000 THEN 'too_long' WHEN {_SECRET("said")} OR {_SECRET("reference")} THEN 'secret' END AS violation FROM d""")
 def q_memory_source_gate(spark, sf):
-    return t(spark, sf, "conversations").select("conv_id", "turn", M.source_violation(F.col("text"), F.lit(None).cast("string")).alias("violation"))
+    """Documents as sources, some of them blank, some with a secret for a reference."""
+    said = F.when(F.col("doc_id") % 19 == 0, " ").otherwise(F.col("text"))
+    reference = F.when(F.col("doc_id") % 17 == 0, "token: x").otherwise(F.concat(F.lit("r"), "doc_id"))
+    return t(spark, sf, "documents").select("doc_id", M.source_violation(said, reference).alias("violation"))
 
 
 @query("SELECT conv_id, max(turn) AS turn, arg_max(length(text), turn)::BIGINT AS n_chars FROM conversations GROUP BY 1")
