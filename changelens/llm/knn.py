@@ -30,14 +30,16 @@ BLOCKS = "dim int, cell int, n int, rows binary, ids binary, vecs binary, floors
 
 @contextmanager
 def arrow_rows(spark: SparkSession, n: int):
-    """Batches of at most `n` rows to Python while rows hold whole blocks."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """Batches of at most `n` rows from Parquet and to Python while rows hold whole blocks; joins hand them on one by one, generated code would hold all of a block's matches."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(n), "spark.sql.parquet.columnarReaderBatchSize": str(n), "spark.sql.codegen.wholeStage": "false"}
+    old = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, old)
+        for key, value in old.items():
+            spark.conf.set(key, value)
 
 
 def integer_vectors(rows: DataFrame, scale: int) -> DataFrame:
@@ -116,6 +118,12 @@ def _blocks(rows: DataFrame, parts: DataFrame, scratch: Scratch, name: str) -> D
     return scratch.write(dealt.groupBy("dim", "cell", "salt").applyInArrow(run, BLOCKS), name)
 
 
+def _met(data: DataFrame, asked: DataFrame) -> DataFrame:
+    """Blocks of queries with the blocks of data in the cell they visit; never broadcast, as vectors that visit many cells make small files of a large table."""
+    blocks = asked.select("dim", "cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vecs", "floors")])
+    return blocks.hint("merge").join(data, ["dim", "cell"])
+
+
 def _solve(k: int):
     def run(batches):
         for batch in batches:
@@ -173,12 +181,11 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64) ->
         summary[dim] = np.array(at), np.array(radius)
     data = _blocks(placed.select("row", "vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "data")
     queries = placed.where(F.col("vec_id") % every == 0)
-    asked = lambda b: b.select("dim", "cell", *[F.col(c).alias(f"q_{c}") for c in ("n", "rows", "ids", "vecs", "floors")])
     result = "query_row long, query_id long, vec_id long, score long"
 
     def solved(blocks: DataFrame, name: str) -> DataFrame:
         with arrow_rows(spark, 8):
-            return scratch.write(data.join(asked(blocks), ["dim", "cell"]).mapInArrow(_solve(k), result), name)
+            return scratch.write(_met(data, blocks).mapInArrow(_solve(k), result), name)
 
     own = _blocks(queries.select("row", "vec_id", "dim", "cell", "raw"), cells.select("dim", "cell", "parts"), scratch, "queries")
     first = scratch.write(_best(solved(own, "own"), k, "query_row"), "first")

@@ -729,6 +729,20 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want) and knn.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_broadcasts_no_blocks(spark, tmp_path):
+    # a query that visits many cells repeats its vector, so megabytes on disk are gigabytes in the driver
+    row = (1, 0, 1, b"r" * 8, b"i" * 8, b"v" * 8, b"f" * 8)
+    sides = []
+    for name in ("data", "visits"):
+        spark.createDataFrame([row], knn.BLOCKS).write.parquet(str(tmp_path / name))
+        sides.append(spark.read.schema(knn.BLOCKS).parquet(str(tmp_path / name)))
+    with knn.arrow_rows(spark, 8):
+        met = knn._met(*sides)
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert met.count() == 1
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_top_k_keeps_rows_that_share_an_id(spark, monkeypatch):
     import duckdb
 
