@@ -111,9 +111,9 @@ def statement_units(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, F.explode("units").alias("u")).select(*keys, "u.*")
 
 
-def content_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
-    """Unified line difference of each pair; rows that are equal should be filtered before."""
-    return per_row(pairs, keys, [previous, current], lambda a, b: (diffing.unified(a or "", b or ""),), "diff string")
+def content_diff(pairs: DataFrame, keys: list[str], previous: str, current: str, whole: bool = False) -> DataFrame:
+    """Unified line difference of each pair, in three lines of context or the whole text; rows that are equal should be filtered before."""
+    return per_row(pairs, keys, [previous, current], lambda a, b: (diffing.unified(a or "", b or "", whole),), "diff string")
 
 
 def block_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
