@@ -17,6 +17,10 @@ PARSED = f"title string, content string, block_hash string, signals array<string
 LINK = "array<struct<anchor_text:string,href:string,aria_label:string,title:string,page_region:string,is_download:boolean>>"
 
 
+#: Rows of a batch that are worked on at once: what a page becomes takes many times its bytes.
+SLICE = 128
+
+
 def per_row(df: DataFrame, keys: list[str], inputs: list[str], function, schema: str) -> DataFrame:
     """Adds columns by a function of text columns; `schema` names the fields of the tuples it returns."""
     kept = [df.schema[k] for k in keys]
@@ -26,11 +30,12 @@ def per_row(df: DataFrame, keys: list[str], inputs: list[str], function, schema:
     arrow = to_arrow_schema(T.StructType(out.fields[len(keys) :]))
 
     def run(batches):
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns[len(keys) :]]
-            rows = [function(*r) for r in zip(*cols, strict=True)]
-            made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], [*keys, *arrow.names])
+        for whole in batches:
+            for batch in (whole.slice(a, SLICE) for a in range(0, max(1, whole.num_rows), SLICE)):
+                cols = [c.to_pylist() for c in batch.columns[len(keys) :]]
+                rows = [function(*r) for r in zip(*cols, strict=True)]
+                made = [pa.array([r[k] for r in rows], f.type) for k, f in enumerate(arrow)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *made], [*keys, *arrow.names])
 
     return df.select(*keys, *inputs).mapInArrow(run, out)
 
@@ -43,7 +48,8 @@ def _parsed(html: str | None):
         rows.append({"seq": k, "type": b["type"], "level": b.get("level"), "text": text, "has_content": markup.has_content(b), "json": markup.canonical(b)})
     import hashlib
 
-    return title, content, hashlib.sha256(markup.canonical(blocks).encode()).hexdigest(), markup.signals(html or ""), rows
+    whole = "[" + ",".join(r["json"] for r in rows) + "]"
+    return title, content, hashlib.sha256(whole.encode()).hexdigest(), markup.signals(html or ""), rows
 
 
 def parse_pages(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
@@ -51,6 +57,22 @@ def parse_pages(pages: DataFrame, keys: list[str], html: str = "html") -> DataFr
     return per_row(pages, keys, [html], _parsed, PARSED)
 
 
+def typed_blocks(pages: DataFrame, keys: list[str], kind: str, html: str = "html") -> DataFrame:
+    """keys, json: one row a block of one type, and nothing else of the page."""
+    run = lambda h: ([markup.canonical(b) for b in markup.blocks_of(h or "") if b["type"] == kind],)
+    return per_row(pages, keys, [html], run, "json array<string>").select(*keys, F.explode("json").alias("json"))
+
+
+def page_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
+    """changes (JSON) and n_changes of two columns of pages, each parsed where it is compared; a null page is empty."""
+
+    def run(a, b):
+        got = diffing.contextual(*[markup.blocks_of(x or "") for x in (a, b)])
+        return markup.canonical(got), len(got)
+
+    return per_row(pairs, keys, [previous, current], run, "changes string, n_changes int")
+
+
 def page_links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """One row a link with its place on the page and the region it stands in."""
     found = per_row(pages, keys, [html], lambda h: (markup.page_links(h or ""),), f"links {LINK}")
