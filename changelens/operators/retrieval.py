@@ -20,6 +20,10 @@ from changelens.functions.vectors import as_doubles, space_violation, unit
 #: Rows of a block of vectors, and queries that are scored at once.
 BLOCK = 4096
 STRIP = 32
+#: Chunks of a block whose best score stands for them at first.
+GROUP = 32
+#: More than two sums of products of unit vectors differ by their order, up to thousands of components.
+SLACK = 1e-9
 
 
 def with_unit(df: DataFrame, vector: str) -> DataFrame:
@@ -71,7 +75,7 @@ def search(chunks: DataFrame, query: list[float], n: int, key: str, vector: str,
 
 
 def _best_of_block(n: int, schema: pa.Schema):
-    """The n best chunks of one block for each query of another; sums run in the order of `cosine`, so scores are equal bit by bit."""
+    """The n best chunks of one block for each query of another: a matrix product says which come near, and only their sums run in the order of `cosine`, so scores are equal bit by bit."""
 
     def run(asked: pa.Table, chunks: pa.Table) -> pa.Table:
         if not len(asked) or not len(chunks):
@@ -81,23 +85,22 @@ def _best_of_block(n: int, schema: pa.Schema):
         at, own = codes[len(asked) :], codes[: len(asked)]
         q, c = (np.stack(x.column("_unit").to_numpy(zero_copy_only=False)) for x in (asked, chunks))
         wide = np.ascontiguousarray(c.T)
+        starts = np.arange(0, len(c), GROUP)
         picked_q, picked_c, scores = [], [], []
         for start in range(0, len(q), STRIP):
             strip = q[start : start + STRIP]
-            score = np.zeros((len(strip), len(c)))
-            part = np.empty_like(score)
-            for d in range(q.shape[1]):
-                np.multiply(strip[:, d, None], wide[d], out=part)
-                score += part
-            np.clip(score, -1.0, 1.0, out=score)
-            score[own[start : start + STRIP, None] == at] = -np.inf
-            floor = np.partition(score, len(c) - n, axis=1)[:, len(c) - n] if len(c) > n else np.full(len(strip), -1.0)
-            for i, row in enumerate(score):
-                found = np.flatnonzero((row >= floor[i]) & (row > -np.inf))
-                found = found[np.argsort(-row[found], kind="stable")[:n]]
-                picked_q.append(np.full(len(found), start + i))
-                picked_c.append(found)
-                scores.append(row[found])
+            near = strip @ wide
+            near[own[start : start + STRIP, None] == at] = -np.inf
+            tops = np.maximum.reduceat(near, starts, axis=1)  # n groups of chunks that reach a score hold n chunks that do
+            floor = np.partition(tops, len(starts) - n, axis=1)[:, len(starts) - n] if len(starts) > n else np.full(len(strip), -1.0)
+            # the n best in any order of summing are among these; their scores are summed in order
+            i, found = np.nonzero((near >= floor[:, None] - SLACK) & (near > -np.inf))
+            score = np.clip(_in_order(c[found], strip[i]), -1.0, 1.0)
+            best = np.lexsort((found, -score, i))
+            best = best[np.arange(len(best)) - np.searchsorted(i, i) < n]  # i is in order before and after
+            picked_q.append(start + i[best])
+            picked_c.append(found[best])
+            scores.append(score[best])
         ids = asked.column("_id").take(pa.array(np.concatenate(picked_q))), chunks.column("_id").take(pa.array(np.concatenate(picked_c)))
         return pa.Table.from_arrays([*ids, pa.array(np.concatenate(scores))], schema.names).cast(schema)
 

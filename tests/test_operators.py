@@ -281,3 +281,24 @@ def test_memory_search_is_bounded(spark):
     for k in (0, 51):
         with pytest.raises(ValueError, match="from 1 to 50"):
             M.search(df, [1.0, 0.0], k, "w", "a", "v")
+
+
+def test_near_products_pick_what_ordered_sums_pick():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(700, 64))
+    x[300:420], x[500:] = x[:120], x[0]  # copies, and one vector 201 times
+    x /= np.sqrt(R._in_order(x, x))[:, None]
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    for size in (700, 40, 3, 1):
+        t = pa.table({"_id": pa.array(range(size)), "_unit": pa.array(list(x[:size]))})
+        out = R._best_of_block(5, schema)(t, t).to_pylist() if size > 1 else []
+        want = []
+        for i in range(size):
+            s = np.clip(R._in_order(x[:size], x[i]), -1.0, 1.0)
+            s[i] = -np.inf
+            want += [{"query_id": i, "vec_id": int(k), "score": float(s[k])} for k in np.argsort(-s, kind="stable")[:5] if k != i]
+        assert out == (want if size > 1 else [])
+    assert R.STRIP * R.GROUP <= 4096  # the maxima of groups are what is sorted, not the scores
