@@ -35,6 +35,46 @@ def test_watermark_goes_on_after_a_restart(spark, tmp_path):
     assert said["v", 2] == (None, 22, 22, True)
 
 
+def test_keys_of_a_shard_share_a_call(spark, tmp_path, monkeypatch):
+    """Over five batches, with null keys, and with more of the state out of date than not."""
+    monkeypatch.setattr(P, "SHARDS", 8, raising=False)
+    calls = str(tmp_path / "calls")
+
+    def told(machine):
+        class Told(machine):
+            def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+                with open(calls, "a") as f:
+                    f.write(".")
+                yield from super().handleInputRows(key, rows, timerValues)
+
+        return Told
+
+    kinds = {
+        P.Seen: ("url string, site long, seq long, baseline boolean", lambda k, n: (n == 0,)),
+        P.Steps: ("url string, site long, seq long, outcome string, category string", lambda k, n: (("failed", None, "failed", "complete", "failed")[n], f"c{k}")),
+        P.FollowUps: ("url string, site long, seq long, request_id long, action string", lambda k, n: (n % 2, ("ask", "fail", "complete", "ask", "ask")[n])),
+        P.Watermark: ("url string, site long, seq long, scan_id long, snapshot_id long, outcome string, base long", lambda k, n: (n % 4, n, None if n == 1 else "ok", None)),
+    }
+    want = {
+        P.Seen: [(False, False, 0), *[(True, False, 0)] * 4],
+        P.Steps: [("failed", 1, False, 1), ("running", 2, False, 1), ("failed", 3, False, 2), ("complete", 4, False, 2), ("complete", 4, True, 2)],
+        P.FollowUps: [("running", False, 1), ("unknown", False, 1), ("completed", False, 1), ("running", False, 2), ("completed", True, 2)],
+        P.Watermark: [(None, 0, 0, True), (0, 1, 0, False), (0, 2, 2, True), (2, 3, 3, True), (3, 4, 3, False)],
+    }
+    for machine, (schema, rest) in kinds.items():
+        folder, before = tmp_path / machine.__name__, len((tmp_path / "calls").read_text()) if (tmp_path / "calls").exists() else 0
+        folder.mkdir()
+        for n in range(5):
+            keys = [(None if k == 0 else f"u{k % 50}", k % 7 or None) for k in range(200)]
+            feed(spark, [(*k, n, *rest(j, n)) for j, k in enumerate(dict.fromkeys(keys))], schema, folder)
+        got = run(spark, told(machine)(["url", "site"], ["seq"]), schema, folder)
+        assert len((tmp_path / "calls").read_text()) - before <= 5 * 8
+        by_key = {}
+        for r in sorted(got, key=lambda r: r[2]):
+            by_key.setdefault(r[:2], []).append(r[3:])
+        assert len(by_key) == len(set(keys)) and all(x == want[machine] for x in by_key.values())
+
+
 def test_state_that_has_expired_is_gone(spark, tmp_path):
     schema = "url string, seq long, baseline boolean"
     for ttl, again in ((None, True), (1000, False)):
