@@ -13,6 +13,7 @@ then verified.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations, repeat
@@ -185,6 +186,8 @@ def near_components(docs: DataFrame, size: int = 3) -> DataFrame:
 BANDS, ROWS = 21, 6
 #: Bits that hold the parity of a text's shingles.
 PARITY = 512
+#: Counters by hash that order shingles by the number of texts that hold them.
+SLOTS = 1 << 17
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
@@ -210,6 +213,10 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
+
+
 def _text_key(text):
     return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
@@ -262,10 +269,14 @@ def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: flo
     stars = side(crowded, "a").join(side(hubs, "b"), "key").where((F.col("a") != F.col("b")) & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = scratch.write(pairs.unionByName(stars).distinct(), "pairs")
     first = _verified(texts, pairs, scratch, size, similarity)
-    rest = crowded.select("th").distinct()
+    # a bucket whose members the hubs have brought into one component has nothing left to link
+    roots = components(scratch, first)
+    members = crowded.select("key", "th").join(roots, F.col("th") == F.col("node"), "left").select("key", "th", F.coalesce("root", "th").alias("root"))
+    members = scratch.write(members, "members")
+    apart = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = scratch.write(members.join(scratch.write(apart, "apart"), "key").select("th").distinct(), "crowded")
     if rest.limit(1).count():
-        rest = scratch.write(rest, "crowded")
-        more = _prefix_pairs(texts.join(rest, "th"), components(scratch, first), scratch, size, similarity)
+        more = _prefix_pairs(texts.join(rest, "th"), roots, scratch, size, similarity)
         first = scratch.write(first.unionByName(_verified(texts, more, scratch, size, similarity)), "all_links")
     scratch.drop(shared)
     return first
@@ -274,7 +285,9 @@ def similar_links(texts: DataFrame, scratch: Scratch, size: int, similarity: flo
 def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: int, similarity: float) -> DataFrame:
     """(a, b) of the texts that may be that similar and aren't in one component of `roots` (node, root) yet; loses none.
 
-    Shingles are ordered by the number of texts that hold them.  Similar texts
+    Shingles are ordered by the number of texts that hold them, as counters by
+    hash bound it from above: any order that all texts share loses none, and a
+    bound of one is exact.  So a text gives its prefix alone.  Similar texts
     share one among the first n - o + 1 of each, with o the least overlap that
     the similarity allows: 2 s / (1 + s) n for the smaller set, s n for the
     larger.  What a template puts in all of its pages comes last in this order.
@@ -285,15 +298,40 @@ def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: in
     two texts differ bound the number of shingles in which they do from below.
     """
 
-    def run(batches):
+    def sets_of(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 128):
                 some = batch.slice(a, 128)
-                sets = [np.unique(shingle_hashes(t.as_py(), size)) for t in some.column(1)]
-                counts = np.array([len(s) for s in sets], np.int64)
-                ths = some.column(0).to_numpy(zero_copy_only=False)
-                h = np.concatenate([np.zeros(0, np.uint64), *sets])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(ths, counts), h.view(np.int64), np.repeat(counts, counts))], ["th", "h", "n"])
+                yield some.column(0).to_numpy(zero_copy_only=False), [np.unique(shingle_hashes(t.as_py(), size)) for t in some.column(1)]
+
+    def tally(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for _, sets in sets_of(batches):
+            counts += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    def total(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                counts += np.frombuffer(x.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    tallied = texts.select("th", "text").mapInArrow(tally, "counts binary").repartition(8).mapInArrow(total, "counts binary")
+    held_by = sum(np.frombuffer(r.counts, np.int64) for r in scratch.write(tallied, "tally").collect())
+
+    def run(batches):
+        for ths, sets in sets_of(batches):
+            rows = []
+            for th, h in zip(ths.tolist(), sets, strict=True):
+                n, f = len(h), held_by[_slots(h)]
+                order = np.lexsort((h, f))
+                short, long = (n - math.ceil(share * n - 1e-9) + 1 for share in (2 * similarity / (1 + similarity), similarity))
+                place = np.arange(min(long, n))
+                place = place[f[order[place]] > 1]  # shingles of one text alone come first and meet nothing
+                rows.append((np.full(len(place), th), h[order[place]].view(np.int64), np.full(len(place), n), place, place < short))
+            names = ["th", "h", "n", "place", "index"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names)
 
     def parities(batches):
         for batch in batches:
@@ -305,19 +343,10 @@ def _prefix_pairs(texts: DataFrame, roots: DataFrame, scratch: Scratch, size: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["th", "bits"])
 
     bits = scratch.write(texts.select("th", "text").mapInArrow(parities, "th long, bits array<long>"), "parities")
-    held = scratch.write(texts.select("th", "text").mapInArrow(run, "th long, h long, n long"), "shingles")
-    spread = scratch.write(held.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "spread")
-    known = held.join(spread, "h")
-    # shingles of one text alone come first and meet nothing, so they only use up places
-    ordered = known.groupBy("th", "n").agg(F.sort_array(F.collect_list(F.struct("f", "h"))).alias("hs"))
-    places = lambda share: F.col("n") - F.ceil(share * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("hs"))
-    ordered = ordered.select("th", "n", "hs", places(2 * similarity / (1 + similarity)).alias("short"), places(similarity).alias("long"))
-    ordered = ordered.where("long > 0").join(roots, ordered["th"] == roots["node"], "left").withColumn("root", F.coalesce("root", "th"))
-    ordered = ordered.join(bits, "th")
-    keys = ordered.select("th", "n", "root", "short", "bits", (F.col("n") - F.size("hs")).alias("alone"), F.posexplode(F.slice("hs", F.lit(1), F.col("long").cast("int"))).alias("at", "x"))
-    place = (F.col("alone") + F.col("at")).alias("place")
-    keys = scratch.write(keys.select(F.col("x.h").alias("h"), "th", "n", "root", "bits", place, (F.col("at") < F.col("short")).alias("index")), "prefixes")
-    scratch.drop(held, spread)
+    held = scratch.write(texts.select("th", "text").mapInArrow(run, "th long, h long, n long, place long, index boolean"), "shingles")
+    keys = held.join(roots, held["th"] == roots["node"], "left").withColumn("root", F.coalesce("root", "th")).drop("node").join(bits, "th")
+    keys = scratch.write(keys.select("h", "th", "n", "root", "bits", "place", "index"), "prefixes")
+    scratch.drop(held)
     groups = keys.groupBy("h", "root").agg(F.count("*").alias("m")).groupBy("h").agg(F.count("*").alias("roots"), F.max(F.struct("m", "root"))["root"].alias("main"))
     keys = scratch.write(keys.join(groups.where("roots > 1").select("h", "main"), "h").withColumn("other", F.col("root") != F.col("main")), "meeting")
     side = lambda df, s: df.select("h", *[F.col(c).alias(f"{c}_{s}") for c in ("th", "n", "root", "bits", "place")])

@@ -575,6 +575,21 @@ def test_similar_pages_of_one_template_are_found(spark):
     assert {(x.a, x.b) for x in got.collect()} == want
 
 
+def test_texts_that_hubs_leave_apart_give_their_prefixes_alone(spark, monkeypatch):
+    r, counts, write = random.Random(11), {}, Scratch.write
+    template = [f"w{r.randrange(10**9)}" for _ in range(314)]
+    texts = [(k, " ".join(template + [f"w{r.randrange(10**9)}" for _ in range(58)])) for k in range(120)]
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    assert simhash.similar_links(spark.createDataFrame(texts, "th long, text string"), Scratch(spark, "t"), 5, 0.8).count() == 0
+    assert 0 < counts["shingles"] <= 120 * (0.2 * 368 + 2)
+
+
 def test_near_duplicates_of_the_documents_equal_brute_force(spark):
     """Every pair of the smaller scale at 0.8: recall is 1 here; and an empty table."""
     docs = spark.read.parquet(DATA.replace("sf0.001", "sf0.01") + "/documents.parquet")
