@@ -123,7 +123,7 @@ def chunk(documents: DataFrame, keys: list[str], text: str = "text", title: str
 
 
 def statement_units(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, unit_no, text, context) of parsed pages."""
+    """(keys, unit_no, text, context) of parsed pages, every unit of each."""
 
     def run(blocks):
         return ([{"unit_no": k, "text": t, "context": c} for k, (t, c) in enumerate(chunking.statement_units([json.loads(b) for b in blocks or ()]))],)
