@@ -73,6 +73,26 @@ def page_diff(pairs: DataFrame, keys: list[str], previous: str, current: str) ->
     return per_row(pairs, keys, [previous, current], run, "changes string, n_changes int")
 
 
+def row_changes(pairs: DataFrame, keys: list[str], previous: str, current: str) -> DataFrame:
+    """keys, change, row_key, changed_cells: one row a changed row of a table that both of a pair's pages have, nothing else of their differences; a null page is empty."""
+    fields = ("change", "row_key", "changed_cells")
+    schema = "change string, row_key string, changed_cells array<struct<column:string,previous:string,current:string>>"
+    out = T.StructType([pairs.schema[k] for k in keys] + T._parse_datatype_string(schema).fields)
+    cell = pa.struct([(name, pa.string()) for name in ("column", "previous", "current")])
+    types = (pa.string(), pa.string(), pa.list_(cell))
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(a, SLICE) for a in range(0, whole.num_rows, SLICE)):
+                sides = zip(*(c.to_pylist() for c in batch.columns[len(keys) :]), strict=True)
+                found = [(k, r) for k, (a, b) in enumerate(sides) for r in diffing.row_changes(*[markup.blocks_of(x or "") for x in (a, b)])]
+                at = pa.array([k for k, _ in found], pa.int32())
+                made = [pa.array([r[f] for _, r in found], kind) for f, kind in zip(fields, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns[: len(keys)]), *made], [*keys, *fields])
+
+    return pairs.select(*keys, previous, current).mapInArrow(run, out)
+
+
 def page_links(pages: DataFrame, keys: list[str], html: str = "html") -> DataFrame:
     """One row a link with its place on the page and the region it stands in."""
     found = per_row(pages, keys, [html], lambda h: (markup.page_links(h or ""),), f"links {LINK}")
